@@ -198,29 +198,38 @@ def fetch_blocks(length: int, n_suffix: int, n_window: int):
             start = off[at] + lo
             fits = start + n + (length - 1) <= off[at + 1]  # rows that share an id but not a text
             a, doc, lo, n, start = a[fits], doc[fits], lo[fits], n[fits], start[fits]
-            if kind == MIXED:
-                bucket = (a % np.uint32(n_suffix)).astype(np.int64)
-                order = np.lexsort((lo, doc, bucket))
-                for r, part in zip(packed(MIXED, bucket[order], a[order], None, doc[order], lo[order], n[order], length), np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)):
-                    size = n[part] + (length - 1)
-                    take = np.repeat(start[part] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                    out.append(r | {"bytes": data[take].tobytes()})
-            else:
-                pre = prefix_hash(data)
-                w = np.repeat(start - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                h = mix((pre[w + length] - pre[w]) * powers(RADIX_INVERSE, len(pre))[w])
-                who = np.repeat(np.arange(len(n)), n)
-                from_doc = w - start[who] + lo[who]
-                first, later = fold(h, doc[who], from_doc)
-                one = np.ones(len(h), np.int32)
-                for kind2, bucket, these in ((ANCHORS, ((h & U(0xFFFFFFFF)) % U(n_window)).astype(np.int64), first), (COVERED, np.zeros(len(h), np.int64), later)):
-                    for r in packed(kind2, bucket[these], h[these] >> U(32), h[these], doc[who][these], from_doc[these], one[these], length):
-                        out.append(r | {"bytes": b""})
+            bucket = (a % np.uint32(n_suffix)).astype(np.int64)
+            order = np.lexsort((lo, doc, bucket))
+            a, doc, lo, n, start, bucket = a[order], doc[order], lo[order], n[order], start[order], bucket[order]
+            size = n + (length - 1)
+            for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(bucket)) + 1):
+                text = data[spread_ranges(start[part], size[part])]
+                if kind == MIXED:
+                    out += [r | {"bytes": text.tobytes()} for r in packed(MIXED, bucket[part], a[part], None, doc[part], lo[part], n[part], length)]
+                else:
+                    out += hot_windows(text, doc[part], lo[part], n[part], length, n_window)
         return pa.Table.from_pylist(out, schema=schema)
 
     return run
 
 
+def spread_ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, .. start[0] + size[0] - 1, start[1], ..."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+
+
+def hot_windows(text: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int, n_window: int) -> list[dict]:
+    """Every window of some blocks (their bytes put together), dealt by its own hash; those folded here are covered."""
+    pre = prefix_hash(text)
+    w = spread_ranges(np.concatenate([[0], np.cumsum(n + (length - 1))[:-1]]), n)
+    h = mix((pre[w + length] - pre[w]) * powers(RADIX_INVERSE, len(pre))[w])
+    doc, at, one = np.repeat(doc, n), spread_ranges(lo.astype(np.int64), n), np.ones(len(w), np.int32)
+    first, later = fold(h, doc, at)
+    rows = packed(ANCHORS, ((h & U(0xFFFFFFFF)) % U(n_window)).astype(np.int64)[first], (h >> U(32))[first], h[first], doc[first], at[first], one[first], length)
+    rows += packed(COVERED, np.zeros(len(later), np.int64), None, None, doc[later], at[later], one[later], length)
+    return [r | {"bytes": b""} for r in rows]
+
+
 def stable_order(codes: np.ndarray) -> np.ndarray:
     """Stable argsort of codes under 2**32 by two passes of a 16-bit counting sort."""
     order = np.argsort((codes & 0xFFFF).astype(np.uint16), kind="stable")
