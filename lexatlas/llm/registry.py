@@ -1,8 +1,10 @@
 """Registered queries of the training-data operators."""
 
-from lexatlas.llm import suffix_dedup
+from lexatlas.llm import id_files, packing, suffix_dedup
 
 QUERIES = {
+    "op2_best_fit_packing": packing.op2,
     "op6_suffix_dedup": suffix_dedup.op6,
+    "op9_id_files": id_files.op9,
 }
 ORACLE_SQL: dict[str, str] = {}
