@@ -32,9 +32,9 @@ from lexatlas.llm.textkernel import RADIX_INVERSE, U, mix, powers, prefix_hash,
 #: Bytes of an anchor's gram.
 GRAM = 40
 #: Text bytes dealt to one anchor bucket and one document bucket, and block bytes of one suffix bucket.
-BUCKET_BYTES, SUFFIX_BYTES, SHARD_BYTES = 16 << 20, 2 << 20, 1 << 20
+BUCKET_BYTES, SUFFIX_BYTES, SHARD_BYTES = 8 << 20, 1 << 19, 1 << 17
 #: Distinct blocks of one anchor that may share a suffix bucket.
-HOT_BLOCKS = 20_000
+HOT_BLOCKS = 4_096
 WIDEST_SYMBOL = 25
 
 ANCHORS, COVERED, MIXED, HOT = 0, 1, 2, 3
