@@ -1,8 +1,9 @@
 """Registered queries of the training-data operators."""
 
-from lexatlas.llm import id_files, packing, suffix_dedup
+from lexatlas.llm import id_files, near_dedup, packing, suffix_dedup
 
 QUERIES = {
+    "op1_minhash_near_dedup": near_dedup.op1,
     "op2_best_fit_packing": packing.op2,
     "op6_suffix_dedup": suffix_dedup.op6,
     "op9_id_files": id_files.op9,
