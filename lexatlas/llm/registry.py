@@ -1,10 +1,12 @@
 """Registered queries of the training-data operators."""
 
-from lexatlas.llm import id_files, near_dedup, packing, quality_classifier, quality_rules, suffix_dedup
+from lexatlas.llm import id_files, near_dedup, packing, pii_scan, quality_classifier, quality_rules, secret_scan, suffix_dedup
 
 QUERIES = {
     "op1_minhash_near_dedup": near_dedup.op1,
     "op2_best_fit_packing": packing.op2,
+    "op4_secret_scan": secret_scan.op4,
+    "op5_pii_scan": pii_scan.op5,
     "op6_suffix_dedup": suffix_dedup.op6,
     "op7_quality_classifier": quality_classifier.op7,
     "op8_quality_rules": quality_rules.op8,
