@@ -2,14 +2,14 @@
 
 1. A document's set: the distinct hashes of its word shingles. Its sketch: the SKETCH smallest of them.
 2. Documents with equal sets form a class; only its smallest doc_id goes on.
-3. Inverted lists: retained value -> classes. Similar documents share more than half of their retained values, so a
-   list need only hold a document under the rarer half of its values (those in the fewest sketches): a passage that
-   many documents share fills few of them. Values that one sketch has are dropped, and of lists with equal members one
-   stays.
+3. Inverted lists: retained value -> classes. Similar documents share most of their retained values, so a list need
+   only hold a document under its rarest values (those in the fewest sketches, prefix_reach of them; a set that the
+   sketch holds whole needs only the share that a similar one may lack): a passage that many documents share fills few
+   of them. Values that one sketch has are dropped, and of lists with equal members one stays.
 4. In each list every member is compared with the first, later with the last; pairs whose sizes or whose estimate from
    the union of both sketches rule similarity out go; the others are verified on the full sets of their texts.
-   Verified links make components. Lists whose members are all in one component are done. In the others, members out
-   of the largest component are compared with all members of other components, so no link between components is left.
+   Verified links make components. Lists whose members are all in one component are done. What the others hold
+   together is a family: all its members' full sets are compared in pairs of bounded blocks, so no link is left out.
 5. The links' components, by alternating stars.
 
 Results: rows without doc_id are dropped; a document without words has an empty set and no links; one with fewer words
@@ -28,9 +28,11 @@ from lexatlas.llm import runtime
 from lexatlas.llm.components import components
 from lexatlas.llm.textkernel import U, Words, mix, slices, text_buffers
 
-SHINGLE, SKETCH = 5, 48
+SHINGLE, SKETCH = 5, 64
 #: Similarity in hundredths from which documents are linked, and how far below it an estimate may fall.
-SIMILAR, SLACK = 85, 35
+SIMILAR, SLACK, DEVIATIONS = 85, 25, 5.2
+#: Documents and shingles of one block of a family; columns of incidence multiplied at a time.
+BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS = 1536, 800_000, 2048
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int):
@@ -75,6 +77,16 @@ def sketches(docs: DataFrame, shingle: int, size: int) -> DataFrame:
     return runtime.id_text(docs).mapInArrow(run, SKETCHES)
 
 
+def prefix_reach(size: int, similar: int) -> int:
+    """How many of its retained values a document must be listed under, rarest first, to meet every similar one.
+
+    Two similar sketches share about size * similar / 100 values; DEVIATIONS below that, all but one pair in millions do.
+    """
+    share = similar / 100
+    least = int(size * share - DEVIATIONS * (size * share * (1 - share)) ** 0.5)
+    return size - max(least, 1) + 1
+
+
 def _could_match(similar: int, size: int):
     """Of joined classes a and b: sizes and the estimate from the union's sketch leave similarity possible."""
     sizes = F.expr(f"100 * least(n_a, n_b) >= {similar} * greatest(n_a, n_b)")
@@ -106,6 +118,74 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similar: int) ->
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def full_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """rep and set (64-bit hashes, ascending) of each text."""
+
+    def run(batches):
+        for batch in batches:
+            data, off = text_buffers(batch.column(1))
+            sets = [s.tobytes() for a, b in slices(off) for s in shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], shingle)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "set"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, set binary")
+
+
+def links_between(left: list[np.ndarray], right: list[np.ndarray], similar: int) -> np.ndarray:
+    """left x right: whether two sets are similar. Intersections are products of incidence matrices, some columns at a time."""
+    values = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    dense = np.cumsum(count > 1) - 1
+    shared = count[column] > 1
+    column, owner = dense[column[shared]], owner[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    common = np.zeros((len(left), len(right)), np.float32)
+    for x in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [x, x + COLUMNS])
+        incidence = np.zeros((len(left) + len(right), COLUMNS), np.float32)
+        incidence[owner[a:b], column[a:b] - x] = 1
+        common += incidence[: len(left)] @ incidence[len(left) :].T
+    sizes = np.array([len(x) for x in left])[:, None] + np.array([len(x) for x in right])[None, :]
+    return 100 * common >= similar * (sizes - common)
+
+
+def block_links(placed: DataFrame, texts: DataFrame, shingle: int, similar: int) -> DataFrame:
+    """Links (a, b) between components of a family (rep, root, family, n_shingles): enough of them to join all that are linked.
+
+    A family is cut into blocks of bounded size; each pair of blocks is one task's group.
+    """
+    size = placed.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / BLOCK_DOCS, F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    own = placed.join(size, "family").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    with_sets = own.join(full_sets(texts, shingle), "rep")
+    dealt = with_sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y, block = table.column("x")[0].as_py(), table.column("y")[0].as_py(), table.column("block").to_numpy()
+        rep, root = table.column("rep").to_numpy(), table.column("root").to_numpy()
+        sets = [np.frombuffer(s.as_py(), np.uint64) for s in table.column("set")]
+        i, j = np.flatnonzero(block == x), np.flatnonzero(block == y)
+        out: list[tuple[int, int]] = []
+        if len(i) and len(j):
+            linked = links_between([sets[k] for k in i], [sets[k] for k in j], similar) & (root[i][:, None] != root[j][None, :])
+            leader: dict[int, int] = {}
+
+            def find(r: int) -> int:
+                while (up := leader.get(r, r)) != r:
+                    leader[r] = leader.get(up, up)
+                    r = up
+                return r
+
+            for p, q in zip(*np.nonzero(linked)):
+                m, n = find(int(root[i[p]])), find(int(root[j[q]]))
+                if m != n:
+                    leader[max(m, n)] = min(m, n)
+                    out.append((int(rep[i[p]]), int(rep[j[q]])))
+        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+
+    return dealt.select("family", "x", "y", "block", "rep", "root", "set").groupBy("family", "x", "y").applyInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR, size: int = SKETCH) -> DataFrame:
     """Returns doc_id, n_shingles, component_id (least doc_id reachable by links of at least `similar` hundredths) and kept."""
     docs = runtime.id_text(docs)
@@ -115,11 +195,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMI
     members = drawn.select("doc_id", *key).join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     reps = runtime.stored(drawn.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "sketch"), "classes")
 
-    half = size // 2
     values = reps.select("rep", F.size("sketch").alias("held"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("holders")).where("holders > 1")
     own = Window.partitionBy("rep")
-    reach = F.when(F.col("held") <= half, F.col("held") - F.ceil(F.col("held") * similar / F.lit(100)) + 1).otherwise(half)
+    whole = F.col("held") - F.ceil(F.col("held") * similar / F.lit(100)) + 1
+    reach = F.when(F.col("held") * 100 <= size * similar, whole).otherwise(prefix_reach(size, similar))
     postings = (
         values.join(shared, "v")
         .withColumn("place", F.col("held") - F.count("*").over(own) + F.row_number().over(own.orderBy("holders", "v")))
@@ -151,17 +231,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMI
     links = links.union(tested(turned.join(star, ["a", "b"], "left_anti")))
     roots = components(links)
 
-    # members out of the largest component of their list, compared with all of other components
-    labelled = runtime.stored(label(listed.select("v", "rep"), roots), "labelled")
-    labelled = labelled.join(mixed_lists(labelled), "v", "left_semi")
-    largest = labelled.groupBy("v", "root").count().groupBy("v").agg(F.max_by("root", F.struct("count", "root")).alias("main"))
-    sides = labelled.join(largest, "v").join(reps, "rep")
-    a = sides.where("root <> main").select("v", F.col("rep").alias("a"), F.col("root").alias("root_a"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
-    b = sides.select("v", F.col("rep").alias("b"), F.col("root").alias("root_b"), "main", F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
-    apart = (F.col("root_a") != F.col("root_b")) & ((F.col("root_b") == F.col("main")) | (F.col("a") < F.col("b")))
-    crossed = a.join(b, (a["v"] == b["v"]) & apart & _could_match(similar, size)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crossed = crossed.join(star.union(turned), ["a", "b"], "left_anti")
-    links = links.union(runtime.stored(verified(crossed, texts, shingle, similar), "verified"))
+    # families: what lists of several components hold together; all pairs of their members' full sets, in blocks
+    mixed = runtime.stored(label(listed.select("v", "rep"), roots).join(mixed_lists(label(listed.select("v", "rep"), roots)), "v", "left_semi"), "mixed")
+    meets = mixed.join(mixed.groupBy("v").agg(F.min("rep").alias("b")), "v").select(F.col("rep").alias("a"), "b")
+    families = components(meets)
+    placed = mixed.select("rep", "root").distinct().join(families.select(F.col("id").alias("rep"), F.col("root").alias("family")), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
+    links = links.union(runtime.stored(block_links(placed.join(reps.select("rep", "n_shingles"), "rep"), texts, shingle, similar), "verified"))
     roots = components(links)
     out = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))

@@ -46,6 +46,12 @@ class PieceModel:
         self.id_of = {p: i for i, p in enumerate(self.pieces) if not special[i]}
         self.rank = {p: -model.get_score(i) for p, i in self.id_of.items()}
         self.longest = max(map(len, self.id_of))
+        tails: dict[str, set[int]] = {}
+        for p in self.id_of:
+            if len(p) > 1:
+                tails.setdefault(p[-2:], {1}).add(len(p))
+        #: last two characters -> lengths of the pieces that end so, longest first, and 1
+        self._tails = {k: tuple(sorted(v, reverse=True)) for k, v in tails.items()}
         self.words_apart = not any(SPACE_PIECE in p.lstrip(SPACE_PIECE) for p in self.id_of)
         self._follow: dict[tuple[str, str], bool] = {}
         self._whole: dict[str, bool] = {}
@@ -71,7 +77,7 @@ class PieceModel:
         key = (left, right)
         known = self._follow.get(key)
         if known is None:
-            if len(self._follow) > 4 * MEMO_WORDS:
+            if len(self._follow) > 2 * MEMO_WORDS:
                 self._follow.clear()
             known = self._follow[key] = self.merged(left + right) == [left, right]
         return known
@@ -79,15 +85,32 @@ class PieceModel:
     def stream(self, text: str):
         """Yield the pieces of a normalised text in order, as they are committed."""
         last: dict[int, str] = {}  # boundary -> last piece of the best path to it, of those in the window
-        done = 0
+        done, tails, single, whole, follow = 0, self._tails, (1,), self._whole, self._follow
         for end in range(1, len(text) + 1):
-            for start in range(max(done, end - self.longest), end):
-                piece = text[start:end]
-                if piece not in self.id_of and len(piece) > 1:
+            for size in tails.get(text[end - 2 : end] if end > 1 else "", single):
+                start = end - size
+                if start < done:
                     continue
-                if (len(piece) == 1 or self.whole(piece)) and (start == done or (start in last and self.may_follow(last[start], piece))):
-                    last[end] = piece
-                    break
+                piece = text[start:end]
+                if size > 1:
+                    usable = whole.get(piece)
+                    if usable is None:
+                        usable = piece in self.id_of and self.whole(piece)
+                        if len(whole) > 2 * MEMO_WORDS:
+                            whole.clear()
+                        whole[piece] = usable
+                    if not usable:
+                        continue
+                left = last.get(start)
+                if left is None:
+                    if start:
+                        continue
+                else:
+                    fits = follow.get((left, piece))
+                    if not (self.may_follow(left, piece) if fits is None else fits):
+                        continue
+                last[end] = piece
+                break
             if end - done >= 2 * self.longest or end == len(text):
                 common = self._common(last, done, end, len(text))
                 if common > done:
