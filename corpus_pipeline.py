@@ -1,4 +1,62 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality classifier, near-dedup, suffix-array dedup, secret scans, best-fit packing.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all rows of docs that have a doc_id; all but the last return the
+columns of documents. run() applies them in order to the documents table, each result written and read again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexatlas.llm import near_dedup, packing, quality_classifier, runtime, secret_scan, suffix_dedup
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """n_chars of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from the labels of training rows among docs, does not reject."""
+    docs = docs.select(*COLUMNS).where("doc_id is not null")
+    model, prior = quality_classifier.fit(docs, runtime.table(spark, sf_dir, "labels"))
+    return quality_classifier.keep(docs, model, prior)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest doc_id."""
+    kept = near_dedup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id")
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the characters of strings of 100 bytes or more that occur earlier."""
+    cut = suffix_dedup.remove_repeats(docs.select(*COLUMNS), 100, as_text=True)
+    return _measured(cut.select("doc_id", F.col("kept").cast("string").alias("text"), "rest.lang", "rest.source", "rest.n_chars"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with found secrets replaced by a mark."""
+    return _measured(secret_scan.redact_secrets(docs.select(*COLUMNS)))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents' ids, packed into sequences."""
+    return packing.pack_documents(docs.select("doc_id", "text"))
+
+
+STAGES = [("quality_classifier", quality), ("minhash_near_dedup", near_duplicates), ("suffix_dedup", repeats), ("secret_scan", secrets), ("best_fit_packing", packed)]
+
+#: The classifier and the tokenizer have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = runtime.table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        docs = out if k == len(STAGES) - 1 else runtime.stored(out, name)
+    return docs

@@ -175,6 +175,18 @@ def score(docs: DataFrame, model: Model | None, prior: float) -> DataFrame:
     return runtime.id_text(docs).mapInArrow(run, "doc_id long, score double")
 
 
+def keep(docs: DataFrame, model: Model | None, prior: float, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least the threshold."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            scores = [np.full(len(x), prior) if model is None else model.score(x) for x in batch_features(batch.column(at))]
+            yield batch.filter(pa.array((np.concatenate(scores) if scores else np.zeros(0)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op7(spark, sf_dir: str) -> DataFrame:
     """The digest query: every document's score, learnt from labels of rows that aren't held out."""
     docs = runtime.table(spark, sf_dir, "documents").select("doc_id", "text")
