@@ -92,7 +92,8 @@ def gram_buckets(words: Words, buckets: int) -> list[tuple[np.ndarray, np.ndarra
 def bucket_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> np.ndarray:
     """Counts of each bucket over all documents and over those of the target (2 x buckets; a fixed size, whatever the input)."""
     texts = runtime.id_text(docs)
-    flagged = texts.join(trusted.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("trusted")).distinct(), "doc_id", "left").select("text", "trusted")
+    named = trusted.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(1).alias("trusted")).distinct()
+    flagged = texts.join(named.hint("merge"), "doc_id", "left").select("text", "trusted")  # the target grows with the corpus: the same plan at every size
 
     def run(batches):
         total = np.zeros((2, buckets), np.int64)
