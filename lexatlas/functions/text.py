@@ -85,7 +85,7 @@ def paragraph_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_
     size = max(1, size)
     overlap = min(max(0, overlap), size - 1)
     none = F.array().cast("array<string>")
-    parts = F.filter(F.transform(F.split(text, r"\n\n"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, r"\n\n"), F.trim), lambda p: normalised(p) != "")
 
     def step(acc: Column, p: Column) -> Column:
         now = acc["now"]
@@ -98,7 +98,7 @@ def paragraph_chunks(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_
 
     done = F.aggregate(parts, F.struct(none.alias("out"), F.lit("").alias("now")), step)
     packed = F.when(done["now"] == "", done["out"]).otherwise(F.concat(done["out"], F.array(done["now"])))
-    return F.when(F.trim(text) == "", none).when(F.contains(text, F.lit("\n\n")), packed).otherwise(window_chunks(text, size, overlap))
+    return F.when(normalised(text) == "", none).when(F.contains(text, F.lit("\n\n")), packed).otherwise(window_chunks(text, size, overlap))
 
 
 def _window(compact: Column, at: Column, width: int) -> Column:

@@ -29,9 +29,9 @@ def creator_name(creator: Column) -> Column:
 
 def normalise_items(records: DataFrame, column: str = "json") -> DataFrame:
     """Rows of a JSON text column as items; fields that are blank become null, blank tags go."""
-    item = records.select(F.from_json(column, ITEM_SCHEMA).alias("r")).select(F.coalesce("r.data.key", "r.key").alias("item_key"), F.coalesce("r.data.version", "r.version").alias("version"), "r.data.*")
+    item = records.select(F.from_json(column, ITEM_SCHEMA).alias("r")).select(F.coalesce("r.data.key", "r.key").alias("item_key"), F.coalesce("r.data.version", "r.version").alias("item_version"), "r.data.*")
     return item.select(
-        "item_key", "version", F.col("itemType").alias("item_type"), blank_to_null(F.col("title")).alias("title"),
+        "item_key", F.col("item_version").alias("version"), F.col("itemType").alias("item_type"), blank_to_null(F.col("title")).alias("title"),
         F.filter(F.transform(F.coalesce("creators", F.array().cast("array<struct<creatorType:string,firstName:string,lastName:string,name:string>>")), creator_name), lambda n: n.isNotNull()).alias("creators"),
         blank_to_null(F.col("abstractNote")).alias("abstract"), blank_to_null(F.col("date")).alias("date"), F.nullif(F.regexp_extract("date", r"(?<!\d)((?:18|19|20|21)\d{2})(?!\d)", 1), F.lit("")).alias("year"),
         blank_to_null(F.col("publicationTitle")).alias("publication"), blank_to_null(F.col("DOI")).alias("doi"), blank_to_null(F.col("url")).alias("url"),
