@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest doc_id."""
     kept = near_dedup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return docs.select(*COLUMNS).join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

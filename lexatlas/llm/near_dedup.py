@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMI
     key = ["sig1", "sig2", "n_shingles"]
     classes = drawn.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     members = drawn.select("doc_id", *key).join(classes, key, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
-    reps = runtime.stored(drawn.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "sketch"), "classes")
+    reps = runtime.stored(drawn.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "n_shingles", "sketch"), "classes")
 
     values = reps.select("rep", F.size("sketch").alias("held"), F.explode("sketch").alias("v"))
     shared = values.groupBy("v").agg(F.count("*").alias("holders")).where("holders > 1")
@@ -211,7 +211,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMI
     lists = postings.groupBy("v").agg(F.count("*").alias("m"), F.min("rep").alias("least"), F.max("rep").alias("most"), F.bit_xor(F.xxhash64("rep")).alias("x1"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("x2"))
     lists = lists.where("m > 1").groupBy("m", "x1", "x2", "least", "most").agg(F.min("v").alias("v"))
     listed = runtime.stored(postings.join(lists.select("v", "least", "most"), "v"), "lists")
-    texts = runtime.stored(docs.join(listed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    # merge joins: what is listed grows with the corpus, so the plan is the same at every size
+    texts = runtime.stored(docs.join(listed.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     def tested(pairs: DataFrame) -> DataFrame:
         near = pairs.join(_side(reps, "a"), "a").join(_side(reps, "b"), "b").where(_could_match(similar, size)).select("a", "b")
