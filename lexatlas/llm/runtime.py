@@ -25,8 +25,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) on the JVM side."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/lexatlas/{name}-{uuid.uuid4().hex}"
+    """A new place in the application's scratch folder, which goes when the application ends."""
+    context = spark.sparkContext
+    run = getattr(context, "_lexatlas_run", None)
+    if run is None:
+        run = context._lexatlas_run = f"{shared_dir(spark)}/lexatlas/{uuid.uuid4().hex}"
+        store, target = _hadoop(spark, run)
+        store.mkdirs(target)
+        store.deleteOnExit(target)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -46,9 +60,8 @@ def discard(*frames: DataFrame) -> None:
         path = getattr(df, "_lexatlas_path", None)
         if path is None:
             continue
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        store, target = _hadoop(df.sparkSession, path)
+        store.delete(target, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
