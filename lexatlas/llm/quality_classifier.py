@@ -24,7 +24,7 @@ from lexatlas.llm import runtime
 from lexatlas.llm.quality_rules import duplicate_lines, keyed, per_document
 from lexatlas.llm.textkernel import SPACE, Words, slices, text_buffers
 
-MOST_POSITIVE, MOST_UNLABELLED = 8_000, 12_000
+MOST_POSITIVE, MOST_UNLABELLED = 4_000, 6_000
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 STEPS, RATE, DECAY = 250, 0.05, 1e-4
 KNOTS = (0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.98)
@@ -103,7 +103,10 @@ class Model:
         return np.concatenate([x, np.maximum(x[:, None, :DENSE] - self.knots, 0).reshape(len(x), -1)], axis=1)
 
     def inputs(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((self._hinges(x) - self.mean) / self.scale, -8, 8)
+        out = self._hinges(x)
+        out -= self.mean
+        out /= self.scale
+        return np.clip(out, -8, 8, out=out)
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.inputs(x) @ self.weights + self.bias, -30, 30).astype(np.float64)))
@@ -145,8 +148,7 @@ def _sample_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"x": [r.tobytes() for r in x]})
 
     chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(run, "x binary")
-    rows = [np.frombuffer(r.x, np.float32) for r in chosen.collect()]
-    return np.stack(rows) if rows else np.zeros((0, WIDTH), np.float32)
+    return np.frombuffer(b"".join(r.x for r in chosen.toLocalIterator()), np.float32).reshape(-1, WIDTH)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[Model | None, float]:
