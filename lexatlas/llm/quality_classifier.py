@@ -148,7 +148,7 @@ def _sample_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
                 yield pa.RecordBatch.from_pydict({"x": [r.tobytes() for r in x]})
 
     chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(run, "x binary")
-    return np.frombuffer(b"".join(r.x for r in chosen.toLocalIterator()), np.float32).reshape(-1, WIDTH)
+    return np.frombuffer(b"".join(r.x for r in chosen.collect()), np.float32).reshape(-1, WIDTH)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[Model | None, float]:
