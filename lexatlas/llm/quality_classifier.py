@@ -24,7 +24,7 @@ from lexatlas.llm import runtime
 from lexatlas.llm.quality_rules import duplicate_lines, keyed, per_document
 from lexatlas.llm.textkernel import SPACE, Words, slices, text_buffers
 
-MOST_POSITIVE, MOST_UNLABELLED = 4_000, 6_000
+MOST_POSITIVE, MOST_UNLABELLED = 3_000, 5_000
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 STEPS, RATE, DECAY = 250, 0.05, 1e-4
 KNOTS = (0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.98)
@@ -145,7 +145,7 @@ def _sample_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     def run(batches):
         for batch in batches:
             for x in batch_features(batch.column(0)):
-                yield pa.RecordBatch.from_pydict({"x": [r.tobytes() for r in x]})
+                yield pa.RecordBatch.from_pydict({"x": [x.tobytes()]})  # few large values: the driver gets their memory back
 
     chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(run, "x binary")
     return np.frombuffer(b"".join(r.x for r in chosen.collect()), np.float32).reshape(-1, WIDTH)
