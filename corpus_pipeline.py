@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from lexatlas.llm import near_dedup, packing, quality_classifier, runtime, secret_scan, suffix_dedup
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Similarity in hundredths from which the near-dedup stage links; 85 belongs to op1's own contract.
+STAGE_SIMILAR = 80
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -27,8 +29,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest doc_id."""
-    kept = near_dedup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id")
+    """One document of each near-duplicate group (linked from STAGE_SIMILAR): the one with the smallest doc_id."""
+    kept = near_dedup.near_duplicates(docs.select("doc_id", "text"), similar=STAGE_SIMILAR).where("kept").select("doc_id")
     return docs.select(*COLUMNS).join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 
