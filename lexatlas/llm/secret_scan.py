@@ -17,6 +17,8 @@ its own result; spans that overlap base ones are not added.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,6 +41,14 @@ ENCODINGS = {
     "base62": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", 0.066),
     "base64": ("+-/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz", 0.066),
 }
+#: Prose's classes (lower, upper, digit, mark): shares of the first, steps from each, and the shares of a to z (rare ones raised).
+FIRST = (0.6, 0.2, 0.15, 0.05)
+STEPS = (0.83, 0.04, 0.03, 0.10, 0.60, 0.27, 0.05, 0.08, 0.12, 0.08, 0.65, 0.15, 0.66, 0.16, 0.14, 0.04)
+LETTERS = (0.080, 0.014, 0.030, 0.040, 0.135, 0.017, 0.018, 0.030, 0.075, 0.004, 0.008, 0.045, 0.026, 0.078, 0.060, 0.024, 0.006, 0.067, 0.068, 0.073, 0.037, 0.013, 0.012, 0.005, 0.010, 0.008)
+#: Shares of 0 to f: numbers with few letters, words of a to f, and the upper half of an ASCII letter's byte.
+HEX_NUMBERS = (0.093,) * 10 + (0.07 / 6,) * 6
+HEX_WORDS = (0.01,) * 10 + (0.234, 0.081, 0.108, 0.144, 0.252, 0.081)
+HEX_UPPER = (0.004, 0.004, 0.12, 0.05, 0.03, 0.02, 0.49, 0.242) + (0.005,) * 8
 LENGTH_CLASSES = (32, 64, 128)
 LEVEL, LARGEST_Z = 0.01, 3.3
 #: Grid of -log10 p: steps to the unit and its end.
@@ -50,6 +60,29 @@ def _encoding(token: Column) -> Column:
     return lower.otherwise("base64")
 
 
+def _logs(shares) -> str:
+    return "array(" + ", ".join(f"{math.log(x):.6f}D" for x in shares) + ")"
+
+
+def _log_ratio() -> Column:
+    """Natural log of uniform to prose likelihood of a token with encoding, n and m. One-case tokens may also be uniform over their own letters."""
+    total = lambda weights: f"aggregate({weights}, 0D, (acc, x) -> acc + x)"
+    # hex: codes are 0 to 15
+    alone = lambda shares: total(f"transform(codes, c -> element_at({_logs(shares)}, cast(c as int) + 1))")
+    phase = lambda k: total(f"transform(codes, (c, i) -> if(i % 2 = {k}, element_at({_logs(HEX_UPPER)}, cast(c as int) + 1), {math.log(1 / 16):.6f}D))")
+    hexadecimal = f"-n * ln(16D) - greatest({alone(HEX_NUMBERS)}, {alone(HEX_WORDS)}, {phase(0)}, {phase(1)})"
+    # others: capitals alone are read as small letters
+    folded = "if(token rlike '[a-z]', token, lower(token))"
+    kinds = f"transform(split({folded}, ''), c -> case when c between 'a' and 'z' then 0 when c between 'A' and 'Z' then 1 when c between '0' and '9' then 2 else 3 end)"
+    emitted = f"transform(split(lower(token), ''), c -> case when c between 'a' and 'z' then element_at({_logs(LETTERS)}, ascii(c) - 96) when c between '0' and '9' then {math.log(0.1):.6f}D else {math.log(0.25):.6f}D end)"
+    stepped = f"zip_with(slice(kinds, 1, size(kinds) - 1), slice(kinds, 2, size(kinds) - 1), (x, y) -> element_at({_logs(STEPS)}, 4 * x + y + 1))"
+    one_case = "not (token rlike '[a-z]' and token rlike '[A-Z]')"
+    uniform = f"case when encoding = 'base32' or not ({one_case}) then -n * ln(m) else -n * ln(m - 26) - ln(2D) end"
+    prose = f"element_at({_logs(FIRST)}, element_at(kinds, 1) + 1) + {total(stepped)} + {total(emitted)}"
+    mixed = f"element_at(transform(array({kinds}), kinds -> {uniform} - ({prose})), 1)"
+    return F.expr(f"if(encoding = 'hex', {hexadecimal}, {mixed})")
+
+
 def battery(tokens: DataFrame) -> DataFrame:
     """Adds encoding, n, z_uniform, z_runs, z_serial and log_p (-log10 of the p-value of prose) to rows with a token."""
     pick = lambda k: F.create_map(*[x for e, v in ENCODINGS.items() for x in (F.lit(e), F.lit(v[k]))])[F.col("encoding")]
@@ -66,6 +99,8 @@ def battery(tokens: DataFrame) -> DataFrame:
     sd = m / n * F.sqrt(F.greatest(4 * n**3 * (s3 - s2**2) + 2 * n**2 * (s2 - 2 * s3 + s2**2), F.lit(1.0)))
     z = F.least((F.col("chi") - mean) / sd, F.lit(0.0))
     out = out.withColumn("log_p", F.when(z < 0, z**2 / 2 / F.log(F.lit(10.0)) + F.log10(F.lit(2.0))).otherwise(0.0))
+    ratio = _log_ratio() / F.log(F.lit(10.0))
+    out = out.withColumn("log_p", F.greatest(F.greatest(F.col("log_p"), ratio) - F.log10(F.lit(2.0)), F.lit(0.0)))
     # runs above and below the middle
     out = out.withColumn("high", F.expr("aggregate(codes, cast(0 as double), (acc, c) -> acc + if(c >= m / 2, 1, 0))"))
     out = out.withColumn("runs", F.expr("1 + aggregate(zip_with(slice(codes, 2, size(codes) - 1), slice(codes, 1, size(codes) - 1), (x, y) -> if((x >= m / 2) = (y >= m / 2), 0D, 1D)), 0D, (acc, x) -> acc + x)"))
