@@ -20,21 +20,21 @@ def cluster_count(n: int, requested: int | None = None) -> int:
     return 1 if n < 3 else min(8, max(2, round(math.sqrt(n))))
 
 
-def kmeans(weighted: DataFrame, requested: int | None = None, seed: int = 42, features: int = 4096, key: str = "doc_id") -> DataFrame:
-    """key and cluster_id by k-means over term weights hashed to a fixed width."""
+def kmeans(docs: DataFrame, weighted: DataFrame, requested: int | None = None, seed: int = 42, features: int = 4096, key: str = "doc_id") -> DataFrame:
+    """key and cluster_id of every document, by k-means over term weights hashed to a fixed width; documents without terms are zero vectors."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Vectors, VectorUDT
 
-    weighted = weighted.persist()
-    n = weighted.select(key).distinct().count()
-    k = cluster_count(n, requested)
+    ids = docs.select(key).where(F.col(key).isNotNull()).distinct()
+    k = cluster_count(ids.count(), requested)
     if k <= 1:
-        return weighted.select(key, F.lit(0).alias("cluster_id")).distinct()
+        return ids.select(key, F.lit(0).alias("cluster_id"))
+    sparse = F.udf(lambda pairs: Vectors.sparse(features, [p.b for p in pairs or ()], [p.w for p in pairs or ()]), VectorUDT())
     buckets = weighted.groupBy(key, F.pmod(F.xxhash64("term"), F.lit(features)).cast("int").alias("b")).agg(F.sum("weight").alias("w"))
-    filled = buckets.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("b", "w"))).alias("m"))
-    dense = filled.select(key, array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(features - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0)))).alias("features")).persist()
-    model = KMeans(k=k, seed=seed, maxIter=20).fit(dense)
-    return model.transform(dense).select(key, F.col("prediction").alias("cluster_id"))
+    filled = buckets.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("b", "w"))).alias("pairs"))
+    rows = ids.join(filled.hint("merge"), key, "left").select(key, sparse("pairs").alias("features")).persist()
+    model = KMeans(k=k, seed=seed, maxIter=20).fit(rows)
+    return model.transform(rows).select(key, F.col("prediction").alias("cluster_id"))
 
 
 def circle(n: int) -> np.ndarray:

@@ -379,7 +379,8 @@ def item_detail_nested(spark, sf_dir):
 
 @query()
 def kmeans_clusters(spark, sf_dir):
-    return layout.kmeans(tfidf.weights(read(spark, sf_dir, "documents"), bigrams=False), features=512)
+    docs = read(spark, sf_dir, "documents")
+    return layout.kmeans(docs, tfidf.weights(docs))
 
 
 @query()
