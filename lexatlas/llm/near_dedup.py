@@ -18,6 +18,8 @@ than a shingle has one shingle, the whole sequence; rows that repeat a doc_id ea
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +32,9 @@ from lexatlas.llm.textkernel import U, Words, mix, slices, text_buffers
 
 SHINGLE, SKETCH = 5, 64
 #: Similarity in hundredths from which documents are linked, and how far below it an estimate may fall.
-SIMILAR, SLACK, DEVIATIONS = 85, 25, 5.2
+SIMILAR, SLACK = 85, 25
+#: Chance that a pair at exactly the threshold meets in no list.
+MISSED = 1e-10
 #: Documents and shingles of one block of a family; columns of incidence multiplied at a time.
 BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS = 1536, 800_000, 2048
 
@@ -80,10 +84,15 @@ def sketches(docs: DataFrame, shingle: int, size: int) -> DataFrame:
 def prefix_reach(size: int, similar: int) -> int:
     """How many of its retained values a document must be listed under, rarest first, to meet every similar one.
 
-    Two similar sketches share about size * similar / 100 values; DEVIATIONS below that, all but one pair in millions do.
+    The values that two similar sketches share are at least Bin(size, similar / 100). The reach leaves a chance of at
+    most MISSED, by the exact lower tail, that a pair at the threshold shares too few to meet.
     """
-    share = similar / 100
-    least = int(size * share - DEVIATIONS * (size * share * (1 - share)) ** 0.5)
+    share, tail, least = similar / 100, 0.0, 0
+    while least < size:
+        tail += math.comb(size, least) * share**least * (1 - share) ** (size - least)
+        if tail > MISSED:
+            break
+        least += 1
     return size - max(least, 1) + 1
 
 
