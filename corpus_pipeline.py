@@ -29,9 +29,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (linked from STAGE_SIMILAR): the one with the smallest doc_id."""
-    kept = near_dedup.near_duplicates(docs.select("doc_id", "text"), similar=STAGE_SIMILAR).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One document of each near-duplicate group (linked from STAGE_SIMILAR): the one with the smallest doc_id.
+
+    Of rows equal in doc_id and text one stays. Different texts under one doc_id are documents of their own, in the
+    order of their texts.
+    """
+    docs = docs.select(*COLUMNS).where("doc_id is not null")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        numbered = docs.withColumn("_id", F.col("doc_id"))
+    else:
+        # numbers that rise with doc_id and text
+        numbered = runtime.stored(docs.dropDuplicates(["doc_id", "text"]).orderBy("doc_id", "text").withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    found = near_dedup.near_duplicates(numbered.select(F.col("_id").alias("doc_id"), "text"), similar=STAGE_SIMILAR)
+    kept = found.where("kept").select(F.col("doc_id").alias("_id"))
+    return numbered.join(kept.hint("merge"), "_id", "left_semi").select(*COLUMNS)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,3 +35,12 @@ def test_stage_links_from_eighty(spark):
         rows.append((10 * group + 1, " ".join(changed)))
     assert kept_at(rows, 80) != kept_at(rows, 85)
     assert stage_ids(spark, rows) == kept_at(rows, 80)
+
+
+def test_different_texts_under_one_id_stay(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"v{rng.randrange(10**9)}" for _ in range(60)) for _ in range(3))
+    rows = [(7, a), (7, a), (7, b), (3, c), (7, c), (9, b), (5, "alone"), (5, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text or "") for r in got) == sorted([(7, a), (7, b), (3, c), (5, "alone"), (5, ""), (5, "")])
