@@ -9,7 +9,7 @@ Shards hold ascending ranges of doc_id. Each is written by one task under a name
 row is in the manifest, so a task that runs again leaves at most a file that nothing reads.
 
 Results: rows without doc_id are dropped; a null or empty text is its end id alone; rows that repeat a doc_id follow
-each other, ordered by text.
+each other, ordered by a hash of the text, and may lie in several shards. Extra columns are not written.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexatlas.llm import runtime
 from lexatlas.llm.word_encoder import default_path, encoder
@@ -32,7 +33,9 @@ CODE = struct.Struct("<QQIQ")  # values, universe, low bits, bytes of the unary
 SAMPLE = 64
 END_ID = 2
 SHARD_BYTES = 32 << 20
-MANIFEST = "path string, first_doc long, n_docs long, n_tokens long"
+MANIFEST = "path string, shard long, n_docs long, n_tokens long"
+#: Documents read from a shard at a time; shards whose ids are added up before the driver sees a sum.
+READ_DOCS, SHARD_GROUP = 4096, 1024
 
 
 class EliasFano:
@@ -84,13 +87,24 @@ class EliasFano:
         low = int.from_bytes(self._low[first:last].tobytes(), "little") >> (i * self.low_bits & 7) & ((1 << self.low_bits) - 1)
         return (self.select(i) - i) << self.low_bits | low
 
-    def values(self) -> np.ndarray:
-        """All values at once."""
-        high = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(self._low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
+    def run(self, first: int, last: int) -> np.ndarray:
+        """Values first .. last - 1: select gives the ends of their unary part, and only that is unpacked."""
+        first, last = max(first, 0), min(last, self.n)
+        if first >= last:
+            return np.zeros(0, np.int64)
+        begin, end = self.select(first), self.select(last - 1)
+        ones = np.flatnonzero(np.unpackbits(self._high[begin >> 3 : (end >> 3) + 1], bitorder="little")) + (begin & ~7)
+        high = ones[(ones >= begin) & (ones <= end)] - np.arange(first, last)
+        from_bit, n_bits = first * self.low_bits, (last - first) * self.low_bits
+        packed = self._low[from_bit >> 3 : (from_bit + n_bits + 7) >> 3]
+        bits = np.unpackbits(packed, bitorder="little")[from_bit & 7 :][:n_bits].reshape(last - first, self.low_bits)
         low = bits.astype(np.int64) @ (np.int64(1) << np.arange(self.low_bits, dtype=np.int64))
         return (high.astype(np.int64) << self.low_bits) + low
 
+    def values(self) -> np.ndarray:
+        """All values at once."""
+        return self.run(0, self.n)
+
 
 class IdShard:
     """A shard file's content, decoded."""
@@ -129,9 +143,12 @@ def write_id_files(docs: DataFrame, folder: str, tokenizer: str | None = None, e
     spark = docs.sparkSession
     texts = runtime.id_text(docs)
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    texts = texts.withColumn("h", F.xxhash64("text"))
     n = max(runtime.partitions(spark), -(-total // shard_bytes))
 
     def run(batches):
+        from pyspark import TaskContext
+
         code = encoder(path)
         width = 2 if code.vocabulary <= 1 << 16 else 4
         end = np.array([end_id], f"<u{width}").tobytes()
@@ -150,9 +167,10 @@ def write_id_files(docs: DataFrame, folder: str, tokenizer: str | None = None, e
         name = f"part-{uuid.uuid4().hex}.ids"
         with store.open_output_stream(f"{place}/{name}") as f:
             f.write(raw)
-        yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "first_doc": [doc_ids[0]], "n_docs": [len(doc_ids)], "n_tokens": [sum(lengths)]})
+        yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "shard": [TaskContext.get().partitionId()], "n_docs": [len(doc_ids)], "n_tokens": [sum(lengths)]})
 
-    manifest = texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, MANIFEST)
+    # partitions are ascending ranges, so the partition's number orders the shards
+    manifest = texts.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").mapInArrow(run, MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
@@ -160,12 +178,17 @@ def write_id_files(docs: DataFrame, folder: str, tokenizer: str | None = None, e
 def read_id_files(spark: SparkSession, folder: str, with_ids: bool = True) -> DataFrame:
     """Decode the shards of a folder: doc_id, start (ids of all documents before), n_tokens, ids_crc32 and, if asked for, ids.
 
-    The manifest has one row for each shard, so its size is the number of partitions written.
+    Starts of shards are sums over the manifest (a row for each shard): within groups of SHARD_GROUP shards by window,
+    and over the groups on the driver (a row for each 32 GB of text).
     """
-    shards, start = [], 0
-    for path, _, n_docs, n_tokens in sorted(map(tuple, spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").collect()), key=lambda r: (r[1], r[0])):
-        shards.append((path, start, n_tokens))
-        start += n_tokens
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").withColumn("of", F.floor(F.col("shard") / SHARD_GROUP))
+    before, sums = 0, []
+    for of, n_tokens in sorted(map(tuple, manifest.groupBy("of").agg(F.sum("n_tokens")).collect())):
+        sums.append((of, before))
+        before += n_tokens
+    ahead = Window.partitionBy("of").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    placed = manifest.join(F.broadcast(spark.createDataFrame(sums, "of long, before long")), "of")
+    listed = placed.select("path", (F.col("before") + F.coalesce(F.sum("n_tokens").over(ahead), F.lit(0))).alias("base"), "shard")
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), *[("ids", pa.list_(pa.int32()))] * with_ids])
 
     def run(batches):
@@ -174,16 +197,19 @@ def read_id_files(spark: SparkSession, folder: str, with_ids: bool = True) -> Da
                 store, place = open_store(path)
                 with store.open_input_stream(place) as f:
                     shard = IdShard(f.read())
-                bounds, wide = shard.bounds.values(), shard.ids.astype("<u4")
-                raw, n = wide.tobytes(), np.diff(bounds)
-                crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-                columns = [pa.array(shard.docs.values() + shard.least_doc), pa.array(bounds[:-1] + base), pa.array(n), pa.array(crc, pa.int64())]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(wide.view("<i4"))))
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    listed = spark.createDataFrame(shards, "path string, base long, n_tokens long")
-    dealt = listed.repartition(max(1, len(shards)), "base") if shards else listed
+                for first in range(0, shard.n_docs, READ_DOCS):
+                    last = min(first + READ_DOCS, shard.n_docs)
+                    bounds = shard.bounds.run(first, last + 1)
+                    wide = shard.ids[bounds[0] : bounds[-1]].astype("<u4")
+                    raw, at = wide.tobytes(), bounds - bounds[0]
+                    crc = [zlib.crc32(raw[4 * x : 4 * y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+                    columns = [pa.array(shard.docs.run(first, last) + shard.least_doc), pa.array(bounds[:-1] + base), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())]
+                    if with_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(wide.view("<i4"))))
+                    yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    n_shards = manifest.count()
+    dealt = listed.repartition(max(1, n_shards), "shard").select("path", "base")
     return dealt.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 

@@ -31,9 +31,9 @@ from lexatlas.llm.components import components
 from lexatlas.llm.textkernel import U, Words, mix, slices, text_buffers
 
 SHINGLE, SKETCH = 5, 64
-#: Similarity in hundredths from which documents are linked, and how far below it an estimate may fall.
-SIMILAR, SLACK = 85, 25
-#: Chance that a pair at exactly the threshold meets in no list.
+#: Similarity in hundredths from which documents are linked.
+SIMILAR = 85
+#: Chance that a pair at exactly the threshold meets in no list, and that its estimate rules it out.
 MISSED = 1e-10
 #: Documents and shingles of one block of a family; columns of incidence multiplied at a time.
 BLOCK_DOCS, BLOCK_SHINGLES, COLUMNS = 1536, 800_000, 2048
@@ -87,21 +87,31 @@ def prefix_reach(size: int, similar: int) -> int:
     The values that two similar sketches share are at least Bin(size, similar / 100). The reach leaves a chance of at
     most MISSED, by the exact lower tail, that a pair at the threshold shares too few to meet.
     """
+    return size - max(least_shared(size, similar), 1) + 1
+
+
+def least_shared(size: int, similar: int) -> int:
+    """The most that Bin(size, similar / 100) falls short of with a chance of at most MISSED, by the exact lower tail."""
     share, tail, least = similar / 100, 0.0, 0
     while least < size:
         tail += math.comb(size, least) * share**least * (1 - share) ** (size - least)
         if tail > MISSED:
             break
         least += 1
-    return size - max(least, 1) + 1
+    return least
 
 
 def _could_match(similar: int, size: int):
-    """Of joined classes a and b: sizes and the estimate from the union's sketch leave similarity possible."""
+    """Of joined classes a and b: sizes and the estimate from the union's sketch leave similarity possible.
+
+    A union that the sketch holds whole gives the similarity itself; of a larger one the sketch is a sample, of which a
+    pair at the threshold shares fewer than least_shared values with a chance of at most MISSED.
+    """
     sizes = F.expr(f"100 * least(n_a, n_b) >= {similar} * greatest(n_a, n_b)")
     union = F.slice(F.array_sort(F.array_union("sketch_a", "sketch_b")), 1, size)
     both = F.size(F.array_intersect(F.array_intersect("sketch_a", "sketch_b"), union))
-    return sizes & (both * 100 >= (similar - SLACK) * F.size(union))
+    whole = (F.col("n_a") <= F.size("sketch_a")) & (F.col("n_b") <= F.size("sketch_b")) & (F.size(union) < size)
+    return sizes & F.when(whole, both * 100 >= similar * F.size(union)).otherwise(both >= least_shared(size, similar))
 
 
 def _side(frame: DataFrame, name: str) -> DataFrame:
@@ -225,8 +235,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMI
 
     def tested(pairs: DataFrame) -> DataFrame:
         near = pairs.join(_side(reps, "a"), "a").join(_side(reps, "b"), "b").where(_could_match(similar, size)).select("a", "b")
-        return runtime.stored(verified(near, texts, shingle, similar), "verified")
+        tables.append(runtime.stored(verified(near, texts, shingle, similar), "verified"))
+        return tables[-1]
 
+    tables: list[DataFrame] = []
     star = listed.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     links = tested(star)
     roots = components(links)
@@ -246,8 +258,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMI
     meets = mixed.join(mixed.groupBy("v").agg(F.min("rep").alias("b")), "v").select(F.col("rep").alias("a"), "b")
     families = components(meets)
     placed = mixed.select("rep", "root").distinct().join(families.select(F.col("id").alias("rep"), F.col("root").alias("family")), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
-    links = links.union(runtime.stored(block_links(placed.join(reps.select("rep", "n_shingles"), "rep"), texts, shingle, similar), "verified"))
+    tables.append(runtime.stored(block_links(placed.join(reps.select("rep", "n_shingles"), "rep"), texts, shingle, similar), "verified"))
+    links = links.union(tables[-1])
     roots = components(links)
+    runtime.discard(reps, postings, listed, texts, mixed, families, *tables)
     out = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 

@@ -7,10 +7,12 @@ the share of 1 among labelled training rows. With g the model and l the logistic
 
 (where the second term would go below zero, its gradient is followed upwards instead). Features come from the text
 alone: rates of character classes and of their pairs, repetition of words, word triples and lines, case, word lengths.
-Training reads at most MOST_POSITIVE and MOST_UNLABELLED rows, chosen by a hash of doc_id; scoring reads every document.
+Training reads at most MOST_POSITIVE and MOST_UNLABELLED rows, those with the least hashes of doc_id (ties: the smaller
+doc_id first); scoring reads every document. The prior is kept within LEAST_PRIOR and 1 - LEAST_PRIOR.
 
 Results: rows without doc_id are dropped; null and empty texts have zero features and get the model's score for these;
-a label counts once for a doc_id (the largest, if several differ); without positives every score is the prior.
+a label counts once for a doc_id (the largest, if several differ); without positives every score is the prior; without
+labels the prior is 0.5. Extra columns are no inputs, whatever their names; keep() returns them.
 """
 
 from __future__ import annotations
@@ -24,7 +26,10 @@ from lexatlas.llm import runtime
 from lexatlas.llm.quality_rules import duplicate_lines, keyed, per_document
 from lexatlas.llm.textkernel import SPACE, Words, slices, text_buffers
 
-MOST_POSITIVE, MOST_UNLABELLED = 3_000, 5_000
+MOST_POSITIVE, MOST_UNLABELLED = 8_000, 12_000
+#: Documents and bytes whose features are made at a time; rows of the sample that are prepared at a time.
+SLICE_DOCS, FEATURE_BYTES, STEP_ROWS = 256, 1 << 19, 1024
+LEAST_PRIOR = 0.05
 FOLDS, HELD_OUT, THRESHOLD = 5, 0, 0.3
 STEPS, RATE, DECAY = 250, 0.05, 1e-4
 KNOTS = (0.02, 0.1, 0.3, 0.5, 0.7, 0.9, 0.98)
@@ -86,18 +91,27 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def batch_features(column: pa.Array):
     data, off = text_buffers(column)
-    for a, b in slices(off, 1 << 19):
+    for a, b in slices(off, FEATURE_BYTES, SLICE_DOCS):
         yield features(data[off[a] : off[b]], off[a : b + 1] - off[a])
 
 
 class Model:
     """Standardised features and hinges of the dense ones, linear, logistic."""
 
-    def __init__(self, sample: np.ndarray):
-        self.knots = np.quantile(sample[:, :DENSE], KNOTS, axis=0).astype(np.float32)
-        wide = self._hinges(sample)
-        self.mean, self.scale = wide.mean(axis=0), np.maximum(wide.std(axis=0), 1e-3)
-        self.weights, self.bias = np.zeros(wide.shape[1], np.float32), 0.0
+    def __init__(self, *samples: np.ndarray):
+        """Means and scales of the rows of all samples, a few rows at a time."""
+        self.knots = np.quantile(np.concatenate([x[:, :DENSE] for x in samples]), KNOTS, axis=0).astype(np.float32)
+        n = sum(map(len, samples))
+        width = WIDTH + DENSE * len(KNOTS)
+        mean = sum((wide.sum(axis=0, dtype=np.float64) for wide in self._steps(samples)), np.zeros(width)) / n
+        spread = sum((np.square(wide - mean).sum(axis=0) for wide in self._steps(samples)), np.zeros(width)) / n
+        self.mean, self.scale = mean.astype(np.float32), np.maximum(np.sqrt(spread), 1e-3).astype(np.float32)
+        self.weights, self.bias = np.zeros(width, np.float32), 0.0
+
+    def _steps(self, samples):
+        for x in samples:
+            for k in range(0, len(x), STEP_ROWS):
+                yield self._hinges(x[k : k + STEP_ROWS])
 
     def _hinges(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.maximum(x[:, None, :DENSE] - self.knots, 0).reshape(len(x), -1)], axis=1)
@@ -108,25 +122,39 @@ class Model:
         out /= self.scale
         return np.clip(out, -8, 8, out=out)
 
+    def all_inputs(self, x: np.ndarray) -> np.ndarray:
+        """inputs(x), made a few rows at a time."""
+        out = np.empty((len(x), len(self.mean)), np.float32)
+        for k in range(0, len(x), STEP_ROWS):
+            out[k : k + STEP_ROWS] = self.inputs(x[k : k + STEP_ROWS])
+        return out
+
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.inputs(x) @ self.weights + self.bias, -30, 30).astype(np.float64)))
 
 
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """Of the scores before the logistic function: the two terms of the non-negative risk, the second before it is cut at zero."""
+    return prior * float(np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
+def risk_steps(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Derivatives to step along: of the risk, or of minus its second term where that is below zero."""
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    as_positive, as_negative = prior * sigmoid(zp) / len(zp), sigmoid(zu) / len(zu)
+    if risk(zp, zu, prior)[1] >= 0:
+        return -as_positive - prior * (1 - sigmoid(zp)) / len(zp), as_negative
+    return as_positive, -as_negative
+
+
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> Model:
     """Minimise the non-negative risk by Adam over the whole sample."""
-    model = Model(np.concatenate([positive, unlabelled]))
-    p, u = model.inputs(positive), model.inputs(unlabelled)
+    model = Model(positive, unlabelled)
+    p, u = model.all_inputs(positive), model.all_inputs(unlabelled)
     model.bias = float(np.log(prior / (1 - prior)))
     first, second = np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
-        zp, zu = p @ model.weights + model.bias, u @ model.weights + model.bias
-        as_negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        dp_minus, du_minus = sigmoid(zp) / len(p) * -prior, sigmoid(zu) / len(u)
-        if as_negative >= 0:
-            dp, du = dp_minus - prior * (1 - sigmoid(zp)) / len(p), du_minus
-        else:
-            dp, du = -dp_minus, -du_minus
+        dp, du = risk_steps(p @ model.weights + model.bias, u @ model.weights + model.bias, prior)
         gradient = np.append(p.T @ dp.astype(np.float32) + u.T @ du.astype(np.float32) + DECAY * model.weights, dp.sum() + du.sum())
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         move = RATE / (1 + t / 100) * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
@@ -145,10 +173,16 @@ def _sample_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     def run(batches):
         for batch in batches:
             for x in batch_features(batch.column(0)):
-                yield pa.RecordBatch.from_pydict({"x": [x.tobytes()]})  # few large values: the driver gets their memory back
+                yield pa.RecordBatch.from_pydict({"x": [x.tobytes()], "n": [len(x)]})
 
-    chosen = docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(run, "x binary")
-    return np.frombuffer(b"".join(r.x for r in chosen.collect()), np.float32).reshape(-1, WIDTH)
+    chosen = runtime.stored(docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(run, "x binary, n long"), "sample")
+    out = np.empty((chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], WIDTH), np.float32)
+    at = 0
+    for r in chosen.toLocalIterator():  # one partition at a time, straight into place
+        out[at : at + r.n] = np.frombuffer(r.x, np.float32).reshape(-1, WIDTH)
+        at += r.n
+    runtime.discard(chosen)
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE, most_unlabelled: int = MOST_UNLABELLED) -> tuple[Model | None, float]:
@@ -156,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     texts = runtime.id_text(docs)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality in (0, 1)").where(fold() != HELD_OUT).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     share = known.agg(F.avg("quality"), F.count("*")).first()
-    prior = float(np.clip(share[0] if share[0] is not None else 0.5, 0.05, 0.95))
+    prior = float(np.clip(share[0] if share[0] is not None else 0.5, LEAST_PRIOR, 1 - LEAST_PRIOR))
     bounded = lambda ids, salt, most: ids.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(most)
     positive = _sample_features(texts, bounded(known.where("quality = 1"), 1, most_positive))
     unlabelled = _sample_features(texts, bounded(texts, 2, most_unlabelled))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexatlas.llm import runtime
-from lexatlas.llm.textkernel import SPACE, U, Words, mix, slices, span_hash, text_buffers
+from lexatlas.llm.textkernel import SPACE, U, Words, mix, slices, text_buffers
 
 BUCKETS, ALPHA, THRESHOLD = 1 << 16, 1.0, -0.2
 WINDOW, FEWEST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -42,19 +42,13 @@ def keyed(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def duplicate_lines(words: Words) -> np.ndarray:
-    """Of each document: lines with a word that equal an earlier one."""
+    """Of each document: lines with a word that equal an earlier one, byte for byte."""
     data, off = words.data, words.offsets
-    n_docs, end = len(off) - 1, len(data)
-    feed = np.flatnonzero(data == 0x0A)
-    start = np.sort(np.concatenate([off[:-1], feed + 1]))
-    stop = np.sort(np.concatenate([off[1:], feed]))
-    word = np.concatenate([[0], np.cumsum(~SPACE[data], dtype=np.int64)])
-    full = word[np.minimum(stop, end)] > word[np.minimum(start, end)]
-    start, stop = start[full], stop[full]
-    doc = np.searchsorted(off, start, "right") - 1
-    key = keyed(span_hash(words.pre, start, stop), doc)
-    _, first = np.unique(key, return_index=True)
-    return np.bincount(doc, minlength=n_docs) - np.bincount(doc[first], minlength=n_docs)
+    out = np.zeros(len(off) - 1, np.int64)
+    for d in np.flatnonzero(per_document(data == 0x0A, off)):
+        lines = [x for x in data[off[d] : off[d + 1]].tobytes().split(b"\n") if x.strip()]  # strip() takes off just the white space between words
+        out[d] = len(lines) - len(set(lines))
+    return out
 
 
 def repeated_words(words: Words, n: int) -> np.ndarray:

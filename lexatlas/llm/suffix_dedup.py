@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexatlas.llm import runtime
-from lexatlas.llm.textkernel import RADIX_INVERSE, U, mix, powers, prefix_hash, text_buffers
+from lexatlas.llm.textkernel import RADIX_INVERSE, U, mix, powers, prefix_hash, span_codes, span_digests, text_buffers
 
 #: Bytes of an anchor's gram.
 GRAM = 40
@@ -95,8 +95,7 @@ def blocks_of(data: np.ndarray, length: int, gram: int):
     lo = np.concatenate([[0], turn])
     hi = np.concatenate([turn, [starts]])
     n = hi - lo
-    whole = mix((pre[hi + (length - 1)] - pre[lo]) * back[lo] ^ n.astype(np.uint64) * U(0xD6E8FEB86659FD93))
-    return lo, n, grams[place[lo]], whole
+    return lo, n, grams[place[lo]], span_digests(data, lo, hi + (length - 1))
 
 
 PLACE_BITS = 24
@@ -220,9 +219,8 @@ def spread_ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def hot_windows(text: np.ndarray, doc: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int, n_window: int) -> list[dict]:
     """Every window of some blocks (their bytes put together), dealt by its own hash; those folded here are covered."""
-    pre = prefix_hash(text)
     w = spread_ranges(np.concatenate([[0], np.cumsum(n + (length - 1))[:-1]]), n)
-    h = mix((pre[w + length] - pre[w]) * powers(RADIX_INVERSE, len(pre))[w])
+    h = span_digests(text, w, w + length)
     doc, at, one = np.repeat(doc, n), spread_ranges(lo.astype(np.int64), n), np.ones(len(w), np.int32)
     first, later = fold(h, doc, at)
     rows = packed(ANCHORS, ((h & U(0xFFFFFFFF)) % U(n_window)).astype(np.int64)[first], (h >> U(32))[first], h[first], doc[first], at[first], one[first], length)
@@ -302,12 +300,10 @@ def repeated_windows(data: np.ndarray, size: np.ndarray, length: int, shard_byte
     begin, end = first_slot[string], (first_slot + size)[string]
     slot = np.arange(len(string))
     real = slot <= end - k
-    pre = prefix_hash(data)
     at = (slot - begin + begin_byte[string])[real]
-    symbols = (pre[at + k] - pre[at]) * powers(RADIX_INVERSE, len(pre))[at]
     code = np.zeros(len(string), np.int64)
-    code[real] = np.unique(symbols, return_inverse=True)[1] + 1
-    del pre, symbols, at
+    code[real] = np.unique(span_codes(data, at, at + k), return_inverse=True)[1] + 1
+    del at
     cuts = np.unique(np.searchsorted(first_slot, np.arange(shard_bytes, first_slot[-1] + 1, shard_bytes)))
     shards, offset = [], []
     for part in np.split(np.arange(len(size)), cuts[:254]):

@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-#: Odd multiplier of the polynomial rolling hash modulo 2**64, and its inverse.
+#: Odd multiplier of the polynomial rolling hash modulo 2**64, and its inverse. Such hashes only choose places (anchors);
+#: what is held equal is told by span_codes or span_digests.
 RADIX = 0x9E3779B97F4A7C15
 RADIX_INVERSE = pow(RADIX, -1, 1 << 64)
 #: Slices of about this many bytes keep the working set in the processor's cache.
@@ -43,12 +45,6 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return pre
 
 
-def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the byte spans [start, end), independent of where they lie; the length takes part."""
-    h = (pre[end] - pre[start]) * powers(RADIX_INVERSE, len(pre))[start]
-    return mix(h ^ ((end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93)))
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -64,11 +60,11 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def slices(offsets: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs of documents [a, b) of about `most` bytes; a longer document is a run of its own."""
+def slices(offsets: np.ndarray, most: int = SLICE_BYTES, most_docs: int = 1 << 62) -> Iterator[tuple[int, int]]:
+    """Runs of at most `most_docs` documents [a, b) and of about `most` bytes; a longer document is a run of its own."""
     a, n = 0, len(offsets) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1)
+        b = min(max(a + 1, int(np.searchsorted(offsets, offsets[a] + most, "right")) - 1), a + most_docs)
         yield a, min(b, n)
         a = min(b, n)
 
@@ -79,6 +75,46 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: Spans of more bytes than this are hashed one by one.
+LONG_WORD = 64
+
+
+def span_digests(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit xxh3 digests of the byte spans [start, end)."""
+    raw = memoryview(np.ascontiguousarray(data))
+    return np.fromiter((xxhash.xxh3_64_intdigest(raw[x:y]) for x, y in zip(start.tolist(), end.tolist())), np.uint64, len(start))
+
+
+def span_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans [start, end), wherever they lie: eight bytes at a time, each step through a nonlinear mix.
+
+    No sum of powers takes part, so texts that differ by a rule (one and its complement, say) do not meet.
+    """
+    size = end - start
+    h = mix(size.astype(np.uint64) * U(0xD6E8FEB86659FD93) + U(RADIX))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    at, left, rest = start, size, None
+    for k in range(LONG_WORD // 8):
+        got = eight[at]
+        short = left < 8
+        got[short] &= (U(1) << (left[short].astype(np.uint64) * U(8))) - U(1)
+        if rest is None:
+            h = mix(h ^ got)
+        else:
+            h[rest] = mix((h[rest] + U(0xA0761D6478BD642F)) ^ got)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        rest = more if rest is None else rest[more]
+        at, left = at[more] + 8, left[more] - 8
+    long = np.flatnonzero(size > LONG_WORD)
+    if len(long):
+        h[long] = span_digests(data, start[long], end[long])
+    return h
+
+
 class Words:
     """The words [^\\x20\\x09-\\x0D]+ of a run of documents: start, end (bytes in the run), document and hash."""
 
@@ -95,8 +131,7 @@ class Words:
         after[:-1] = ~word[1:]
         self.start = np.flatnonzero(word & (before | edge[:-1]))
         self.end = np.flatnonzero(word & (after | edge[1:])) + 1
-        self.pre = prefix_hash(self.data)
-        self.hash = span_hash(self.pre, self.start, self.end)
+        self.hash = span_codes(self.data, self.start, self.end)
         #: words of document d are first[d] .. first[d + 1]
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)

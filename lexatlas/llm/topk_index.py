@@ -154,7 +154,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, block: int = BLOC
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in zip(*found)] or [pa.array([], pa.int64())] * 3, names=["query_id", "vec_id", "score"])
 
     # a stated query set against all rows, in blocks: each pair of blocks is one row, dealt evenly
-    paired = index.join(parts, "dim")
+    last = index.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
+    spread = parts.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(last))))
+    paired = index.join(spread.hint("merge"), ["dim", "block"])
     dealt = paired.repartition(runtime.partitions(index.sparkSession), "dim", "block", "part").select("payload", "ids", "qs")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return dealt.mapInArrow(run, "query_id long, vec_id long, score long").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

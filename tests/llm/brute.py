@@ -8,7 +8,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
-def near_duplicates(rows):
+def near_duplicates(rows, similar=85):
     sets, holders = {}, defaultdict(list)
     for i, t in rows:
         w = WORD.findall((t or "").translate(LOWER))
@@ -25,7 +25,7 @@ def near_duplicates(rows):
 
     for i, s in sets.items():
         for j, k in Counter(j for x in s for j in holders[x] if j > i).items():
-            if 100 * k >= 85 * (len(s) + len(sets[j]) - k):
+            if 100 * k >= similar * (len(s) + len(sets[j]) - k):
                 a, b = find(i), find(j)
                 up[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i), find(i) == i) for i in sets}

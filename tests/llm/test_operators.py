@@ -24,6 +24,9 @@ def prose(n):
 
 
 BASE, PASSAGE = prose(120), prose(40)
+#: Two strings whose every sum of powers of an odd number agrees modulo 2**64.
+MORSE = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+ESROM = MORSE.translate({97: 98, 98: 97})
 
 
 def edited(text, n):
@@ -38,6 +41,7 @@ TEXTS = (
     + [edited(BASE, k % 7) for k in range(30)]
     + [prose(60) + " " + PASSAGE + " " + prose(60) for _ in range(12)]
     + ["ab " * 300, "x" * 5000, prose(4000), "é" * 200, PASSAGE[:99], "token = abcdefgh12 " * 40, "a\n" * 50 + "a b c d e f g h " * 5, "The\r\nlines\r\nThe\r\n", "#*$%&|<> <b>", "日本語 テキスト 100%"]
+    + [MORSE, ESROM, MORSE + "\n" + ESROM, "x " + ESROM * 2 + " y", "z " + MORSE * 2 + " y\n" + MORSE]
 )
 
 
@@ -214,6 +218,64 @@ def test_classifier(spark, nothing):
     assert quality_classifier.score(nothing, None, 0.5).count() == 0
 
 
+def test_risk_is_what_its_formula_says():
+    """The non-negative risk and its steps against plain sums and differences."""
+    import math
+
+    rng = np.random.default_rng(2)
+    plain = lambda z, sign: math.log1p(math.exp(-sign * z))
+    for prior, shift in ((0.3, 0.0), (0.7, 4.0), (0.9, -1.0)):
+        zp, zu = rng.normal(1 + shift, 1, 7), rng.normal(0 - shift, 1, 9)
+
+        def terms(p, u):
+            as_positive = prior * sum(plain(z, 1) for z in p) / len(p)
+            return as_positive, sum(plain(z, -1) for z in u) / len(u) - prior * sum(plain(z, -1) for z in p) / len(p)
+
+        assert np.allclose(quality_classifier.risk(zp, zu, prior), terms(zp, zu))
+        below = terms(zp, zu)[1] < 0
+        goal = (lambda p, u: -terms(p, u)[1]) if below else (lambda p, u: sum(terms(p, u)))
+        dp, du = quality_classifier.risk_steps(zp, zu, prior)
+        for x, d, of in ((zp, dp, lambda v: goal(v, zu)), (zu, du, lambda v: goal(zp, v))):
+            for k in range(len(x)):
+                up, down = x.copy(), x.copy()
+                up[k] += 1e-5
+                down[k] -= 1e-5
+                assert abs((of(up) - of(down)) / 2e-5 - d[k]) < 1e-6
+    assert any(quality_classifier.risk(rng.normal(5, 1, 7), rng.normal(-4, 1, 9), 0.7)[1] < 0 for _ in range(3))
+
+
+def test_features_do_not_depend_on_slices():
+    import pyarrow as pa
+
+    column = pa.array([t or "" for t in TEXTS] * 3)
+    data, off = quality_classifier.text_buffers(column)
+    assert np.allclose(quality_classifier.features(data, off), np.concatenate(list(quality_classifier.batch_features(column))))
+
+
+def test_kept_follows_the_log_ratio(spark, docs, rows):
+    """Score and verdict by counting hashed words and pairs one by one."""
+    import math
+
+    buckets = 1 << 8
+    table = docs.where("doc_id is not null")
+    trusted = table.where("doc_id % 4 = 0").select("doc_id")
+    grams = {}
+    for i, t in rows:
+        data, off = quality_rules.text_buffers(quality_rules.pa.array([t or ""]))
+        words = quality_rules.Words(data, off, lower=True)
+        grams[i] = [int(b) for bucket, _ in quality_rules.gram_buckets(words, buckets) for b in bucket]
+    raw, target = [1.0] * buckets, [1.0] * buckets
+    for i, g in grams.items():
+        for b in g:
+            raw[b] += 1
+            target[b] += i % 4 == 0
+    ratio = [math.log(t / sum(target)) - math.log(r / sum(raw)) for t, r in zip(target, raw)]
+    for r in quality_rules.score_documents(table, trusted, threshold=-0.01, buckets=buckets).collect():
+        g = grams[r.doc_id]
+        want = sum(ratio[b] for b in g) / max(len(g), 1)
+        assert abs(r.score - want) < 1e-9 and r.kept == (not r.base_failed and r.score >= -0.01), r
+
+
 def test_secrets(spark, docs, rows, nothing):
     import base64
 
@@ -228,7 +290,7 @@ def test_secrets(spark, docs, rows, nothing):
     assert added == {(1004, key)}
     assert secret_scan.find_secrets(nothing).count() == 0
     clean = {r.doc_id: r.text for r in secret_scan.redact_secrets(docs.select("doc_id", "text")).collect()}
-    assert "abcdefgh12" not in clean[3 * (len(TEXTS) - 5)] and clean[3 * 6] == BASE and clean[0] is None
+    assert "abcdefgh12" not in clean[3 * TEXTS.index("token = abcdefgh12 " * 40)] and clean[3 * 6] == BASE and clean[0] is None
 
 
 def test_private_data(spark, docs, rows, nothing):

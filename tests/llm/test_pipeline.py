@@ -29,7 +29,7 @@ def test_pipeline_stages(spark, small_dir):
     assert good.columns == corpus_pipeline.COLUMNS and sum(i in kept for i in clean) >= 0.95 * len(clean)
     one = runtime.stored(near(spark, good, small_dir), "one")
     rows = [(r.doc_id, r.text) for r in good.collect()]
-    assert {r.doc_id for r in one.collect()} == {i for i, (_, _, k) in brute.near_duplicates(rows).items() if k}
+    assert {r.doc_id for r in one.collect()} == {i for i, (_, _, k) in brute.near_duplicates(rows, corpus_pipeline.STAGE_SIMILAR).items() if k}
     cut = runtime.stored(repeats(spark, one, small_dir), "cut")
     want = brute.repeats([(r.doc_id, r.text) for r in one.collect()])
     for r in cut.collect():
