@@ -18,10 +18,10 @@ MARKED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaa
 
 #: Terms that say nothing about a cluster or a pair. Fixed values.
 GENERIC_TERMS = (
-    "abstract analysis and approach are based between chapter conclusion data document documents example examples experiment "
-    "experiments figure file introduction method methods model models note notes paper papers present problem results section "
-    "show shown study table text that the their this through using when where which with work"
-).split()
+    "abstract", "analysis", "and", "approach", "are", "based", "between", "chapter", "conclusion", "data", "document", "documents", "example", "examples", "experiment",
+    "experiments", "figure", "file", "introduction", "method", "methods", "model", "models", "note", "notes", "paper", "papers", "present", "problem", "results", "section",
+    "show", "shown", "study", "table", "text", "that", "the", "their", "this", "through", "using", "when", "where", "which", "with", "work",
+)
 
 CHUNK_SIZE, CHUNK_OVERLAP = 2000, 200
 
@@ -124,9 +124,29 @@ def excerpt(text: Column, needles: list[str], width: int = 220) -> Column:
 
 
 def preview(text: Column, width: int = 1200) -> Column:
-    return F.when(F.length(text) > width, F.concat(F.rtrim(F.substring(text, 1, width)), F.lit("..."))).otherwise(text)
-
-
-def informative(term: Column, least_length: int = 3) -> Column:
-    """No generic word in it and long enough."""
-    return (F.length(term) >= least_length) & ~F.arrays_overlap(F.split(term, " "), literal(GENERIC_TERMS))
+    """One-spaced, and cut with dots after width characters."""
+    compact = normalised(text)
+    return F.when(F.length(compact) > width, F.concat(F.rtrim(F.substring(compact, 1, width)), F.lit("..."))).otherwise(compact)
+
+
+def informative(term: Column, of_label: bool = True) -> Column:
+    """A term with a word of three letters or more that is not generic; a label's term also has three characters and is no number."""
+    words = F.regexp_extract_all(F.lower(term), F.lit(WORD), F.lit(0))
+    telling = F.exists(words, lambda w: (F.length(w) > 2) & ~w.isin(*GENERIC_TERMS))
+    return telling & (F.length(F.trim(term)) >= 3) & F.exists(words, lambda w: ~w.rlike("^[0-9]+$")) if of_label else telling
+
+
+def match_excerpt(text: Column, words: list[str], width: int = 16, dots: str = " ... ") -> Column:
+    """Around the first token that is one of the words, width tokens of the text: hits in [], dots where text is left out.
+
+    Tokens are those of the full-text index; the window opens at the hit, or earlier where the text ends within it. A text
+    without a hit gives its first tokens.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(rf"{FTS_TOKEN}[^\p{{L}}\p{{N}}]*"), F.lit(0))
+    folded = F.transform(tokens, lambda t: F.get(fts_tokens(t), F.lit(0)))
+    places = F.transform(folded, lambda t: t.isin(*words)) if words else F.transform(folded, lambda t: F.lit(False))
+    first = F.greatest(F.array_position(places, True) - 1, F.lit(0))
+    start = F.greatest(F.least(first, F.size(tokens) - width), F.lit(0)).cast("int")
+    shown = F.zip_with(F.slice(tokens, start + 1, F.lit(width)), F.slice(places, start + 1, F.lit(width)), lambda t, hit: F.when(hit, F.regexp_replace(t, rf"^({FTS_TOKEN})", "[$1]")).otherwise(t))
+    body = F.rtrim(F.array_join(shown, ""))
+    return F.concat(F.when(start > 0, dots).otherwise(""), body, F.when(start + width < F.size(tokens), dots).otherwise(""))

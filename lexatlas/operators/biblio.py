@@ -9,9 +9,9 @@ from lexatlas.functions.text import literal
 
 STATUSES = ("read", "reading", "to_read", "unknown")
 #: Tags and collection paths, in lower case, that tell a reading status. Fixed values.
-READING = ("reading", "currently reading", "in progress")
-TO_READ = ("to read", "to-read", "toread", "unread")
-READ = ("read", "done", "finished")
+READ = ("read", "finished")
+READING = ("reading", "current")
+TO_READ = ("to read", "unread", "queue")
 
 ITEM_SCHEMA = (
     "key string, version long, data struct<key:string,version:long,itemType:string,title:string,creators:array<struct<creatorType:string,firstName:string,lastName:string,name:string>>,"
@@ -63,20 +63,21 @@ def matching(items: DataFrame, status: str | None = None, q: str | None = None)
 def collection_paths(collections: DataFrame, most_depth: int = 32) -> DataFrame:
     """key and path ('a / b / c') of a tree of key, name, parent; a member of a cycle has its key as path.
 
-    Every round moves all rows one level up, so it takes as many joins as the tree is deep.
+    Every round moves all rows one level up, so it takes as many joins as the tree is deep; a tree of more than most_depth
+    levels is an error.
     """
     by_key = collections.select(F.col("key").alias("up"), F.col("name").alias("up_name"), F.col("parent").alias("next"))
     rows = collections.select("key", F.col("name").alias("path"), F.col("parent").alias("up"), F.array("key").alias("seen"), F.lit(False).alias("cycle"))
     for _ in range(most_depth):
         if rows.where("up is not null and not cycle").isEmpty():
-            break
+            return rows.select("key", F.when(F.col("cycle"), F.col("key")).otherwise(F.col("path")).alias("path"))
         moved = rows.join(by_key, "up", "left")
         loop = F.col("up").isNotNull() & F.array_contains("seen", F.col("up"))
         rows = moved.select(
             "key", F.when(F.col("up_name").isNotNull() & ~loop, F.concat("up_name", F.lit(" / "), "path")).otherwise(F.col("path")).alias("path"),
             F.when(loop, F.lit(None)).otherwise(F.col("next")).alias("up"), F.when(F.col("up").isNotNull(), F.array_append("seen", F.col("up"))).otherwise(F.col("seen")).alias("seen"), (F.col("cycle") | F.coalesce(loop, F.lit(False))).alias("cycle"),
         )
-    return rows.select("key", F.when(F.col("cycle"), F.col("key")).otherwise(F.col("path")).alias("path"))
+    raise ValueError(f"collections nest deeper than {most_depth} levels")
 
 
 def resolve_collection(collections: DataFrame, ref: str) -> str:
@@ -93,7 +94,7 @@ def resolve_collection(collections: DataFrame, ref: str) -> str:
 
 def reading_status(tags: Column, paths: Column, has_notes: Column) -> Column:
     """reading before to_read before read (or with notes) before unknown, from whole tags and collection paths."""
-    marks = F.transform(F.concat(F.coalesce(tags, F.array().cast("array<string>")), F.coalesce(paths, F.array().cast("array<string>"))), lambda x: F.lower(F.trim(x)))
+    marks = F.transform(F.concat(F.coalesce(tags, F.array().cast("array<string>")), F.coalesce(paths, F.array().cast("array<string>"))), F.lower)
     has = lambda words: F.arrays_overlap(marks, literal(list(words)))
     return F.when(has(READING), "reading").when(has(TO_READ), "to_read").when(has(READ) | F.coalesce(has_notes, F.lit(False)), "read").otherwise("unknown")
 
@@ -121,3 +122,149 @@ def detail(items: DataFrame, key: str, **children: DataFrame) -> DataFrame:
         empty = F.array().cast(gathered.schema[name].dataType)
         items = items.join(gathered, key, "left").withColumn(name, F.coalesce(name, empty))
     return items
+
+
+COLLECTION_SCHEMA = "key string, version long, data struct<key:string,version:long,name:string,parentCollection:string>"
+CHILD_SCHEMA = "key string, version long, data struct<key:string,parentItem:string,itemType:string,note:string,annotationText:string,annotationComment:string,contentType:string,filename:string,path:string,linkMode:string>"
+#: Attachment statuses that name a readable file. Fixed values.
+RESOLVED = ("resolved", "linked_outside_data_dir")
+
+
+def normalise_collections(records: DataFrame, column: str = "json") -> DataFrame:
+    """Rows of a JSON text column as collections; a parent that is false or blank is null."""
+    c = records.select(F.from_json(column, COLLECTION_SCHEMA).alias("r"))
+    return c.select(F.coalesce("r.data.key", "r.key").alias("key"), F.coalesce("r.data.version", "r.version").alias("version"), blank_to_null(F.col("r.data.name")).alias("name"), F.nullif(blank_to_null(F.col("r.data.parentCollection")), F.lit("false")).alias("parent"))
+
+
+def normalise_children(records: DataFrame, column: str = "json") -> DataFrame:
+    """Rows of a JSON text column as notes, annotations and attachments of a parent item."""
+    c = records.select(F.from_json(column, CHILD_SCHEMA).alias("r")).select(F.coalesce("r.data.key", "r.key").alias("child_key"), "r.data.*")
+    return c.select(
+        F.col("child_key").alias("key"), blank_to_null(F.col("parentItem")).alias("parent"), F.col("itemType").alias("kind"), blank_to_null(F.col("note")).alias("note"), blank_to_null(F.col("annotationText")).alias("annotation"),
+        blank_to_null(F.col("annotationComment")).alias("comment"), blank_to_null(F.col("contentType")).alias("content_type"), blank_to_null(F.col("filename")).alias("filename"), blank_to_null(F.col("path")).alias("path"), blank_to_null(F.col("linkMode")).alias("link_mode"),
+    )
+
+
+def select_uri(key: Column) -> Column:
+    """The link that opens an item in its program, for keys of eight or more capitals and digits."""
+    return F.when(key.rlike("^[A-Z0-9]{8,}$"), F.concat(F.lit("zotero://select/items/"), key))
+
+
+def is_pdf(content_type: Column, filename: Column, path: Column) -> Column:
+    name = F.lower(F.coalesce(blank_to_null(filename), path, F.lit("")))
+    return (F.lower(F.coalesce(content_type, F.lit(""))) == "application/pdf") | name.endswith(".pdf")
+
+
+def library_prefix(value: str) -> str:
+    """The one library that is supported, by any of its names; ValueError for others."""
+    if value.strip().lower().lstrip("/") not in ("users/0", "user", "local"):
+        raise ValueError("only the local user library is supported")
+    return "/users/0"
+
+
+def non_empty(values: tuple[str, ...], option: str) -> None:
+    if any(not v.strip() for v in values):
+        raise ValueError(f"{option} values must not be empty")
+
+
+def resolve_attachments(attachments: DataFrame, files: DataFrame, data_dir: str | None = None) -> DataFrame:
+    """attachments (attachment_key, path, filename) with candidate and path_status, by a listing of files that exist (path)."""
+    path, name = F.coalesce("path", F.lit("")), F.coalesce("filename", F.lit(""))
+    stored, absolute = path.startswith("storage:"), path.startswith("/")
+    inner = F.coalesce(F.nullif(F.substring(path, 9, 1 << 30), F.lit("")), F.nullif(name, F.lit("")))
+    base = data_dir.rstrip("/") if data_dir else ""
+    in_storage = lambda n: F.concat_ws("/", F.lit(f"{base}/storage"), "attachment_key", n)
+    candidate = F.when(absolute, path)
+    if base:
+        candidate = F.when(stored & inner.isNotNull(), in_storage(inner)).when(absolute, path).when(~stored & (path != ""), F.concat(F.lit(base + "/"), path)).when((path == "") & (name != ""), in_storage(name))
+    found = attachments.withColumn("candidate", candidate).join(files.select(F.col("path").alias("candidate"), F.lit(True).alias("there")).distinct(), "candidate", "left")
+    there = F.coalesce("there", F.lit(False))
+    outside = absolute & ~F.col("candidate").startswith(base + "/") if base else F.lit(False)
+    status = F.when((path == "") & (name == ""), "no_local_file").when(stored & F.lit(bool(base)) & inner.isNull(), "unsupported").when(F.col("candidate").isNotNull(), F.when(~there, "missing").when(outside, "linked_outside_data_dir").otherwise("resolved"))
+    return found.select(*attachments.columns, "candidate", status.when((path == "") & F.lit(not base), "unsupported").otherwise("missing").alias("path_status"))
+
+
+def attachment_counts(resolved: DataFrame) -> DataFrame:
+    """One row: attachments seen, resolved, stored and linked."""
+    path = F.coalesce("path", F.lit(""))
+    return resolved.agg(F.count("*").alias("seen"), F.count_if(F.col("path_status").isin(*RESOLVED)).alias("resolved"), F.count_if(path.startswith("storage:")).alias("stored"), F.count_if((path != "") & ~path.startswith("storage:")).alias("linked"))
+
+
+def item_statistics(items: DataFrame, links: DataFrame, attachments: DataFrame) -> DataFrame:
+    """One row: items, distinct linked documents, attachments, and those without a readable file."""
+    unread = F.count_if(F.col("path_status").isin("missing", "no_local_file", "unsupported"))
+    return (
+        items.agg(F.count("*").alias("items"))
+        .crossJoin(F.broadcast(links.agg(F.countDistinct("document_id").alias("documents"))))  # one row each
+        .crossJoin(F.broadcast(attachments.agg(F.count("*").alias("attachments"), unread.alias("missing_attachments"))))
+    )
+
+
+def chosen_items(items: DataFrame, tags: DataFrame, memberships: DataFrame, collections: DataFrame, status: str | None = None, collection: str | None = None, tag: str | None = None, q: str | None = None) -> DataFrame:
+    """Items by status, collection (key, or name or path without regard to case), tag and words; each filter is a semi-join, so no item comes twice."""
+    out = matching(items, status, q)
+    if collection:
+        lower = collection.lower()
+        wanted = collections.where((F.col("key") == collection) | (F.lower("name") == lower) | (F.lower("path") == lower)).select(F.col("key").alias("collection_key"))
+        out = out.join(memberships.join(wanted, "collection_key", "left_semi").select("item_key"), "item_key", "left_semi")
+    if tag:
+        out = out.join(tags.where(F.col("tag") == tag).select("item_key"), "item_key", "left_semi")
+    return out
+
+
+def reading_documents(items: DataFrame, links: DataFrame, documents: DataFrame, texts: DataFrame, limit: int = 1000) -> DataFrame:
+    """Active documents of items, with text, by the items' titles (ties: item, document)."""
+    active = documents.where("status = 'active'").select("document_id", "relative_path")
+    both = items.join(links.select("item_key", "document_id").distinct(), "item_key").join(active, "document_id")
+    return both.join(texts.select("document_id"), "document_id", "left_semi").orderBy("title", "item_key", "document_id").limit(max(0, limit)).join(texts.select("document_id", "text"), "document_id")
+
+
+def collections_of(memberships: DataFrame, collections: DataFrame) -> DataFrame:
+    """item_key and the paths (or names) of its collections, in order without regard to case."""
+    shown = memberships.join(collections.select(F.col("key").alias("collection_key"), F.coalesce("path", "name").alias("shown")), "collection_key")
+    return shown.groupBy("item_key").agg(F.array_sort(F.collect_list(F.struct(F.lower("shown").alias("l"), "shown"))).alias("s")).select("item_key", F.transform("s", lambda x: x["shown"]).alias("paths"))
+
+
+def links_of(links: DataFrame, documents: DataFrame) -> DataFrame:
+    """Links with their document's path and status, null where it is gone."""
+    return links.join(documents.select("document_id", "relative_path", "status"), "document_id", "left")
+
+
+def reading_meta(items: DataFrame, tags: DataFrame, memberships: DataFrame, collections: DataFrame, attachments: DataFrame) -> DataFrame:
+    """item_key with tags, collections and attachment statuses as strings joined by '; ', and the first attachment's status."""
+    folded = lambda rows, column: rows.groupBy("item_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.lower(column).alias("l"), F.col(column).alias("x")))), lambda s: s["x"]), "; ").alias(column))
+    paths = collections_of(memberships, collections).select("item_key", F.array_join("paths", "; ").alias("collections"))
+    files = attachments.groupBy("item_key").agg(F.array_sort(F.collect_list(F.struct("attachment_key", "path_status"))).alias("s")).select("item_key", F.array_join(F.transform("s", lambda x: x["path_status"]), "; ").alias("attachment_status"), F.get("s", F.lit(0))["path_status"].alias("primary_attachment_status"))
+    out = items.select("item_key").join(folded(tags, "tag").withColumnRenamed("tag", "tags"), "item_key", "left").join(paths, "item_key", "left").join(files, "item_key", "left")
+    return out.fillna("", ["tags", "collections", "attachment_status"])
+
+
+def import_items(items: DataFrame, known: DataFrame, min_chars: int = 80, metadata_only: bool = True, pdf_policy: str = "extract", force: bool = False) -> DataFrame:
+    """items (item_key, text, has_pdf, pdf_resolved, pdf_text) against known documents (item_key, sha256): outcome and hash of each.
+
+    outcome: skipped (short without metadata_only, or no PDF text under skip-missing), imported, unchanged or updated.
+    """
+    read = F.coalesce("pdf_text", F.lit("")) != ""
+    skipped = ((F.length("text") < min_chars) & F.lit(not metadata_only)) | (F.lit(pdf_policy == "skip-missing") & F.col("has_pdf") & ~read)
+    hashed = items.withColumn("sha256", F.sha2("text", 256)).join(known.select("item_key", F.col("sha256").alias("old")), "item_key", "left")
+    outcome = F.when(skipped, "skipped").when(F.col("old").isNull(), "imported").when((F.col("old") == F.col("sha256")) & F.lit(not force), "unchanged").otherwise("updated")
+    return hashed.withColumn("outcome", outcome).withColumn("metadata_only", ~skipped & ~read).drop("old")
+
+
+def import_counters(outcomes: DataFrame, attachments: DataFrame, notes: DataFrame) -> DataFrame:
+    """One row of an import's counters; notes: item_key, kind (note or annotation)."""
+    of = lambda o: F.count_if(F.col("outcome") == o)
+    read = F.coalesce("pdf_text", F.lit("")) != ""
+    items = outcomes.agg(
+        F.count("*").alias("items_seen"), of("imported").alias("items_imported"), of("updated").alias("items_updated"), of("unchanged").alias("items_unchanged"), of("skipped").alias("skipped"),
+        F.count_if("has_pdf").alias("pdfs_seen"), F.count_if(F.col("has_pdf") & ~F.col("pdf_resolved")).alias("pdfs_missing"), F.count_if(F.col("has_pdf") & read).alias("pdfs_extracted"),
+        F.count_if(F.col("has_pdf") & F.col("pdf_resolved") & ~read).alias("pdfs_extraction_failed"), F.count_if("metadata_only").alias("metadata_only_documents"),
+    )
+    files = attachment_counts(attachments).select(F.col("seen").alias("attachments_seen"), F.col("resolved").alias("attachments_resolved"), F.col("stored").alias("stored_attachments"), F.col("linked").alias("linked_attachments"))
+    said = notes.agg(F.count_if(F.col("kind") == "note").alias("notes_imported"), F.count_if(F.col("kind") == "annotation").alias("annotations_imported"))
+    return items.crossJoin(F.broadcast(files)).crossJoin(F.broadcast(said))  # one row each
+
+
+def newest_version(items: DataFrame) -> DataFrame:
+    """The cursor of the next import: the highest version, null without any."""
+    return items.agg(F.max("version").alias("version"))

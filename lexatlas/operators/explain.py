@@ -78,7 +78,7 @@ def shared_terms(pairs: DataFrame, limit: int = 8) -> DataFrame:
     raw = counts.withColumn("df", F.count("*").over(both)).withColumn("raw", F.col("tf") * (F.log(F.lit(3.0) / (1 + F.col("df"))) + 1))
     norms = raw.groupBy("pair_id", "side").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
     weighted = raw.where("df = 2").join(norms, ["pair_id", "side"]).groupBy("pair_id", "term").agg(F.exp(F.sum(F.log(F.col("raw") / F.col("norm")))).alias("product"))
-    scored = weighted.where(informative(F.col("term"), 0)).withColumn("score", F.round("product", 9))
+    scored = weighted.where(informative(F.col("term"), of_label=False)).withColumn("score", F.round("product", 9))
     order = Window.partitionBy("pair_id").orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("pair_id", "rank", "term", F.round("score", 4).alias("score"))
 
@@ -115,3 +115,13 @@ def lexical_score(docs: DataFrame, source: int, target: int) -> DataFrame:
     two = docs.where(F.col("doc_id").isin(source, target))
     weighted = tfidf.weights(two, token=LABEL_TOKEN)
     return weighted.groupBy("term").agg(F.collect_list("weight").alias("w")).where(F.size("w") == 2).agg(F.round(F.coalesce(F.sum(F.element_at("w", 1) * F.element_at("w", 2)), F.lit(0.0)), 4).alias("score"))
+
+
+def pair_scores(pairs: DataFrame) -> DataFrame:
+    """pair_id and lexical_score, the cosine of the two sides fitted on them alone; no row where they share no term."""
+    counts = pairs.select("pair_id", "side", F.explode(terms(F.col("text"), LABEL_TOKEN, stop_words())).alias("term")).groupBy("pair_id", "side", "term").agg(F.count("*").alias("tf"))
+    both = Window.partitionBy("pair_id", "term")
+    raw = counts.withColumn("df", F.count("*").over(both)).withColumn("raw", F.col("tf") * (F.log(F.lit(3.0) / (1 + F.col("df"))) + 1))
+    norms = raw.groupBy("pair_id", "side").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm")).groupBy("pair_id").agg(F.product("norm").alias("norms"))
+    shared = raw.where("df = 2").groupBy("pair_id", "term").agg(F.product("raw").alias("p")).groupBy("pair_id").agg(F.sum("p").alias("dot"))
+    return shared.join(norms, "pair_id").select("pair_id", F.round(F.col("dot") / F.col("norms"), 4).alias("lexical_score"))

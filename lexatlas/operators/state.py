@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexatlas.functions.ids import report_id
+
 MIN_CHARS = 80
 
 
@@ -108,3 +110,50 @@ def run_consistency(runs: DataFrame, points: DataFrame, clusters: DataFrame) ->
     c = clusters.groupBy("run_id").agg(F.countDistinct("cluster_id").alias("clusters"))
     both = runs.join(p, "run_id", "left").join(c, "run_id", "left").fillna(0, ["points", "clusters"])
     return both.where((F.col("points") != F.col("document_count")) | (F.col("clusters") != F.col("cluster_count"))).select("run_id", "document_count", "points", "cluster_count", "clusters")
+
+
+def skip_status(path, reason):
+    """How a file that was not read is reported: OCR lacking for an image, a failure, or skipped."""
+    image = F.lower(path).rlike(r"\.(png|jpg|jpeg|webp|tif|tiff)$")
+    return F.when(image & F.contains(reason, F.lit("OCR")), "ocr_unavailable").when(F.contains(F.lower(reason), F.lit("failed")), "failed").otherwise("skipped")
+
+
+def skip_method(path):
+    """The reader that a skipped file was meant for."""
+    lower = F.lower(path)
+    return F.when(lower.rlike(r"\.(png|jpg|jpeg|webp|tif|tiff)$"), "image-ocr-tesseract").when(lower.rlike(r"\.pdf$"), "pdf-pypdf").otherwise("unknown")
+
+
+def next_documents(classified: DataFrame, now: str) -> DataFrame:
+    """The documents table after a run: classified must also carry old_ and new_ text, and old_ first_seen_at, last_seen_at, updated_at.
+
+    A touched document keeps its text and updated_at; one that is no longer read keeps its text but takes the file's hash;
+    a missing one keeps all but its status; new and changed ones take everything of the scan. Skipped new files have no row.
+    """
+    b = F.col("branch")
+    fresh, seen = b.isin("inserted", "updated"), b.isin("inserted", "updated", "unchanged", "skipped", "low_text")
+    take = lambda c: F.when(fresh, F.col(f"new_{c}")).otherwise(F.col(f"old_{c}"))
+    return classified.where(~(b.isin("skipped", "low_text") & ~F.col("was"))).select(
+        "corpus_id", "relative_path", "status", F.when(fresh | b.isin("skipped", "low_text"), F.col("new_sha256")).otherwise(F.col("old_sha256")).alias("sha256"),
+        take("text").alias("text"), F.coalesce("old_first_seen_at", F.lit(now)).alias("first_seen_at"), F.when(seen, F.lit(now)).otherwise(F.col("old_last_seen_at")).alias("last_seen_at"),
+        F.when(b.isin("unchanged", "kept"), F.col("old_updated_at")).otherwise(F.lit(now)).alias("updated_at"),
+    )
+
+
+def reports(classified: DataFrame, run_id: str) -> DataFrame:
+    """One report row for each file that a run saw: status and method. classified carries new_method."""
+    b = F.col("branch")
+    status = F.when(b.isin("inserted", "updated", "unchanged"), "extracted").when(b == "low_text", "unindexed").otherwise(skip_status(F.col("relative_path"), F.col("new_skip_reason")))
+    method = F.when(b == "unchanged", "unchanged").when(b == "skipped", skip_method(F.col("relative_path"))).otherwise(F.col("new_method"))
+    seen = classified.where("seen").withColumn("report_status", status)
+    return seen.select(report_id(F.lit(run_id), F.col("relative_path"), F.col("report_status")).alias("report_id"), F.lit(run_id).alias("run_id"), "relative_path", F.col("report_status").alias("status"), method.alias("method"), F.col("new_skip_reason").alias("reason"))
+
+
+def run_row(classified: DataFrame, chunks: DataFrame, run_id: str, started: str, finished: str) -> DataFrame:
+    """The finished run with all its counters; chunks: the rows of chunks that the run wrote."""
+    written = chunks.agg(F.count("*").alias("chunks_indexed"), F.coalesce(F.sum("char_count"), F.lit(0)).cast("long").alias("characters_indexed"))
+    b = F.col("branch")
+    counted = counters(classified).crossJoin(F.broadcast(written)).crossJoin(  # one row each
+        F.broadcast(classified.agg(F.count_if(b.isin("skipped", "low_text")).alias("warnings"), F.count_if(F.col("status") == "active").alias("active_documents"), F.count_if(b.isin("inserted", "updated")).alias("extracted"), F.count_if((b == "skipped") & F.col("was")).alias("unindexed")))
+    )
+    return counted.select(F.lit(run_id).alias("run_id"), F.lit(started).alias("started_at"), F.lit(finished).alias("finished_at"), F.lit("completed").alias("run_status"), "*")

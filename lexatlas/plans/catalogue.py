@@ -362,7 +362,8 @@ def collection_paths(spark, sf_dir):
 
 @query(S.READING_STATUS)
 def reading_status(spark, sf_dir):
-    rows = read(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 1, F.array(F.lit("To Read"))).when(F.col("doc_id") % 4 == 0, F.array(F.lit(" reading "))).alias("tags"), (F.col("quality") == 0).alias("noted"))
+    words = F.array(*map(F.lit, ["To Read", "Reading", "current", "queue", "unread", "finished", "read", "in progress", "done"]))
+    rows = read(spark, sf_dir, "labels").select(F.filter(F.array(F.get(words, (F.col("doc_id") % 10).cast("int"))), lambda t: t.isNotNull()).alias("tags"), (F.col("quality") == 0).alias("noted"))
     return rows.groupBy(biblio.reading_status(F.col("tags"), F.lit(None).cast("array<string>"), F.col("noted")).alias("status")).agg(F.count("*").alias("n"))
 
 
@@ -387,3 +388,6 @@ def kmeans_clusters(spark, sf_dir):
 def svd_layout(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     return layout.layout(tfidf.weights(docs), docs)
+
+
+from lexatlas.plans import records  # noqa: E402, F401  registers its queries here

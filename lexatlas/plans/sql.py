@@ -76,7 +76,9 @@ def _label_tokens(source: str) -> str:
     return _no_stop(rf"list_filter(regexp_extract_all({source}, '[\p{{L}}\p{{N}}_-]+'), lambda x: regexp_full_match(x, '[a-z][a-z0-9_-]+'))")
 
 
-_INFORMATIVE = f"len(term) >= 3 AND len(list_filter(string_split(term, ' '), lambda x: x IN ({_GENERIC}))) = 0"
+_WORDS_OF = "regexp_extract_all(lower(term), '[a-z0-9]+')"
+_TELLING = f"len(list_filter({_WORDS_OF}, lambda x: length(x) > 2 AND x NOT IN ({_GENERIC}))) > 0"
+_INFORMATIVE = f"{_TELLING} AND length(trim(term)) >= 3 AND len(list_filter({_WORDS_OF}, lambda x: NOT regexp_full_match(x, '[0-9]+'))) > 0"
 
 _CTFIDF = f"""tok AS (SELECT lang AS k, {_label_tokens("lower(coalesce(text, ''))")} AS w FROM documents),
 trm AS (SELECT k, unnest({_BIGRAMS}) AS term FROM tok),
@@ -107,7 +109,7 @@ nrm AS (SELECT pair_id, side, sqrt(sum(raw * raw)) AS norm FROM raw GROUP BY 1,
 mul AS (SELECT pair_id, term, exp(sum(ln(raw / norm))) AS product FROM raw JOIN nrm USING (pair_id, side) WHERE df = 2 GROUP BY 1, 2)
 SELECT pair_id, rank, term, score FROM (
   SELECT pair_id, CAST(row_number() OVER (PARTITION BY pair_id ORDER BY round(product, 9) DESC, term) AS INTEGER) AS rank, term, round(round(product, 9), 4) AS score
-  FROM mul WHERE len(list_filter(string_split(term, ' '), lambda x: x IN ({_GENERIC}))) = 0) WHERE rank <= 8"""
+  FROM mul WHERE {_TELLING}) WHERE rank <= 8"""
 
 _STEP = CHUNK_SIZE - CHUNK_OVERLAP
 
@@ -197,5 +199,6 @@ ITEM_FILTER = "SELECT conv_id AS item_key, count(*) AS turns FROM conversations
 COLLECTION_PATHS = """WITH RECURSIVE tree AS (SELECT 'r' || r_regionkey AS key, r_name AS name, CAST(NULL AS VARCHAR) AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, n_name, 'r' || n_regionkey FROM nation),
 up AS (SELECT key, name AS path, parent FROM tree UNION ALL SELECT up.key, t.name || ' / ' || up.path, t.parent FROM up JOIN tree t ON t.key = up.parent)
 SELECT key, path FROM up WHERE parent IS NULL"""
-READING_STATUS = "SELECT CASE WHEN toxic = 1 THEN 'to_read' WHEN doc_id % 4 = 0 THEN 'reading' WHEN quality = 0 THEN 'read' ELSE 'unknown' END AS status, count(*) AS n FROM labels GROUP BY 1"
+READING_STATUS = """WITH tag AS (SELECT quality = 0 AS noted, lower(list_extract(['To Read', 'Reading', 'current', 'queue', 'unread', 'finished', 'read', 'in progress', 'done'], CAST(doc_id % 10 + 1 AS INTEGER))) AS t FROM labels)
+SELECT CASE WHEN t IN ('reading', 'current') THEN 'reading' WHEN t IN ('to read', 'unread', 'queue') THEN 'to_read' WHEN t IN ('read', 'finished') OR noted THEN 'read' ELSE 'unknown' END AS status, count(*) AS n FROM tag GROUP BY 1"""
 ITEM_DETAIL = "SELECT conv_id AS item_key, string_agg(turn || ':' || role || ':' || length(text), ',' ORDER BY turn, role, length(text)) AS notes FROM conversations GROUP BY 1"

@@ -119,8 +119,8 @@ def latex(raw: str, warnings: list[str], stem: str) -> dict:
     environments = [f"{name}:{one_spaced(label)}" for name, label, _ in ENVIRONMENT.findall(body) if label.strip()]
     abstract = ABSTRACT.search(body)
     metadata = {
-        "author": one_spaced(author[1]) if author else None, "abstract": one_spaced(abstract[1]) if abstract else None, "captions": [one_spaced(c) for c in CAPTION.findall(body)],
-        "citation_keys": cited, "bibliography_keys": books, "labels": list(dict.fromkeys([*(x.strip() for x in LABEL.findall(body)), *environments])),
+        "author": one_spaced(author[1]) if author else "", "abstract": one_spaced(abstract[1]) if abstract else "", "abstract_present": abstract is not None, "captions": [one_spaced(c) for c in CAPTION.findall(body)],
+        "citation_keys": cited, "bibliography_keys": books, "latex_labels": list(dict.fromkeys([*(x.strip() for x in LABEL.findall(body)), *environments])),
     }
     sections = [one_spaced(s) for _, s in SECTION.findall(body)]
     body = SECTION.sub(r"section \2", ABSTRACT.sub(r"abstract \1", body))
@@ -162,7 +162,7 @@ def html_text(source: str | None) -> str:
 
 #: Suffix -> how files of it are read. Others, and formats whose libraries are not installed, give a skip reason.
 READERS = {"txt": plain, "md": markdown, "markdown": markdown, "tex": latex}
-IMAGES = frozenset(("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp"))
+IMAGES = frozenset(("png", "jpg", "jpeg", "webp", "tif", "tiff"))
 
 
 def extract(path: str, content: bytes) -> dict:

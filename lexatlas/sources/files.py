@@ -15,22 +15,26 @@ from lexatlas.sources.extract import IMAGES, extracted
 
 TEXT_SUFFIXES = ("txt", "md", "markdown", "tex")
 #: Directories that a scan leaves out, besides hidden ones. Fixed values.
-IGNORED = ("__pycache__", "node_modules", "venv", "build", "dist", "target")
+IGNORED = ("venv", "node_modules", "__pycache__")
 
 
 def discover(spark: SparkSession, root: str, pdf: bool = True, images: bool = False) -> DataFrame:
-    """relative_path, suffix, content, size_bytes, modified and sha256 of the files under a root, ordered by path."""
+    """relative_path, suffix, content, size_bytes, modified and sha256 of the files under a root (order them by path when they are shown).
+
+    Only files of wanted names are opened. Hidden folders and those of IGNORED are left out; Spark itself leaves out names that begin with . or _.
+    """
     ship(spark)
     wanted = [*TEXT_SUFFIXES, *["pdf"] * pdf, *(sorted(IMAGES) if images else [])]
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    either = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in wanted)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + either + "}").load(root)
     base = root.rstrip("/")
     path = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/{1,3}", "/"), "^" + _quoted(base) + "/", "")
     listed = files.select(path.alias("relative_path"), "content", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
-    folders = F.split("relative_path", "/")
-    hidden = F.exists(folders, lambda p: p.startswith(".") | p.isin(*IGNORED))
+    parts = F.split("relative_path", "/")
+    hidden = F.exists(F.slice(parts, 1, F.size(parts) - 1), lambda p: p.startswith(".") | p.isin(*IGNORED))
     suffix = F.lower(F.regexp_extract("relative_path", r"\.([^./]+)$", 1))
     kept = listed.withColumn("suffix", suffix).where(F.col("suffix").isin(wanted) & ~hidden)
-    return kept.withColumn("sha256", F.sha2("content", 256)).orderBy("relative_path")
+    return kept.withColumn("sha256", F.sha2("content", 256))
 
 
 def _quoted(text: str) -> str:
@@ -67,17 +71,38 @@ def fetch(spark: SparkSession, client: RecordClient, kind: str, limit: int | Non
 
 
 def publish(tables: dict[str, DataFrame], folder: str) -> str:
-    """Write tables as the next snapshot of a folder and point to it: readers see the old or the new one whole."""
+    """Write tables as the next snapshot of a folder, then its numbered pointer.
+
+    Pointers are only added, and readers take the highest one, so they see the old or the new snapshot whole. Two writers
+    at once may take one number: the second one fails.
+    """
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{version}/{name}")
     spark = next(iter(tables.values())).sparkSession
-    spark.createDataFrame([(version, sorted(tables))], "version string, tables array<string>").coalesce(1).write.mode("overwrite").json(f"{folder}/CURRENT")
+    number = 1 + (_highest(spark, folder) or 0)
+    spark.createDataFrame([(version, sorted(tables))], POINTER).coalesce(1).write.json(f"{folder}/pointers/{number:012d}")
     return version
 
 
+POINTER = "version string, tables array<string>"
+
+
+def _highest(spark: SparkSession, folder: str) -> int | None:
+    """The number of the newest whole pointer."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/pointers")
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(place):
+        return None
+    whole = [int(s.getPath().getName()) for s in store.listStatus(place) if store.exists(spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+    return max(whole, default=None)
+
+
 def current(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    pointer = spark.read.schema("version string, tables array<string>").json(f"{folder}/CURRENT").first()
+    number = _highest(spark, folder)
+    if number is None:
+        raise FileNotFoundError(f"no snapshot in {folder}")
+    pointer = spark.read.schema(POINTER).json(f"{folder}/pointers/{number:012d}").first()
     return {name: spark.read.parquet(f"{folder}/{pointer.version}/{name}") for name in pointer.tables}
 
 
