@@ -268,3 +268,27 @@ def import_counters(outcomes: DataFrame, attachments: DataFrame, notes: DataFram
 def newest_version(items: DataFrame) -> DataFrame:
     """The cursor of the next import: the highest version, null without any."""
     return items.agg(F.max("version").alias("version"))
+
+
+def import_library(items: DataFrame, known: DataFrame, attachments: DataFrame, notes: DataFrame, *, collection: str | None = None, tags: tuple[str, ...] = (), item_types: tuple[str, ...] = (), since: int | None = None, limit: int | None = None,
+                   min_chars: int = 80, metadata_only: bool = True, pdf_policy: str = "extract", force: bool = False, dry_run: bool = False) -> dict[str, DataFrame]:
+    """Import the items (item_key, version, item_type, tags, collections, text, has_pdf, pdf_resolved, pdf_text) that pass all filters.
+
+    since: only items of a later version. Returns outcomes, counters and cursor (the version to go on from) and, unless it
+    is a dry run, written: the items to upsert. ValueError for an unknown PDF policy.
+    """
+    if pdf_policy not in ("extract", "metadata", "skip-missing"):
+        raise ValueError(f"no PDF policy {pdf_policy!r}")
+    non_empty(tags, "tag")
+    non_empty(item_types, "item type")
+    chosen = filter_items(items, collection, tags, item_types)
+    if since is not None:
+        chosen = chosen.where(F.col("version") > since)
+    if limit is not None:
+        chosen = chosen.orderBy("item_key").limit(max(0, limit))
+    if pdf_policy == "metadata":
+        chosen = chosen.withColumn("pdf_text", F.lit(""))
+    outcomes = import_items(chosen, known, min_chars, metadata_only, pdf_policy, force)
+    mine = lambda rows: rows.join(chosen.select("item_key"), "item_key", "left_semi")
+    out = {"outcomes": outcomes, "counters": import_counters(outcomes, mine(attachments), mine(notes)), "cursor": newest_version(items)}
+    return out if dry_run else out | {"written": outcomes.where(F.col("outcome").isin("imported", "updated"))}

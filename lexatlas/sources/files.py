@@ -1,10 +1,8 @@
-"""Directory scans, paged record sources, snapshot tables and their export."""
+"""Directory scans and snapshot tables."""
 
 from __future__ import annotations
 
-import json
 import uuid
-from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,23 +51,6 @@ def scan(spark: SparkSession, root: str, min_chars: int = 80, fingerprint: str =
     )
 
 
-class RecordClient(Protocol):
-    """A paged source of JSON records."""
-
-    def page(self, kind: str, start: int, limit: int) -> list[dict]: ...
-
-
-def fetch(spark: SparkSession, client: RecordClient, kind: str, limit: int | None = None, page_size: int = 100) -> DataFrame:
-    """All records of a kind, page after page until one is short or limit is reached, as JSON rows."""
-    rows: list[dict] = []
-    while limit is None or len(rows) < limit:
-        page = client.page(kind, len(rows), page_size)
-        rows += page
-        if len(page) < page_size:
-            break
-    return spark.createDataFrame([(json.dumps(r, sort_keys=True),) for r in rows[:limit]], "json string")
-
-
 def publish(tables: dict[str, DataFrame], folder: str) -> str:
     """Write tables as the next snapshot of a folder, then its numbered pointer.
 
@@ -104,8 +85,3 @@ def current(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         raise FileNotFoundError(f"no snapshot in {folder}")
     pointer = spark.read.schema(POINTER).json(f"{folder}/pointers/{number:012d}").first()
     return {name: spark.read.parquet(f"{folder}/{pointer.version}/{name}") for name in pointer.tables}
-
-
-def manifest(folder_files: DataFrame) -> DataFrame:
-    """relative_path, size_bytes, sha256 of a backup's files, to compare with those of another copy."""
-    return folder_files.select("relative_path", "size_bytes", "sha256")

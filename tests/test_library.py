@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexatlas.functions import ids
 from lexatlas.functions import text as T
 from lexatlas.operators import biblio, explain, library, maps, state, validation
-from lexatlas.sources import export, files
+from lexatlas.sources import export, files, records
 
 
 def rows(df):
@@ -165,3 +165,79 @@ def test_ids(spark):
     digest = lambda *p: hashlib.sha256("\0".join(p).encode()).hexdigest()[:16]
     r = spark.range(1).select(ids.report_id(F.lit("r"), F.lit("p"), F.lit("s")), ids.vector_id(F.lit("m"), F.lit("document"), F.lit("d")), ids.item_id(F.lit("s"), F.lit("K"))).first()
     assert tuple(r) == ("extract_" + digest("r", "p", "s"), "vec_" + digest("m", "document", "d"), "zotero_item_" + digest("s", "K"))
+
+
+def service(telling):
+    class Service:
+        """Seven records a kind, by page; one that tells the total, or one whose pages are linked."""
+
+        def __init__(self, telling):
+            self.telling = telling
+
+        def page(self, path, start, size, since=None):
+            rows = [{"key": f"{path}{i}", "version": i} for i in range(7) if since is None or i > since]
+            end = start + size
+            return records.Page(rows[start:end], len(rows) if self.telling else None, f"{path} {end} {size}" if not self.telling and end < len(rows) else None)
+
+        def follow(self, address):
+            path, start, size = address.split(" ")
+            return self.page(path, int(start), int(size))
+
+    return Service(telling)
+
+
+@pytest.mark.parametrize("telling", [True, False])
+def test_records_are_fetched_page_by_page(spark, telling):
+    got = lambda **k: [json.loads(r.json)["version"] for r in records.fetch(spark, service(telling), "items", page_size=3, **k).collect()]
+    assert sorted(got()) == list(range(7)) and sorted(got(limit=4)) == [0, 1, 2, 3] and got(limit=0) == []
+    if telling:
+        assert sorted(got(since=4)) == [5, 6] and records.count(service(True), "children", "K") == 7
+    assert json.loads(records.fetch(spark, service(telling), "children", "K", limit=1).first().json)["key"] == "/items/K/children0"
+
+
+def test_record_service_over_http(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.send_header("Total-Results", "2")
+            self.send_header("Link", '<http://x/a>; rel="first", <http://x/b>; rel="next"')
+            self.end_headers()
+            self.wfile.write(b'{"no": "list"}' if "tags" in self.path else json.dumps([{"path": self.path}, 3]).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    client = records.HttpClient(f"http://127.0.0.1:{server.server_port}/")
+    page = client.page("/items", -1, 5, since=3)
+    assert page == records.Page([{"path": "/users/0/items?start=0&limit=5&since=3"}], 2, "http://x/b")
+    with pytest.raises(records.RecordError):
+        client.page("/tags", 0, 1)
+    server.shutdown()
+    with pytest.raises(records.RecordError):
+        records.HttpClient("http://127.0.0.1:1").page("/items", 0, 1)
+
+
+def test_import_orchestration(spark):
+    items = spark.createDataFrame(
+        [("A", 1, "book", ["x"], ["c"], "long text " * 20, True, True, "pdf"), ("B", 5, "book", ["x", "y"], ["c"], "short", True, False, ""), ("C", 9, "note", [], [], "long text " * 20, False, False, "")],
+        "item_key string, version long, item_type string, tags array<string>, collections array<string>, text string, has_pdf boolean, pdf_resolved boolean, pdf_text string",
+    )
+    known = spark.createDataFrame([("A", "old")], "item_key string, sha256 string")
+    files_ = spark.createDataFrame([("A", "storage:a.pdf", "resolved"), ("B", "/b.pdf", "missing")], "item_key string, path string, path_status string")
+    notes = spark.createDataFrame([("A", "note"), ("C", "annotation")], "item_key string, kind string")
+    run = lambda **k: biblio.import_library(items, known, files_, notes, **k)
+    out = run()
+    c = out["counters"].first()
+    assert (c.items_seen, c.items_imported, c.items_updated, c.pdfs_missing, c.metadata_only_documents, c.attachments_resolved, c.notes_imported) == (3, 2, 1, 1, 2, 1, 1)
+    assert out["cursor"].first()[0] == 9 and {r.item_key for r in out["written"].collect()} == {"A", "B", "C"} and "written" not in run(dry_run=True)
+    outcomes = lambda **k: {r.item_key: r.outcome for r in run(**k)["outcomes"].collect()}
+    assert outcomes(tags=("x",), since=1) == {"B": "imported"} and outcomes(item_types=("note, book",), collection="c", limit=1) == {"A": "updated"}
+    assert outcomes(pdf_policy="skip-missing", metadata_only=False) == {"A": "updated", "B": "skipped", "C": "imported"}
+    for wrong in ({"pdf_policy": "x"}, {"tags": (" ",)}):
+        with pytest.raises(ValueError):
+            run(**wrong)

@@ -47,15 +47,6 @@ def test_scan_and_snapshot(spark, tmp_path):
     assert files.current(spark, str(tmp_path / "snap"))["documents"].count() == 5
 
 
-def test_paged_fetch(spark):
-    class Client:
-        def page(self, kind, start, limit):
-            return [{"key": k} for k in range(start, min(start + limit, 7))]
-
-    assert files.fetch(spark, Client(), "items", page_size=3).count() == 7
-    assert files.fetch(spark, Client(), "items", limit=4, page_size=3).count() == 4
-
-
 def test_stream(spark, tmp_path):
     from lexatlas.streaming.incremental import stream_documents
 
