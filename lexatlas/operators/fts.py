@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lexatlas.functions.text import MARKED, PLAIN, fts_tokens, normalised
 
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Distinct words of a query.
+MOST_TERMS = 4096
 
 
 def postings(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -26,9 +28,13 @@ def bm25(docs: DataFrame, words: list[str] | DataFrame, text: str = "text", key:
     """
     spark = docs.sparkSession
     wanted = words if isinstance(words, DataFrame) else spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "term string")
-    sized = docs.select(F.size(fts_tokens(F.col(text))).alias("length"))
-    stats = sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    hits = postings(docs, text, key).join(F.broadcast(wanted.distinct()), "term")  # a query's terms
+    terms = sorted({r.term for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect() if r.term is not None})
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"a query has at most {MOST_TERMS} words")
+    held = docs.select(F.col(key), fts_tokens(F.col(text)).alias("tokens")).select(key, F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(*terms) if terms else F.lit(False)).alias("found"))
+    stats = held.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    # only the query's words leave the row
+    hits = held.select(key, "length", F.explode("found").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(IDF_FLOOR)

@@ -11,20 +11,27 @@ from pyspark.sql.window import Window
 from lexatlas.distribution import ship
 from lexatlas.functions.text import TFIDF_TOKEN, stop_words, terms
 
+#: Terms where a corpus has no others.
+ANY_TOKEN = r"[\p{L}\p{N}_]+"
 BLOCK = 1024
 #: Terms whose postings in two blocks make more products than this are multiplied as dense columns.
 DENSE_PRODUCTS, DENSE_COLUMNS = 4096, 1024
 
 
 def weights(docs: DataFrame, text: str = "text", key: str = "doc_id", token: str = TFIDF_TOKEN, stop: list[str] | None = None, bigrams: bool = True) -> DataFrame:
-    """key, term, weight: tf * (ln((1 + n) / (1 + df)) + 1), each row of unit length; documents without terms have no rows."""
+    """key, term, weight: tf * (ln((1 + n) / (1 + df)) + 1), each row of unit length; documents without terms have no rows.
+
+    If the texts hold no term at all, they are read again without stop words and with terms of one character.
+    """
     stop = stop_words() if stop is None else stop
+    if docs.where(F.size(terms(F.col(text), token, stop, False)) > 0).isEmpty():
+        token, stop = ANY_TOKEN, []
     counts = docs.select(F.col(key), F.explode(terms(F.col(text), token, stop, bigrams)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     n = docs.agg(F.count("*").alias("n"))
     df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counts.join(df, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    # a document's terms meet in one place anyway: its norm needs no second pass over the corpus
+    return raw.select(key, "term", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))).alias("weight"))
 
 
 def top_terms(weighted: DataFrame, limit: int = 8, key: str = "doc_id") -> DataFrame:

@@ -14,9 +14,7 @@ def stream_documents(spark: SparkSession, source: str, schema: str, folder: str,
     def merge(batch: DataFrame, epoch: int) -> None:
         try:
             old = current(batch.sparkSession, folder)["documents"]
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        except FileNotFoundError:
             old = batch.limit(0)
         publish({"documents": upsert(old, batch.dropDuplicates(list(keys)), list(keys))}, folder)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.functions import ids
 from lexatlas.functions import text as T
-from lexatlas.operators import biblio, explain, library, maps, state, validation
+from lexatlas.operators import biblio, explain, fts, library, maps, state, tfidf, validation
 from lexatlas.sources import export, files, records
 
 
@@ -241,3 +241,17 @@ def test_import_orchestration(spark):
     for wrong in ({"pdf_policy": "x"}, {"tags": (" ",)}):
         with pytest.raises(ValueError):
             run(**wrong)
+
+
+def test_terms_of_a_corpus_without_others(spark):
+    of = lambda *texts: {(r.doc_id, r.term) for r in tfidf.weights(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    assert of("the a", "a", None) == {(0, "the"), (0, "a"), (0, "the a"), (1, "a")} and of("", None) == set()
+    assert of("the graph", "a") == {(0, "graph")}
+
+
+def test_ranking_of_words_by_list_and_frame(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, "c"), (4, None)], "doc_id long, text string")
+    both = [rows(fts.bm25(docs, w).withColumn("score", F.round("score", 9))) for w in (["a", "b", "b"], spark.createDataFrame([("a",), ("b",), (None,)], "term string"))]
+    assert both[0] == both[1] and [i for i, _ in both[0]] == [1, 2] and rows(fts.bm25(docs, [])) == []
+    with pytest.raises(ValueError):
+        fts.bm25(docs, [f"w{k}" for k in range(fts.MOST_TERMS + 1)])
