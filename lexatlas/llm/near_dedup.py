@@ -28,7 +28,7 @@ from pyspark.sql.window import Window
 
 from lexatlas.llm import runtime
 from lexatlas.llm.components import components
-from lexatlas.llm.textkernel import U, Words, mix, slices, text_buffers
+from lexatlas.llm.textkernel import U, Words, mix, of_batches, of_group, slices, text_buffers
 
 SHINGLE, SKETCH = 5, 64
 #: Similarity in hundredths from which documents are linked.
@@ -78,7 +78,7 @@ def sketches(docs: DataFrame, shingle: int, size: int) -> DataFrame:
                 names=["doc_id", "n_shingles", "sig1", "sig2", "sketch"],
             )
 
-    return runtime.id_text(docs).mapInArrow(run, SKETCHES)
+    return runtime.id_text(docs).mapInArrow(of_batches(run), SKETCHES)
 
 
 def prefix_reach(size: int, similar: int) -> int:
@@ -134,7 +134,7 @@ def verified(pairs: DataFrame, texts: DataFrame, shingle: int, similar: int) ->
 
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     with_both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(of_batches(run), "a long, b long")
 
 
 def full_sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -146,7 +146,7 @@ def full_sets(texts: DataFrame, shingle: int) -> DataFrame:
             sets = [s.tobytes() for a, b in slices(off) for s in shingle_sets(data[off[a] : off[b]], off[a : b + 1] - off[a], shingle)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["rep", "set"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "rep long, set binary")
+    return texts.select("doc_id", "text").mapInArrow(of_batches(run), "rep long, set binary")
 
 
 def links_between(left: list[np.ndarray], right: list[np.ndarray], similar: int) -> np.ndarray:
@@ -202,7 +202,7 @@ def block_links(placed: DataFrame, texts: DataFrame, shingle: int, similar: int)
                     out.append((int(rep[i[p]]), int(rep[j[q]])))
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
-    return dealt.select("family", "x", "y", "block", "rep", "root", "set").groupBy("family", "x", "y").applyInArrow(run, "a long, b long")
+    return dealt.select("family", "x", "y", "block", "rep", "root", "set").groupBy("family", "x", "y").applyInArrow(of_group(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR, size: int = SKETCH) -> DataFrame:

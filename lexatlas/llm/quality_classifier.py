@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.llm import runtime
 from lexatlas.llm.quality_rules import duplicate_lines, keyed, per_document
-from lexatlas.llm.textkernel import SPACE, Words, slices, text_buffers
+from lexatlas.llm.textkernel import SPACE, Words, give_back, of_batches, slices, text_buffers
 
 MOST_POSITIVE, MOST_UNLABELLED = 8_000, 12_000
 #: Documents and bytes whose features are made at a time; rows of the sample that are prepared at a time.
@@ -53,6 +53,8 @@ def _class_table() -> np.ndarray:
 _CLASS = _class_table()
 DENSE = 12
 WIDTH = DENSE + CLASSES + CLASSES * CLASSES
+#: With the hinges of the dense features.
+WIDE = WIDTH + DENSE * len(KNOTS)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -102,16 +104,15 @@ class Model:
         """Means and scales of the rows of all samples, a few rows at a time."""
         self.knots = np.quantile(np.concatenate([x[:, :DENSE] for x in samples]), KNOTS, axis=0).astype(np.float32)
         n = sum(map(len, samples))
-        width = WIDTH + DENSE * len(KNOTS)
-        mean = sum((wide.sum(axis=0, dtype=np.float64) for wide in self._steps(samples)), np.zeros(width)) / n
-        spread = sum((np.square(wide - mean).sum(axis=0) for wide in self._steps(samples)), np.zeros(width)) / n
+        mean = sum((wide.sum(axis=0, dtype=np.float64) for wide in self._steps(samples)), np.zeros(WIDE)) / n
+        spread = sum((np.square(wide - mean).sum(axis=0) for wide in self._steps(samples)), np.zeros(WIDE)) / n
         self.mean, self.scale = mean.astype(np.float32), np.maximum(np.sqrt(spread), 1e-3).astype(np.float32)
-        self.weights, self.bias = np.zeros(width, np.float32), 0.0
+        self.weights, self.bias = np.zeros(WIDE, np.float32), 0.0
 
     def _steps(self, samples):
         for x in samples:
             for k in range(0, len(x), STEP_ROWS):
-                yield self._hinges(x[k : k + STEP_ROWS])
+                yield self._hinges(x[k : k + STEP_ROWS, :WIDTH])
 
     def _hinges(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.maximum(x[:, None, :DENSE] - self.knots, 0).reshape(len(x), -1)], axis=1)
@@ -122,12 +123,11 @@ class Model:
         out /= self.scale
         return np.clip(out, -8, 8, out=out)
 
-    def all_inputs(self, x: np.ndarray) -> np.ndarray:
-        """inputs(x), made a few rows at a time."""
-        out = np.empty((len(x), len(self.mean)), np.float32)
+    def fill(self, x: np.ndarray) -> np.ndarray:
+        """Turn rows of WIDE columns, the first WIDTH of them features, into the model's inputs in place."""
         for k in range(0, len(x), STEP_ROWS):
-            out[k : k + STEP_ROWS] = self.inputs(x[k : k + STEP_ROWS])
-        return out
+            x[k : k + STEP_ROWS] = self.inputs(x[k : k + STEP_ROWS, :WIDTH])
+        return x
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.inputs(x) @ self.weights + self.bias, -30, 30).astype(np.float64)))
@@ -148,9 +148,9 @@ def risk_steps(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> Model:
-    """Minimise the non-negative risk by Adam over the whole sample."""
+    """Minimise the non-negative risk by Adam over the whole sample. The samples (rows of WIDE columns) become the inputs, in place."""
     model = Model(positive, unlabelled)
-    p, u = model.all_inputs(positive), model.all_inputs(unlabelled)
+    p, u = model.fill(positive), model.fill(unlabelled)
     model.bias = float(np.log(prior / (1 - prior)))
     first, second = np.zeros(p.shape[1] + 1), np.zeros(p.shape[1] + 1)
     for t in range(1, steps + 1):
@@ -168,20 +168,24 @@ def fold(column="doc_id"):
 
 
 def _sample_features(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the documents with some ids (as many as a sample's bound at most)."""
+    """Features of the documents with some ids (as many as a sample's bound at most), in rows of WIDE columns of which the first WIDTH are filled."""
 
     def run(batches):
         for batch in batches:
             for x in batch_features(batch.column(0)):
                 yield pa.RecordBatch.from_pydict({"x": [x.tobytes()], "n": [len(x)]})
 
-    chosen = runtime.stored(docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(run, "x binary, n long"), "sample")
-    out = np.empty((chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], WIDTH), np.float32)
+    chosen = runtime.stored(docs.join(F.broadcast(ids), "doc_id", "left_semi").select("text").mapInArrow(of_batches(run), "x binary, n long"), "sample")
+    out = np.empty((chosen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], WIDE), np.float32)
     at = 0
     for r in chosen.toLocalIterator():  # one partition at a time, straight into place
-        out[at : at + r.n] = np.frombuffer(r.x, np.float32).reshape(-1, WIDTH)
+        out[at : at + r.n, :WIDTH] = np.frombuffer(r.x, np.float32).reshape(-1, WIDTH)
         at += r.n
     runtime.discard(chosen)
+    # rows arrive in any order; sums should not depend on it
+    order = np.lexsort((out[:, 3], out[:, 1], out[:, 0]))
+    for k in range(0, WIDTH, 64):
+        out[:, k : k + 64] = out[order, k : k + 64]
     return out
 
 
@@ -196,8 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, most_positive: int = MOST_POSITIVE,
     unlabelled = _sample_features(texts, bounded(texts, 2, most_unlabelled))
     if not len(positive) or not len(unlabelled):
         return None, prior
-    order = lambda x: x[np.lexsort((x[:, 3], x[:, 1], x[:, 0]))]  # noqa: E731  rows arrive in any order; sums should not
-    return train(order(positive), order(unlabelled), prior), prior
+    model = train(positive, unlabelled, prior)
+    del positive, unlabelled
+    give_back()
+    return model, prior
 
 
 def score(docs: DataFrame, model: Model | None, prior: float) -> DataFrame:
@@ -208,7 +214,7 @@ def score(docs: DataFrame, model: Model | None, prior: float) -> DataFrame:
             scores = [np.full(len(x), prior) if model is None else model.score(x) for x in batch_features(batch.column(1))]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": np.concatenate(scores) if scores else np.zeros(0)})
 
-    return runtime.id_text(docs).mapInArrow(run, "doc_id long, score double")
+    return runtime.id_text(docs).mapInArrow(of_batches(run), "doc_id long, score double")
 
 
 def keep(docs: DataFrame, model: Model | None, prior: float, threshold: float = THRESHOLD) -> DataFrame:
@@ -220,7 +226,7 @@ def keep(docs: DataFrame, model: Model | None, prior: float, threshold: float =
             scores = [np.full(len(x), prior) if model is None else model.score(x) for x in batch_features(batch.column(at))]
             yield batch.filter(pa.array((np.concatenate(scores) if scores else np.zeros(0)) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(of_batches(run), docs.schema)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexatlas.llm import runtime
-from lexatlas.llm.textkernel import SPACE, U, Words, mix, slices, text_buffers
+from lexatlas.llm.textkernel import SPACE, U, Words, mix, of_batches, slices, text_buffers
 
 BUCKETS, ALPHA, THRESHOLD = 1 << 16, 1.0, -0.2
 WINDOW, FEWEST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -145,7 +145,7 @@ def score_documents(docs: DataFrame, trusted: DataFrame, threshold: float = THRE
             kept = ~failed & (columns["score"] >= threshold)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **{k: columns[k] for k in COUNTS}, "base_failed": failed, "kept": kept, "score": columns["score"].astype(np.float64)})
 
-    return runtime.id_text(docs).mapInArrow(run, f"doc_id long, {', '.join(f'{k} long' for k in COUNTS)}, base_failed boolean, kept boolean, score double")
+    return runtime.id_text(docs).mapInArrow(of_batches(run), f"doc_id long, {', '.join(f'{k} long' for k in COUNTS)}, base_failed boolean, kept boolean, score double")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

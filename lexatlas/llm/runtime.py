@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 from lexatlas.distribution import ship
 
 DOC_SCHEMA = "doc_id long, text string"
+#: Rows and bytes of an Arrow batch that a Python worker gets at once, unless the session says otherwise.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4096", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and bound the batches of workers where the session has no setting of its own."""
+    ship(spark)
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,7 +56,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write the rows as a table in the shared folder and read it back."""
     spark = df.sparkSession
-    ship(spark)
+    prepare(spark)
     path = scratch_path(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -65,13 +75,13 @@ def discard(*frames: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def id_text(docs: DataFrame) -> DataFrame:
     """doc_id as long and text with null as empty; rows without doc_id and extra columns go."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).where("doc_id is not null")
 
 

@@ -25,9 +25,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from lexatlas.llm import runtime
-from lexatlas.llm.textkernel import RADIX_INVERSE, U, mix, powers, prefix_hash, span_codes, span_digests, text_buffers
+from lexatlas.llm.textkernel import RADIX_INVERSE, U, mix, of_batches, of_group, of_pair, powers, prefix_hash, span_codes, span_digests, text_buffers
 
 #: Bytes of an anchor's gram.
 GRAM = 40
@@ -265,13 +266,14 @@ class Shard:
 def merge(shards: list[Shard], depth: int):
     """Refine the interleave of the shards' transforms depth times.
 
-    Returns (source shard, number of its interval, common prefix with the predecessor in symbols, at most depth) of
-    each merged suffix. Order within an interval follows the shards.
+    Returns (source shard, common prefix with the predecessor in symbols, at most depth) of each merged suffix. Suffixes
+    between two places with a common prefix under depth agree in depth symbols; among them the order follows the shards.
     """
-    source = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s.bwt) for s in shards])
+    number = np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint16 if len(shards) < 65536 else np.uint32)
+    source = np.repeat(number, [len(s.bwt) for s in shards])
     bwt = np.concatenate([s.bwt for s in shards])
     ends = sum(s.ends for s in shards)
-    fixed = np.repeat(np.arange(len(shards), dtype=np.uint8), [s.ends for s in shards])
+    fixed = np.repeat(number, [s.ends for s in shards])
     interval = np.zeros(len(source), np.int32)
     common = np.full(len(source), depth, np.int32)
     for h in range(depth):
@@ -286,7 +288,7 @@ def merge(shards: list[Shard], depth: int):
         source = np.concatenate([fixed, source[order]])
         common[mark & (common == depth)] = h
         interval = np.cumsum(mark, dtype=np.int32)
-    return source, interval, common
+    return source, common
 
 
 def repeated_windows(data: np.ndarray, size: np.ndarray, length: int, shard_bytes: int) -> np.ndarray:
@@ -306,14 +308,15 @@ def repeated_windows(data: np.ndarray, size: np.ndarray, length: int, shard_byte
     del at
     cuts = np.unique(np.searchsorted(first_slot, np.arange(shard_bytes, first_slot[-1] + 1, shard_bytes)))
     shards, offset = [], []
-    for part in np.split(np.arange(len(size)), cuts[:254]):
+    for part in np.split(np.arange(len(size)), cuts):
         if len(part):
             x, y = first_slot[part[0]], first_slot[part[-1]] + slots[part[-1]]
             shards.append(Shard(code[x:y], begin[x:y] - x, end[x:y] - x, k, depth))
             offset.append(x)
-    source, interval, _ = merge(shards, depth)
+    source, common = merge(shards, depth)
     suffix = np.empty(len(source), np.int64)
     suffix[np.argsort(source, kind="stable")] = np.concatenate([s.suffix + x for s, x in zip(shards, offset)])
+    interval = np.cumsum(common < depth)  # a repeated interval is a run of common prefixes of the whole depth
     window = suffix <= end[suffix] - length
     suffix, interval = suffix[window], interval[window]
     if not len(suffix):
@@ -416,20 +419,21 @@ def remove_repeats(docs: DataFrame, min_length: int = 100, *, as_text: bool = Fa
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_anchor = max(runtime.partitions(spark), -(-total // BUCKET_BYTES))
     n_doc = next_prime(n_anchor)
-    dealt = texts.mapInArrow(map_anchors(min_length, gram, n_anchor, n_doc), PACKED)
-    found = runtime.stored(dealt.groupBy("bucket").applyInArrow(reduce_anchors(min_length, n_doc, hot_blocks), PACKED), "anchors")
+    dealt = texts.mapInArrow(of_batches(map_anchors(min_length, gram, n_anchor, n_doc)), PACKED)
+    found = runtime.stored(dealt.repartition(n_anchor, "bucket").groupBy("bucket").applyInArrow(of_group(reduce_anchors(min_length, n_doc, hot_blocks)), PACKED), "anchors")
     mixed = found.where(F.col("kind").isin(MIXED, HOT))
     n_suffix = max(runtime.partitions(spark), -(-(mixed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]) // suffix_bytes))
     by_bucket = lambda df: df.withColumn("bucket", F.pmod("doc_id", F.lit(n_doc)).cast("int"))
-    blocks = runtime.stored(by_bucket(texts).groupBy("bucket").cogroup(mixed.groupBy("bucket")).applyInArrow(fetch_blocks(min_length, n_suffix, n_suffix), PACKED + ", bytes binary"), "blocks")
-    merged = blocks.where(F.col("kind") == MIXED).groupBy("bucket").applyInArrow(reduce_suffixes(min_length, n_doc, shard_bytes), PACKED)
-    single = blocks.where((F.col("kind") == ANCHORS) & (F.length("c") > 0)).drop("bytes").groupBy("bucket").applyInArrow(reduce_anchors(min_length, n_doc, 1 << 62), PACKED).where(F.col("kind") == COVERED)
+    blocks = runtime.stored(by_bucket(texts).repartition(n_doc, "bucket").groupBy("bucket").cogroup(mixed.repartition(n_doc, "bucket").groupBy("bucket")).applyInArrow(of_pair(fetch_blocks(min_length, n_suffix, n_suffix)), PACKED + ", bytes binary"), "blocks")
+    merged = blocks.where(F.col("kind") == MIXED).repartition(n_suffix, "bucket").groupBy("bucket").applyInArrow(of_group(reduce_suffixes(min_length, n_doc, shard_bytes)), PACKED)
+    single = blocks.where((F.col("kind") == ANCHORS) & (F.length("c") > 0)).drop("bytes").groupBy("bucket").applyInArrow(of_group(reduce_anchors(min_length, n_doc, 1 << 62)), PACKED).where(F.col("kind") == COVERED)
     local = split_hot_covered(blocks.where(F.col("kind") == COVERED).drop("bytes"), n_doc)
     covered = found.where(F.col("kind") == COVERED).unionByName(merged).unionByName(single).unionByName(local)
     kind = by_bucket(whole)
-    out = f"doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, rest {whole.schema['rest'].dataType.simpleString()}"
+    # the other columns' types as they are, with what may be null in them
+    out = StructType([*StructType.fromDDL("doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary").fields, StructField("rest", whole.schema["rest"].dataType)])
     names = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("rest", pa.null())])
-    return kind.groupBy("bucket").cogroup(covered.groupBy("bucket")).applyInArrow(cut_documents(min_length, as_text, names), out)
+    return kind.repartition(n_doc, "bucket").groupBy("bucket").cogroup(covered.repartition(n_doc, "bucket").groupBy("bucket")).applyInArrow(of_pair(cut_documents(min_length, as_text, names)), out)
 
 
 def split_hot_covered(covered: DataFrame, n_doc: int) -> DataFrame:

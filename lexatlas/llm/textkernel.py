@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,49 @@ SLICE_BYTES = 1 << 20
 _tables: dict[int, np.ndarray] = {}
 
 
+def give_back() -> None:
+    """Return what freed arrays held to the system: workers are used again, and would keep the most they ever needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def of_batches(run):
+    """A mapInArrow function that gives memory back when its task ends."""
+
+    def tidy(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidy
+
+
+def of_group(run):
+    """The same of an applyInArrow function of a group."""
+
+    def tidy(table):
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return tidy
+
+
+def of_pair(run):
+    """The same of a function of two groups."""
+
+    def tidy(left, right):
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+
+    return tidy
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; grown on demand and kept."""
     have = _tables.get(base)
@@ -118,11 +162,12 @@ def span_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 class Words:
     """The words [^\\x20\\x09-\\x0D]+ of a run of documents: start, end (bytes in the run), document and hash."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool, space: np.ndarray = SPACE):
+        """space: of each byte, whether it parts words."""
         self.data = LOWER[data] if lower else data
         self.offsets = offsets
         n = len(data)
-        word = ~SPACE[data]
+        word = ~space[data]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.ones(n, bool)
