@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexatlas.llm import runtime
+from lexatlas.llm.textkernel import of_batches, of_group
 from lexatlas.llm.word_encoder import default_path, encoder
 
 CAPACITY, END_ID = 2048, 0
@@ -41,18 +42,22 @@ def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int =
     schema = pa.schema([*PIECES_ARROW, ("ids", pa.binary())]) if with_ids else PIECES_ARROW
 
     def run(batches):
-        encode, end = encoder(path).encode, np.array([end_id], "<u4").tobytes()
+        code, end = encoder(path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            out: list[list] = [[] for _ in schema]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py()) + end
-                for k, (x, y) in enumerate(cuts(len(ids) // 4, capacity)):
-                    part = ids[4 * x : 4 * y]
-                    for to, v in zip(out, (doc_id, k, x, y - x, zlib.crc32(part), part)):
-                        to.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
-
-    return runtime.id_text(docs).mapInArrow(run, PIECES + ", ids binary" * with_ids)
+            names = batch.column(0).to_pylist()
+            for first, counts, ids in code.encode_column(batch.column(1)):
+                raw, at = ids.astype("<u4", copy=False).tobytes(), 0
+                out: list[list] = [[] for _ in schema]
+                for doc_id, n in zip(names[first:], (4 * counts).tolist()):
+                    own = raw[at : at + n] + end
+                    at += n
+                    for k, (x, y) in enumerate(cuts(len(own) // 4, capacity)):
+                        part = own[4 * x : 4 * y]
+                        for to, v in zip(out, (doc_id, k, x, y - x, zlib.crc32(part), part)):
+                            to.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema)], schema=schema)
+
+    return runtime.id_text(docs).mapInArrow(of_batches(run), PIECES + ", ids binary" * with_ids)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -115,7 +120,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
         offset[order] = filled - filled[head][number[order]]
         return table.append_column("sequence_id", pa.array(number * n_groups + group)).append_column("offset", pa.array(offset))
 
-    return grouped.groupBy("pack_group").applyInArrow(run, schema)
+    return grouped.groupBy("pack_group").applyInArrow(of_group(run), schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
