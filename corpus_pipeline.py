@@ -1,7 +1,12 @@
 """The corpus pipeline: quality classifier, near-dedup, suffix-array dedup, secret scans, best-fit packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs that have a doc_id; all but the last return the
-columns of documents. run() applies them in order to the documents table, each result written and read again.
+columns of documents, and no others: extra columns of docs, whatever their names, are not read. run() applies them in
+order to the documents table, each result written and read again; a result goes when the next one is written.
+
+Null and empty texts: the classifier scores them as texts without features (they go if that score is under the threshold),
+near-dedup keeps them, the others leave them as they are, and packing gives each its end id. Rows equal in doc_id and text
+count once from near-dedup on. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -71,5 +76,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = runtime.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
-        docs = out if k == len(STAGES) - 1 else runtime.stored(out, name)
+        if k == len(STAGES) - 1:
+            return out
+        written = runtime.stored(out, name)
+        runtime.discard(docs)
+        docs = written
     return docs
