@@ -1,6 +1,5 @@
-"""Registered queries of the training-data operators and of the pipeline."""
+"""Registered queries of the training-data operators. The pipeline over them is corpus_pipeline.py."""
 
-import corpus_pipeline
 from lexatlas.llm import id_files, near_dedup, packing, pii_scan, quality_classifier, quality_rules, secret_scan, sentence_pieces, sql, suffix_dedup, topk_index
 
 QUERIES = {
@@ -14,7 +13,6 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8,
     "op9_id_files": id_files.op9,
     "op10_topk_index": topk_index.op10,
-    "pipeline": corpus_pipeline.run,
 }
 #: Those that SQL can express. The others need a tokenizer, a trained model or corpus-wide statistics of hashes.
 ORACLE_SQL = {

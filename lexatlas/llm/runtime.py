@@ -24,9 +24,12 @@ def prepare(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one if that is unset and all run in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark.sparkContext, "_lexatlas_scratch", None)
         if found is None:
             found = tempfile.mkdtemp(prefix="lexatlas-")
