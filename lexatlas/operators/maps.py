@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexatlas.functions.ids import stable
-from lexatlas.operators import explain, layout, similarity, tfidf
+from lexatlas.operators import biblio, explain, layout, similarity, tfidf
 from lexatlas.operators.library import capped
 
 LIMIT, NEIGHBOURS = 1000, 5
@@ -123,9 +123,31 @@ def delete_run(tables: dict[str, DataFrame], run: str) -> dict[str, DataFrame]:
     return {name: rows.where(F.col("run_id") != run) if name in ("map_runs", "map_points", "map_clusters") else rows for name, rows in tables.items()}
 
 
-def nearest_pairs(edge_rows: DataFrame, limit: int) -> DataFrame:
-    """The closest distinct pairs; ties by ids."""
-    return edge_rows.orderBy(F.desc("score"), "source", "target").limit(max(0, limit))
+def nearest_pairs(neighbour_rows: DataFrame, limit: int) -> DataFrame:
+    """The first distinct pairs (source, target) of neighbour lists (doc_id, rank, neighbour), read document by document."""
+    first = neighbour_rows.groupBy(F.least("doc_id", "neighbour").alias("a"), F.greatest("doc_id", "neighbour").alias("b")).agg(F.min(F.struct("doc_id", "rank", "neighbour")).alias("m"))
+    return first.orderBy("m.doc_id", "m.rank").limit(max(0, limit)).select(F.col("m.doc_id").alias("source"), F.col("m.neighbour").alias("target"))
+
+
+def reading_run_id(name: Column, signature: Column, **parameters) -> Column:
+    """Of a reading map: the same for the same name, documents and parameters, so that building it again replaces it."""
+    return stable("map_run_", name, signature, F.lit(repr(sorted(parameters.items()))))
+
+
+def reading_map(items: DataFrame, tags: DataFrame, memberships: DataFrame, collections: DataFrame, links: DataFrame, documents: DataFrame, texts: DataFrame, status: str | None = None, collection: str | None = None, tag: str | None = None, **options) -> tuple[DataFrame, DataFrame, list[str]]:
+    """build() over the active documents of the items that pass the filters."""
+    chosen = biblio.chosen_items(items, tags, memberships, collections, status, collection, tag)
+    found = biblio.reading_documents(chosen, links, documents, texts, options.get("limit", LIMIT))
+    return build(found.select(F.col("document_id").alias("doc_id"), "relative_path", "text").dropDuplicates(["doc_id"]), **options)
+
+
+def scan_map(scanned: DataFrame, min_chars: int = 80, **options) -> tuple[DataFrame, DataFrame, list[str], DataFrame]:
+    """A map straight from a scan's rows (document_id, relative_path, text, skip_reason), nothing stored: build()'s three and the skipped files."""
+    short = F.length("text") < min_chars
+    skipped = scanned.where(F.col("skip_reason").isNotNull() | short).select("relative_path", F.coalesce("skip_reason", F.lit("text is too short")).alias("reason"))
+    kept = scanned.where(F.col("skip_reason").isNull() & ~short)
+    place = kept.select("relative_path", "text", F.conv(F.substring(F.sha2(F.concat_ws("\0", "relative_path", "text"), 256), 1, 15), 16, 10).cast("long").alias("doc_id"))
+    return *build(place, **options), skipped
 
 
 def explain_pairs(pairs: DataFrame) -> DataFrame:

@@ -532,10 +532,22 @@ def legend_counts(spark, sf_dir):
     return maps.legend(_clustered(spark, sf_dir).withColumn("cluster_label", F.col("cluster_id")))
 
 
-@query(f"WITH e AS ({S.KNN_EDGES}) SELECT * FROM e ORDER BY score DESC, source, target LIMIT 15")
+@query(f"""WITH {S._NEIGHBOURS}, p AS (SELECT least(doc_id, neighbour) AS a, greatest(doc_id, neighbour) AS b, arg_min(struct_pack(s := doc_id, t := neighbour, r := rank), doc_id * 100 + rank) AS m, min(doc_id * 100 + rank) AS o FROM knn GROUP BY 1, 2)
+SELECT m.s AS source, m.t AS target FROM (SELECT * FROM p ORDER BY o LIMIT 15)""")
 def nearest_pairs(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return maps.nearest_pairs(tfidf.edges(tfidf.neighbours(docs, tfidf.weights(docs), 5)), 15)
+    return maps.nearest_pairs(tfidf.neighbours(docs, tfidf.weights(docs), 5), 15)
+
+
+@query("""WITH p AS (SELECT doc_id, length(text) AS n, doc_id % 4 AS pages FROM documents WHERE text IS NOT NULL)
+SELECT CASE WHEN pages <= 0 OR n <= 0 THEN 'empty' WHEN n / pages < 40 THEN 'very_low' WHEN n / pages < 200 THEN 'low' ELSE 'ok' END AS quality, pages > 0 AND (n < 80 OR n / pages < 40) AS scanned, count(*) AS n FROM p GROUP BY 1, 2""")
+def pdf_quality(spark, sf_dir):
+    """Documents as PDF files of up to three pages with the same number of characters each."""
+    from lexatlas.sources import extract
+
+    d = read(spark, sf_dir, "documents").where("text is not null").select(F.length("text").alias("n"), (F.col("doc_id") % 4).cast("int").alias("pages"))
+    counts = F.when(F.col("pages") > 0, F.array_repeat(F.col("n") / F.col("pages"), F.col("pages"))).otherwise(F.array().cast("array<double>"))
+    return d.groupBy(extract.quality_label(F.col("n"), F.col("pages")).alias("quality"), extract.scanned_candidate(F.col("n"), counts).alias("scanned")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH e AS ({S.KNN_EDGES}) SELECT CASE WHEN source = 0 THEN target ELSE source END AS id FROM e WHERE source = 0 OR target = 0 UNION SELECT 0")

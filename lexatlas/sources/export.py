@@ -85,3 +85,20 @@ def restore(spark: SparkSession, folder: str, target: str, force: bool = False,
     for name in [] if dry_run else names:
         spark.read.parquet(f"{folder}/data/{name}").write.mode("overwrite" if force else "errorifexists").parquet(f"{target}/{name}")
     return {name: spark.read.parquet(f"{folder}/data/{name}" if dry_run else f"{target}/{name}") for name in names}
+
+
+def payload_lines(rows: DataFrame) -> DataFrame:
+    """Clusters, pairs, reports or a validation's issues as a JSON line each, fields by name."""
+    return rows.select(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def demo(documents: DataFrame, points: DataFrame, clip: int = 160) -> tuple[DataFrame, DataFrame]:
+    """documents (doc_id, relative_path, text, ...) and points for a public page: stable ids from paths, also in neighbour lists, stamps and long texts taken out."""
+    named = documents.select("doc_id", F.concat(F.lit("demo_doc_"), F.substring(F.sha2("relative_path", 256), 1, 12)).alias("demo_id"))
+    compact = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
+    short = F.when(F.length(compact) <= clip, compact).otherwise(F.concat(F.rtrim(F.substring(compact, 1, clip - 3)), F.lit("...")))
+    shown = documents.join(named, "doc_id").select(F.col("demo_id").alias("document_id"), "relative_path", short.alias("excerpt"), F.lit("synthetic-demo").alias("updated_at"))
+    pairs = points.select("doc_id", F.posexplode("neighbours").alias("k", "n")).join(named.select(F.col("doc_id").alias("other"), F.col("demo_id").alias("to")), F.col("n.neighbour") == F.col("other"))
+    near = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", "to", "n.score"))).alias("all")).select("doc_id", F.transform("all", lambda x: F.struct(x["to"].alias("document_id"), x["score"].alias("score"))).alias("neighbours"))
+    places = points.drop("neighbours").join(near, "doc_id", "left").join(named, "doc_id").drop("doc_id").withColumnRenamed("demo_id", "document_id")
+    return shown, places

@@ -10,6 +10,7 @@ import html
 import json
 import re
 from html.parser import HTMLParser
+from importlib.util import find_spec
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -160,6 +161,61 @@ def html_text(source: str | None) -> str:
     return one_spaced(html.unescape(" ".join(parser.found)))
 
 
+def pdf(content: bytes, stem: str) -> dict:
+    """The text of a PDF file's pages by the optional library; pages that fail are warnings, a file that fails has a skip reason."""
+    import io
+
+    from pypdf import PdfReader
+
+    warnings: list[str] = []
+    try:
+        reader = PdfReader(io.BytesIO(content))
+        encrypted = bool(reader.is_encrypted)
+        if encrypted and not reader.decrypt(""):
+            return _value(None, None, [], "pdf-pypdf", skip="PDF is encrypted")
+        texts = []
+        for k, page in enumerate(reader.pages, 1):
+            try:
+                texts.append(page.extract_text() or "")
+            except Exception as error:  # a library of many formats: any page may fail in its own way
+                warnings.append(f"page {k} text extraction failed: {error}")
+                texts.append("")
+        named = str(getattr(reader.metadata, "title", None) or "").strip()
+    except Exception as error:
+        return _value(None, None, [], "pdf-pypdf", skip=f"PDF extraction failed: {error}")
+    text, counts = one_spaced("\n".join(texts)), [len(t.strip()) for t in texts]
+    scanned = bool(counts) and (len(text) < SCANNED_CHARS or sum(counts) / len(counts) < SCANNED_PAGE)
+    if scanned:
+        warnings.append("likely scanned PDF or image-only PDF; OCR may be needed")
+    average = len(text) / len(counts) if counts else 0
+    quality = "empty" if not average else next((name for name, least in QUALITY if average < least), "ok")
+    metadata = {"page_count": len(counts), "page_char_counts": counts, "detected_title_source": "metadata" if named else "text" if text else "filename", "scanned_pdf_candidate": scanned, "encrypted": encrypted, "extraction_quality": quality}
+    return _value(named or text or stem, text, warnings, "pdf-pypdf", metadata, [], [])
+
+
+#: Characters of a text and of an average page below which a PDF counts as scanned; labels of average pages, by least characters. Fixed values.
+SCANNED_CHARS, SCANNED_PAGE = 80, 40
+QUALITY = (("very_low", 40), ("low", 200))
+
+
+def quality_label(chars, pages):
+    """empty, very_low, low or ok, by characters a page."""
+    average = chars / pages
+    return F.when((pages <= 0) | (chars <= 0), "empty").when(average < QUALITY[0][1], QUALITY[0][0]).when(average < QUALITY[1][1], QUALITY[1][0]).otherwise("ok")
+
+
+def scanned_candidate(chars, page_chars):
+    """Whether a PDF with pages is likely an image of its text."""
+    total = F.aggregate(F.transform(page_chars, lambda c: c.cast("double")), F.lit(0.0), lambda acc, c: acc + c)
+    return (F.size(page_chars) > 0) & ((chars < SCANNED_CHARS) | (total / F.size(page_chars) < SCANNED_PAGE))
+
+
+def extractors(spark):
+    """The extension table: id, kind, suffixes, library and whether it is there; outside ones are added to READERS."""
+    rows = [("text", ["txt"], None), ("markdown", ["md", "markdown"], None), ("latex", ["tex"], None), ("pdf-pypdf", ["pdf"], "pypdf"), ("image-ocr-tesseract", sorted(IMAGES), "pytesseract")]
+    return spark.createDataFrame([(f"extractor.{name}", "extractor", suffixes, library, library is None or find_spec(library) is not None) for name, suffixes, library in rows], "id string, kind string, suffixes array<string>, library string, available boolean")
+
+
 #: Suffix -> how files of it are read. Others, and formats whose libraries are not installed, give a skip reason.
 READERS = {"txt": plain, "md": markdown, "markdown": markdown, "tex": latex}
 IMAGES = frozenset(("png", "jpg", "jpeg", "webp", "tif", "tiff"))
@@ -170,6 +226,8 @@ def extract(path: str, content: bytes) -> dict:
     stem, _, suffix = name.rpartition(".")
     suffix = suffix.lower()
     reader = READERS.get(suffix)
+    if suffix == "pdf" and find_spec("pypdf") is not None:
+        return pdf(bytes(content), stem or name)
     if reader is None:
         reason = "PDF support is not installed" if suffix == "pdf" else "OCR is unavailable" if suffix in IMAGES else f"unsupported file type: .{suffix}"
         return _value(None, None, [], suffix, skip=reason)

@@ -85,3 +85,17 @@ def current(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         raise FileNotFoundError(f"no snapshot in {folder}")
     pointer = spark.read.schema(POINTER).json(f"{folder}/pointers/{number:012d}").first()
     return {name: spark.read.parquet(f"{folder}/{pointer.version}/{name}") for name in pointer.tables}
+
+
+def init_project(spark: SparkSession, folder: str, name: str, force: bool = False, **settings: str) -> dict[str, str]:
+    """Write a project's settings (name, seed, ...) to folder/project, a JSON line; ValueError for a blank name, an error if it exists and is not forced."""
+    if not name.strip():
+        raise ValueError("a project needs a name")
+    found = {"project_name": name.strip(), "map_seed": "42"} | settings
+    spark.createDataFrame([(found,)], "settings map<string,string>").coalesce(1).write.mode("overwrite" if force else "errorifexists").json(f"{folder}/project")
+    return found
+
+
+def project(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The settings of a project."""
+    return dict(spark.read.schema("settings map<string,string>").json(f"{folder}/project").first().settings)

@@ -1,6 +1,7 @@
 """Library, map, validation, bibliographic and export functions that the registered queries do not reach."""
 
 import json
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -255,3 +256,73 @@ def test_ranking_of_words_by_list_and_frame(spark):
     assert both[0] == both[1] and [i for i, _ in both[0]] == [1, 2] and rows(fts.bm25(docs, [])) == []
     with pytest.raises(ValueError):
         fts.bm25(docs, [f"w{k}" for k in range(fts.MOST_TERMS + 1)])
+
+
+def test_project_settings(spark, tmp_path):
+    files.init_project(spark, f"{tmp_path}/p", " mine ", map_seed="7")
+    assert files.project(spark, f"{tmp_path}/p") == {"project_name": "mine", "map_seed": "7"}
+    with pytest.raises(Exception):
+        files.init_project(spark, f"{tmp_path}/p", "other")
+    files.init_project(spark, f"{tmp_path}/p", "other", force=True)
+    assert files.project(spark, f"{tmp_path}/p")["project_name"] == "other"
+    with pytest.raises(ValueError):
+        files.init_project(spark, f"{tmp_path}/q", " ")
+
+
+def test_demo_pages_hide_ids_and_stamps(spark, docs):
+    points = spark.createDataFrame([(0, 0.5, [(1, 0.9), (2, 0.1)]), (1, 0.1, [])], "doc_id long, x double, neighbours array<struct<neighbour:long,score:double>>")
+    shown, places = export.demo(docs.withColumn("text", F.repeat("text", 4)), points)
+    ids_ = {r.relative_path: r.document_id for r in shown.collect()}
+    got = {r.document_id: [n.document_id for n in r.neighbours or []] for r in places.collect()}
+    assert got == {ids_["p/0.txt"]: [ids_["p/1.txt"], ids_["p/2.txt"]], ids_["p/1.txt"]: []} and max(len(r.excerpt) for r in shown.collect()) == 160
+    line = json.loads(export.payload_lines(shown).first().value)
+    assert list(line) == ["document_id", "excerpt", "relative_path", "updated_at"] and line["updated_at"] == "synthetic-demo"
+
+
+def test_maps_of_a_scan_and_of_reading(spark):
+    scanned = spark.createDataFrame([("a", "graph vertex edge " * 9, None), ("b", "graph vertex colour " * 9, None), ("c", "tiny", None), ("d", None, "unsupported")], "relative_path string, text string, skip_reason string")
+    points, clusters, warnings, skipped = maps.scan_map(scanned)
+    assert points.count() == 2 and rows(skipped) == [("c", "text is too short"), ("d", "unsupported")]
+    items = spark.createDataFrame([("A", "t", "read"), ("B", "u", "unknown")], "item_key string, title string, reading_status string").withColumn("abstract", F.lit(None).cast("string"))
+    tags = spark.createDataFrame([("A", "x")], "item_key string, tag string")
+    member = spark.createDataFrame([("A", "c"), ("B", "c")], "item_key string, collection_key string")
+    cols = spark.createDataFrame([("c", "Name", "Top / Name")], "key string, name string, path string")
+    links = spark.createDataFrame([("A", 1), ("B", 2)], "item_key string, document_id long")
+    documents = spark.createDataFrame([(1, "p1", "active", "graph vertex"), (2, "p2", "active", "bread oven")], "document_id long, relative_path string, status string, text string")
+    of = lambda **k: sorted(r.doc_id for r in maps.reading_map(items, tags, member, cols, links, documents, documents, **k)[0].collect())
+    assert of() == [1, 2] and of(status="unknown") == [2] and of(tag="x", collection="name") == [1] and of(tag="y") == []
+    one = spark.range(1).select(maps.reading_run_id(F.lit("n"), F.lit("s"), seed=1).alias("a"), maps.reading_run_id(F.lit("n"), F.lit("s"), seed=1).alias("b"), maps.reading_run_id(F.lit("n"), F.lit("s"), seed=2).alias("c")).first()
+    assert one.a == one.b != one.c
+
+
+def test_pdf_files_by_the_optional_library(spark, monkeypatch):
+    import types
+
+    from lexatlas.sources import extract
+
+    assert {r.id: r.available for r in extract.extractors(spark).collect()}["extractor.markdown"]
+
+    class Page:
+        def __init__(self, text):
+            self.text = text
+
+        def extract_text(self):
+            if self.text is None:
+                raise ValueError("broken")
+            return self.text
+
+    def reader(pages, title=None, encrypted=False):
+        return lambda content: types.SimpleNamespace(is_encrypted=encrypted, decrypt=lambda password: 0, pages=[Page(p) for p in pages], metadata=types.SimpleNamespace(title=title))
+
+    module = types.ModuleType("pypdf")
+    monkeypatch.setitem(sys.modules, "pypdf", module)
+    monkeypatch.setattr(extract, "find_spec", lambda name: True)
+    module.PdfReader = reader(["word " * 100, None], " Title ")
+    got = extract.extract("a/b.pdf", b"x")
+    assert got["title"] == "Title" and got["text"] == ("word " * 100).strip() and len(got["warnings"]) == 1 and '"extraction_quality": "ok"' in got["metadata"]
+    module.PdfReader = reader(["x"])
+    assert "scanned" in extract.extract("a/b.pdf", b"x")["warnings"][-1]
+    module.PdfReader = reader([], encrypted=True)
+    assert extract.extract("a/b.pdf", b"x")["skip_reason"] == "PDF is encrypted"
+    module.PdfReader = lambda content: 1 / 0
+    assert extract.extract("a/b.pdf", b"x")["skip_reason"].startswith("PDF extraction failed")
