@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexatlas.llm import runtime
+from lexatlas.llm.textkernel import of_batches
 from lexatlas.llm.word_encoder import default_path, encoder
 
 MAGIC = b"LXIDS001"
@@ -155,10 +156,12 @@ def write_id_files(docs: DataFrame, folder: str, tokenizer: str | None = None, e
         doc_ids, lengths, parts = [], [], []
         for batch in batches:
             doc_ids += batch.column(0).to_pylist()
-            for text in batch.column(1):
-                ids = code.encode(text.as_py())
-                lengths.append(len(ids) // 4 + 1)
-                parts += [np.frombuffer(ids, "<u4").astype(f"<u{width}").tobytes(), end]
+            for _, counts, ids in code.encode_column(batch.column(1)):
+                lengths += (counts + 1).tolist()
+                raw, at = ids.astype(f"<u{width}").tobytes(), 0
+                for n in (width * counts).tolist():
+                    parts += [raw[at : at + n], end]
+                    at += n
         if not doc_ids:
             return
         raw = IdShard.encode(np.array(doc_ids), np.array(lengths), b"".join(parts), width)
@@ -170,7 +173,7 @@ def write_id_files(docs: DataFrame, folder: str, tokenizer: str | None = None, e
         yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "shard": [TaskContext.get().partitionId()], "n_docs": [len(doc_ids)], "n_tokens": [sum(lengths)]})
 
     # partitions are ascending ranges, so the partition's number orders the shards
-    manifest = texts.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").mapInArrow(run, MANIFEST)
+    manifest = texts.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h").mapInArrow(of_batches(run), MANIFEST)
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
