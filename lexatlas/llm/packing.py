@@ -25,7 +25,6 @@ from lexatlas.llm.word_encoder import default_path, encoder
 
 CAPACITY, END_ID = 2048, 0
 GROUP_PIECES = 65_536
-ROUNDS = 12
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -88,7 +87,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> np.ndarray:
 def pack_lengths(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """Sequence numbers of pieces: a first pass in the given order, then the unfilled sequences again, longest piece first."""
     out = sum_of_squares(lengths, capacity)
-    for _ in range(ROUNDS):
+    while True:  # every round saves a sequence, or it is the last one
         load = np.bincount(out, weights=lengths, minlength=1)
         loose = np.flatnonzero(load[out] < capacity)
         loose = loose[np.argsort(-lengths[loose], kind="stable")]
@@ -96,10 +95,9 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> np.ndarray:
         again = sum_of_squares(lengths[loose], capacity)
         after = int(again.max(initial=-1)) + 1
         if after >= before:
-            break
+            return out
         out[loose] = len(load) + again
         out = np.unique(out, return_inverse=True)[1]
-    return out
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:

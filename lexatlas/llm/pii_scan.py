@@ -1,17 +1,23 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contextual extraction.
 
-A mention is a token with a digit or an @ (or a whole base match) and the two words before it. Seeds are mentions that
-base patterns accept. The two words, in lower case, are its lexical pattern, and patterns and instances (kind of shape
-and value) form a weighted graph. Rounds of scoring over it:
+A mention is a token with a digit or an @, or a run that a base pattern takes whole (a card or phone number with spaces).
+The words around it, in lower case and wherever they stand, are its lexical patterns: the two words before it, the word
+before it, and the words on both sides; other mentions count as the word "#", the ends of the text as "^" and "$". So
+contexts may overlap, and no word or value is too long. Seeds are mentions that base patterns accept. Patterns and
+instances (values) form a graph, scored in rounds; an edge weighs ln(1 + its mentions):
 
-    pattern  = sum(weight * score of instance) / (sum(weight) + SMOOTHING), if it has LEAST_SEEDS distinct seeds
-    instance = 1 for seeds, else 1 - product of (1 - score) over its patterns scoring at least LEAST_SCORE
+    pattern  = sum(weight * score) / (sum(weight of seeds and harmless) + sum(weight * score of unseen) + SMOOTHING),
+               if it has LEAST_SEEDS distinct seeds
+    instance = 1 for seeds, 0 for harmless values (fewer than DIGITS digits, no seed),
+               else 1 - product of (1 - score) over its patterns scoring at least LEAST_SCORE
 
-Instances that are no seeds, have DIGITS digits or more and reach LEAST_SCORE are added as kind "context". All of it is
-column expressions, aggregations and joins on patterns and instances.
+An unseen value thus speaks for a pattern as far as it is believed itself, and never against it. Unseen instances that
+reach LEAST_SCORE are added as kind "context". All of it is column expressions, aggregations and joins on patterns and
+instances.
 
 Results: rows without doc_id are dropped; null or empty texts have no spans; each of several rows with one doc_id has
-its own result; spans that overlap base ones are not added.
+its own result; spans that overlap base ones are not added; columns of docs named base or spans give way to the scan's,
+others keep their names and values.
 """
 
 from __future__ import annotations
@@ -31,14 +37,15 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: Numbers of at most 255 with any leading zeros.
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 VALID_IP = rf"^{_PART}(?:\.{_PART}){{3}}$"
-MENTION = r"(?<![^\x20\n])([^\s]{1,40})\x20([^\s]{1,40})\x20(\+[0-9][\x20().0-9-]{5,30}[0-9]|[^\s]*[0-9@][^\s]*)"
+#: Marks, then a phone or card number with its spaces, or a token with a digit or an @.
+MENTION = rf"(?<!\S)[^\s0-9+A-Za-z@]*+(?:{PHONE}|{CARD}|[^\s0-9@]*+[0-9@]\S*+)"
 ROUNDS, SMOOTHING, LEAST_SEEDS, LEAST_SCORE, DIGITS = 3, 1.0, 3, 0.7, 5
 
 
 def luhn(match: Column) -> Column:
     """16 to 19 digits whose Luhn sum is a multiple of ten."""
     digits = F.reverse(F.regexp_replace(match, "[^0-9]", ""))
-    doubled = F.transform(F.split(digits, ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(c.cast("int") * 2 - F.when(c.cast("int") > 4, 9).otherwise(0)))
+    doubled = F.transform(F.split(digits, ""), lambda c, i: F.when(i % 2 == 0, c.try_cast("int")).otherwise(c.try_cast("int") * 2 - F.when(c.try_cast("int") > 4, 9).otherwise(0)))
     return F.length(digits).between(16, 19) & (F.aggregate(doubled, F.lit(0), lambda acc, x: acc + x) % 10 == 0)
 
 
@@ -53,27 +60,50 @@ def value_is_seed(value: Column) -> Column:
 
 
 def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """edges: pattern, value, seed (boolean), weight. Returns value and score of instances that are no seeds."""
+    """edges: pattern, value, seed, harmless (booleans), weight. Returns value and score of unseen instances."""
     patterns_of = lambda scored: (
         scored.groupBy("pattern")
-        .agg((F.sum(F.col("weight") * F.col("score")) / (F.sum("weight") + SMOOTHING)).alias("pattern_score"), F.count_if("seed").alias("seeds"))
+        .agg(
+            (F.sum(F.col("weight") * F.col("score")) / (F.sum(F.when(F.col("seed") | F.col("harmless"), F.col("weight")).otherwise(F.col("weight") * F.col("score"))) + SMOOTHING)).alias("pattern_score"),
+            F.count_if("seed").alias("seeds"),
+        )
         .where((F.col("seeds") >= LEAST_SEEDS) & (F.col("pattern_score") >= LEAST_SCORE))
         .select("pattern", "pattern_score")
     )
+    unseen = ~F.col("seed") & ~F.col("harmless")
     scored = edges.withColumn("score", F.col("seed").cast("double"))
     for _ in range(rounds):
-        fresh = edges.where("not seed").join(patterns_of(scored), "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least("pattern_score", F.lit(0.999999)))))).alias("found"))
-        scored = edges.join(fresh, "value", "left").select("pattern", "value", "seed", "weight", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("found", F.lit(0.0))).alias("score"))
-    return scored.where(~F.col("seed") & (F.col("score") >= LEAST_SCORE)).groupBy("value").agg(F.max("score").alias("score"))
+        fresh = edges.where(unseen).join(patterns_of(scored), "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least("pattern_score", F.lit(0.999999)))))).alias("found"))
+        scored = edges.join(fresh, "value", "left").select("pattern", "value", "seed", "harmless", "weight", F.when(F.col("seed"), 1.0).when(F.col("harmless"), 0.0).otherwise(F.coalesce("found", F.lit(0.0))).alias("score"))
+    return scored.where(unseen & (F.col("score") >= LEAST_SCORE)).groupBy("value").agg(F.max("score").alias("score"))
+
+
+def contexts(text: Column, n_mentions: Column) -> Column:
+    """Of each mention, its patterns: the texts between mentions are cut to words, and a mention counts as the word #."""
+    words = F.transform(F.split(text, MENTION, -1), lambda gap: F.filter(F.split(F.lower(gap), r"\s+"), lambda w: w != ""))
+    ends = F.transform(words, lambda w: F.struct(F.slice(w, F.greatest(F.size(w) - 1, F.lit(1)), F.lit(2)).alias("tail"), F.get(w, F.lit(0)).alias("head")))
+    blank = F.array().cast("array<string>")
+    tail = lambda ends, k: F.coalesce(F.get(ends, k)["tail"], blank)
+    mark = lambda k: F.when(k > 0, F.array(F.lit("#"))).otherwise(F.array(F.lit("^"), F.lit("^")))
+
+    def of(ends: Column) -> Column:
+        def patterns(k: Column) -> Column:
+            left = F.concat(tail(ends, k - 2), mark(k - 1), tail(ends, k - 1), mark(k), tail(ends, k))
+            one, two = F.element_at(left, -1), F.element_at(left, -2)
+            right = F.coalesce(F.get(ends, k + 1)["head"], F.when(k + 1 < n_mentions, "#").otherwise("$"))
+            return F.array(F.concat_ws(" ", two, one, F.lit("_")), F.concat_ws(" ", one, F.lit("_")), F.concat_ws(" ", one, F.lit("_"), right))
+
+        return F.transform(F.sequence(F.lit(0), n_mentions - 1), patterns)
+
+    # through an array of one, so that the words are cut once
+    return F.flatten(F.transform(F.array(ends), of))
 
 
 def find_pii(docs: DataFrame, rounds: int = ROUNDS, keep: list[str] | None = None) -> DataFrame:
     """Adds base and spans, arrays of (rank, kind, start, end) by kind and start, to the columns of docs, or those in keep."""
-    clash = {"_row", "_text", "base", "spans", "_context", "_mentions", *(f"_{k}" for k in KINDS)}
-    if found := clash & set(docs.columns):
-        raise ValueError(f"columns that the scan adds: {sorted(found)}")
-    columns = docs.columns if keep is None else keep
-    text = docs.where("doc_id is not null").withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "spans")]
+    given = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_given")
+    text = docs.where("doc_id is not null").select(given, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     get = lambda pattern, group=0: F.regexp_extract_all("_text", F.lit(pattern), F.lit(group))
     got = text.withColumns({"_email": get(EMAIL), "_ip": get(IP), "_card": get(CARD), "_phone": get(PHONE), "_context": get(MENTION)})
     where = lambda kind, pattern: match_places(F.col("_text"), pattern, F.col(f"_{kind}"))
@@ -83,32 +113,31 @@ def find_pii(docs: DataFrame, rounds: int = ROUNDS, keep: list[str] | None = Non
         labelled(where("card", CARD), "card", 2, F.transform("_card", luhn)),
         labelled(where("phone", PHONE), "phone", 3, F.transform("_phone", phone_digits)),
     )
-    words = F.transform("_context", lambda m: F.struct(m.alias("match"), F.regexp_extract(m, "^([^\\s]+)\\x20([^\\s]+)\\x20", 0).alias("before")))
-    mentions = F.zip_with(
-        where("context", MENTION), words,
-        lambda p, w: F.struct((p["start"] + F.length(w["before"])).alias("start"), p["end"].alias("end"), F.lower(F.trim(w["before"])).alias("pattern"), F.substring(w["match"], F.length(w["before"]) + 1, F.length(w["match"])).alias("raw")),
-    )
-    scanned = got.select(*columns, F.monotonically_increasing_id().alias("_row"), base.alias("base"), F.when(F.size("_context") > 0, mentions).alias("_mentions"))
+    mentions = F.arrays_zip(where("context", MENTION).alias("place"), F.col("_context").alias("raw"), contexts(F.col("_text"), F.size("_context")).alias("patterns"))
+    scanned = got.select("_given", F.monotonically_increasing_id().alias("_row"), base.alias("_base"), F.when(F.size("_context") > 0, mentions).alias("_mentions"))
     scanned = runtime.stored(scanned, "scanned")
 
-    found = scanned.where("_mentions is not null").select("_row", "base", F.explode("_mentions").alias("m"))
+    found = scanned.where("_mentions is not null").select("_row", "_base", F.explode("_mentions").alias("m"))
     lead = F.length(F.regexp_extract("m.raw", r"^[^A-Za-z0-9+]*", 0))
     value = F.regexp_replace(F.regexp_replace("m.raw", r"^[^A-Za-z0-9+]+", ""), r"[^A-Za-z0-9]+$", "")
-    found = found.select("_row", "base", F.col("m.pattern").alias("pattern"), value.alias("value"), (F.col("m.start") + lead).alias("start"))
+    found = found.select("_row", "_base", F.col("m.patterns").alias("patterns"), value.alias("value"), (F.col("m.place.start") + lead).alias("start"))
     found = found.withColumn("end", F.col("start") + F.length("value")).where(F.length(F.regexp_replace("value", "[^0-9@]", "")) > 0)
-    found = found.withColumn("seed", value_is_seed(F.col("value")))
-    edges = runtime.stored(found.groupBy("pattern", "value", "seed").agg(F.count("*").cast("double").alias("weight")), "graph")
-    learnt = score_graph(edges, rounds).where(F.length(F.regexp_replace("value", "[^0-9]", "")) >= DIGITS).select("value")
-    added = found.where(~F.col("seed") & ~overlaps(F.struct("start", "end"), F.col("base"))).join(learnt, "value", "left_semi")
+    found = found.withColumn("seed", value_is_seed(F.col("value"))).withColumn("harmless", ~F.col("seed") & (F.length(F.regexp_replace("value", "[^0-9]", "")) < DIGITS))
+    edges = found.select(F.explode("patterns").alias("pattern"), "value", "seed", "harmless").groupBy("pattern", "value", "seed", "harmless").agg(F.log1p(F.count("*").cast("double")).alias("weight"))
+    learnt = score_graph(runtime.stored(edges, "graph"), rounds).select("value")
+    added = found.where(~F.col("seed") & ~F.col("harmless") & ~overlaps(F.struct("start", "end"), F.col("_base"))).join(learnt, "value", "left_semi")
     added = added.groupBy("_row").agg(F.collect_list(F.struct(F.lit(4).alias("rank"), F.lit("context").alias("kind"), "start", "end")).alias("_added"))
-    both = scanned.drop("_mentions").join(added, "_row", "left")
-    return both.withColumn("spans", by_kind(F.concat("base", F.coalesce("_added", F.array().cast(both.schema["base"].dataType))))).withColumn("base", by_kind(F.col("base"))).drop("_row", "_added")
+    both = scanned.select("_given", "_row", "_base").join(added, "_row", "left")
+    spans = by_kind(F.concat("_base", F.coalesce("_added", F.array().cast(both.schema["_base"].dataType))))
+    return both.select("_given.*", by_kind(F.col("_base")).alias("base"), spans.alias("spans"))
 
 
 def redact_pii(docs: DataFrame, mark: str = "[PII]") -> DataFrame:
     """docs with every found span replaced by a mark; texts without any stay as they are."""
-    found = find_pii(docs)
-    return found.withColumn("text", F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = find_pii(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("given")))
+    clean = F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))
+    return found.select(*(clean.alias(c) if c == "text" else F.col("doc_id") if c == "doc_id" else F.col("given").getField(c).alias(c) for c in docs.columns))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -1,18 +1,21 @@
 """Secret scans: base patterns, and random-looking tokens by a battery of randomness tests with false-discovery control.
 
 A candidate is a token of 20 or more characters of [A-Za-z0-9+/_-] with a letter and a digit. Its encoding is inferred
-from its characters (hex, base32, base62, base64), which fixes the alphabet of m symbols. Then
+from its characters (hex, base32, base62, base64), which fixes the alphabet of m symbols. The battery:
 
-* chi-squared: X2 = m/n * sum(count**2) - n against the uniform law, and against prose, whose symbols repeat with the
-  encoding's index of coincidence; from the latter's mean and variance at this length, a p-value of "this is prose";
+* chi-squared: X2 = m/n * sum(count**2) - n against the uniform law of the alphabet;
 * runs above and below the alphabet's middle, and the serial correlation of neighbouring symbols, both as z scores.
 
-A token is a finding if it can pass for uniform (LARGEST_Z on all three) and its p-value clears Benjamini-Hochberg at
-LEVEL among the candidates of its encoding and length class. P-values are rounded up to a fixed grid, so that the
-thresholds come from a table of bounded size. All of it is column expressions and joins with bounded tables.
+The three p-values under the uniform law are combined by Fisher's method into one. Against it stands "this is prose":
+X2 against symbols that repeat with the encoding's index of coincidence, and the likelihood ratio of uniform symbols to
+prose-like ones, the smaller of both p-values doubled. A token is a finding if the battery's combined p-value is at
+least RANDOM and the one of prose clears Benjamini-Hochberg at LEVEL among the candidates of its encoding and length
+class. P-values are rounded up to a fixed grid, so that the thresholds come from a table of bounded size. All of it is
+column expressions and joins with bounded tables.
 
 Results: rows without doc_id are dropped; null or empty texts have no spans; each of several rows with one doc_id has
-its own result; spans that overlap base ones are not added.
+its own result; spans that overlap base ones are not added; columns of docs named base or spans give way to the scan's,
+others keep their names and values.
 """
 
 from __future__ import annotations
@@ -50,7 +53,8 @@ HEX_NUMBERS = (0.093,) * 10 + (0.07 / 6,) * 6
 HEX_WORDS = (0.01,) * 10 + (0.234, 0.081, 0.108, 0.144, 0.252, 0.081)
 HEX_UPPER = (0.004, 0.004, 0.12, 0.05, 0.03, 0.02, 0.49, 0.242) + (0.005,) * 8
 LENGTH_CLASSES = (32, 64, 128)
-LEVEL, LARGEST_Z = 0.01, 3.3
+#: Least combined p-value of the battery for a random token, and the rate of false discoveries.
+RANDOM, LEVEL = 1e-4, 0.01
 #: Grid of -log10 p: steps to the unit and its end.
 GRID, GRID_END = 20, 40
 
@@ -84,7 +88,7 @@ def _log_ratio() -> Column:
 
 
 def battery(tokens: DataFrame) -> DataFrame:
-    """Adds encoding, n, z_uniform, z_runs, z_serial and log_p (-log10 of the p-value of prose) to rows with a token."""
+    """Adds encoding, n, z_uniform, z_runs, z_serial, uniform_p (the three combined) and log_p (-log10 of the p-value of prose) to rows with a token."""
     pick = lambda k: F.create_map(*[x for e, v in ENCODINGS.items() for x in (F.lit(e), F.lit(v[k]))])[F.col("encoding")]
     out = tokens.withColumn("encoding", _encoding(F.col("token"))).withColumn("n", F.length("token").cast("double"))
     out = out.withColumn("alphabet", pick(0)).withColumn("s2", pick(1)).withColumn("m", F.length("alphabet").cast("double"))
@@ -111,28 +115,29 @@ def battery(tokens: DataFrame) -> DataFrame:
     out = out.withColumn("spread", F.expr("aggregate(codes, 0D, (acc, c) -> acc + (c - mean) * (c - mean))"))
     lagged = F.expr("aggregate(zip_with(slice(codes, 2, size(codes) - 1), slice(codes, 1, size(codes) - 1), (x, y) -> (x - mean) * (y - mean)), 0D, (acc, x) -> acc + x)")
     out = out.withColumn("z_serial", F.when(F.col("spread") > 0, lagged / F.greatest(F.col("spread"), F.lit(1e-9)) * F.sqrt(n)).otherwise(99.0))
+    # Fisher: with h the sum of -ln p of three tests, p = exp(-h) * (1 + h + h**2 / 2); -ln of a two-sided normal p is close to 0.717 |z| + 0.416 z**2
+    minus_log = lambda z: 0.717 * z + 0.416 * z**2
+    h = minus_log(F.greatest("z_uniform", F.lit(0.0))) + minus_log(F.abs("z_runs")) + minus_log(F.abs("z_serial"))
+    out = out.withColumn("h", h).withColumn("uniform_p", F.expr("exp(-h) * (1 + h + h * h / 2)")).drop("h")
     return out.drop("alphabet", "s2", "m", "codes", "chi", "high", "runs", "mean", "spread")
 
 
 def discoveries(tested: DataFrame, level: float = LEVEL) -> DataFrame:
-    """Rows that the uniformity, runs and serial tests let pass and whose p-value clears Benjamini-Hochberg in their stratum."""
+    """Rows that the battery lets pass as random and whose p-value of prose clears Benjamini-Hochberg in their stratum."""
     stratum = F.concat_ws("/", "encoding", sum(((F.col("n") >= x).cast("int") for x in LENGTH_CLASSES), F.lit(0)))
     placed = tested.withColumn("stratum", stratum).withColumn("bin", F.floor(F.least(F.col("log_p"), F.lit(float(GRID_END))) * GRID).cast("int"))
     counts = placed.groupBy("stratum", "bin").agg(F.count("*").alias("c"))  # at most strata x grid rows
     within = Window.partitionBy("stratum")
     ranked = counts.withColumn("above", F.sum("c").over(within.orderBy(F.desc("bin")))).withColumn("all", F.sum("c").over(within))
     thresholds = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / F.lit(float(GRID))) <= level * F.col("above") / F.col("all")).groupBy("stratum").agg(F.min("bin").alias("least_bin"))
-    random = (F.abs("z_runs") <= LARGEST_Z) & (F.abs("z_serial") <= LARGEST_Z) & (F.col("z_uniform") <= LARGEST_Z)
-    return placed.join(F.broadcast(thresholds), "stratum").where(random & (F.col("bin") >= F.col("least_bin")))
+    return placed.join(F.broadcast(thresholds), "stratum").where((F.col("uniform_p") >= RANDOM) & (F.col("bin") >= F.col("least_bin")))
 
 
 def find_secrets(docs: DataFrame, level: float = LEVEL, keep: list[str] | None = None) -> DataFrame:
     """Adds base (spans of the base patterns) and spans (all, by start), arrays of (rank, kind, start, end), to the columns of docs, or those in keep."""
-    clash = {"_row", "_text", "base", "spans", *(f"_{k}" for k in KINDS), "_value"}
-    if found := clash & set(docs.columns):
-        raise ValueError(f"columns that the scan adds: {sorted(found)}")
-    columns = docs.columns if keep is None else keep
-    text = docs.where("doc_id is not null").withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in ("base", "spans")]
+    given = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_given")
+    text = docs.where("doc_id is not null").select(given, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     get = lambda pattern, group=0: F.regexp_extract_all("_text", F.lit(pattern), F.lit(group))
     got = text.withColumns({"_assign": get(ASSIGN), "_access": get(ACCESS), "_hex": get(HEX), "_random": get(CANDIDATE)})
     got = got.withColumn("_value", F.when(F.size("_assign") > 0, get(ASSIGN, 2)).otherwise(F.array().cast("array<string>")))
@@ -147,19 +152,22 @@ def find_secrets(docs: DataFrame, level: float = LEVEL, keep: list[str] | None =
         F.zip_with(where("random", CANDIDATE), F.zip_with("_random", plausible, lambda t, ok: F.struct(t.alias("token"), ok.alias("ok"))), lambda p, t: F.struct(p["start"].alias("start"), p["end"].alias("end"), t["token"].alias("token"), t["ok"].alias("ok"))),
         lambda c: c["ok"],
     )
-    scanned = got.select(*columns, F.monotonically_increasing_id().alias("_row"), base.alias("base"), F.when(F.size("_random") > 0, candidates).alias("_candidates"))
+    scanned = got.select("_given", F.monotonically_increasing_id().alias("_row"), base.alias("_base"), F.when(F.size("_random") > 0, candidates).alias("_candidates"))
     scanned = runtime.stored(scanned, "scanned")
-    tokens = scanned.where("_candidates is not null").select("_row", "base", F.explode("_candidates").alias("c")).where(~overlaps(F.col("c"), F.col("base")))
+    tokens = scanned.where("_candidates is not null").select("_row", "_base", F.explode("_candidates").alias("c")).where(~overlaps(F.col("c"), F.col("_base")))
     tested = battery(tokens.select("_row", "c.start", "c.end", "c.token"))
     added = discoveries(tested, level).groupBy("_row").agg(F.collect_list(F.struct(F.lit(3).alias("rank"), F.lit("random").alias("kind"), "start", "end")).alias("_added"))
-    both = scanned.drop("_candidates").join(added, "_row", "left")
-    return both.withColumn("spans", by_start(F.concat("base", F.coalesce("_added", F.array().cast(both.schema["base"].dataType))))).withColumn("base", by_start(F.col("base"))).drop("_row", "_added")
+    both = scanned.select("_given", "_row", "_base").join(added, "_row", "left")
+    spans = by_start(F.concat("_base", F.coalesce("_added", F.array().cast(both.schema["_base"].dataType))))
+    return both.select("_given.*", by_start(F.col("_base")).alias("base"), spans.alias("spans"))
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every found span replaced by a mark; texts without any stay as they are."""
-    found = find_secrets(docs)
-    return found.withColumn("text", F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = find_secrets(docs.select("doc_id", "text", F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in others]).alias("given")))
+    clean = F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"), mark)).otherwise(F.col("text"))
+    return found.select(*(clean.alias(c) if c == "text" else F.col("doc_id") if c == "doc_id" else F.col("given").getField(c).alias(c) for c in docs.columns))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:

@@ -120,7 +120,15 @@ def fold(content: np.ndarray, doc: np.ndarray, lo: np.ndarray):
     return order[head], order[later]
 
 
-def map_anchors(length: int, gram: int, n_anchor: int, n_doc: int):
+def no_fold(content: np.ndarray, doc: np.ndarray, lo: np.ndarray):
+    """fold() that settles nothing: the first of each place (rows that repeat a document hold it twice), none later."""
+    order = np.lexsort((lo, doc))
+    head = np.ones(len(order), bool)
+    head[1:] = (np.diff(doc[order]) != 0) | (np.diff(lo[order]) != 0)
+    return order[head], order[:0]
+
+
+def map_anchors(length: int, gram: int, n_anchor: int, n_doc: int, fold=fold):
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -156,7 +164,7 @@ def unpack(rows: list[dict], kind: int):
     return (a, c, *(np.concatenate([unplanes(r[k], t) for r in rows]) for k, t in (("doc", np.int64), ("lo", np.int32), ("n", np.int32))))
 
 
-def reduce_anchors(length: int, n_doc: int, hot: int):
+def reduce_anchors(length: int, n_doc: int, hot: int, fold=fold):
     """Of one anchor bucket: covered blocks, and the distinct blocks of anchors that have several."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -404,11 +412,13 @@ def next_prime(n: int) -> int:
     return next(x for x in range(max(n, 2), 4 * max(n, 2)) if all(x % y for y in range(2, int(x**0.5) + 1)))
 
 
-def remove_repeats(docs: DataFrame, min_length: int = 100, *, as_text: bool = False, gram: int = GRAM, hot_blocks: int = HOT_BLOCKS, suffix_bytes: int = SUFFIX_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_length: int = 100, *, as_text: bool = False, gram: int = GRAM, hot_blocks: int = HOT_BLOCKS, suffix_bytes: int = SUFFIX_BYTES, shard_bytes: int = SHARD_BYTES, fold_equal: bool = True) -> DataFrame:
     """Remove each byte that a string of min_length bytes covers which also starts earlier (smaller doc_id, or earlier in the document).
 
     Returns doc_id, n_bytes, spans (array of start, end: removed byte runs), kept (binary: the remaining bytes) and rest
     (a struct of the other columns). as_text draws the spans in to whole characters, so that kept is UTF-8.
+    fold_equal=False leaves out steps 2 and 4, which only save work: every repeat is then found by the merged transforms,
+    and an anchor's blocks must fit a task.
     """
     spark = docs.sparkSession
     gram = min(gram, min_length)
@@ -419,8 +429,8 @@ def remove_repeats(docs: DataFrame, min_length: int = 100, *, as_text: bool = Fa
     total = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_anchor = max(runtime.partitions(spark), -(-total // BUCKET_BYTES))
     n_doc = next_prime(n_anchor)
-    dealt = texts.mapInArrow(of_batches(map_anchors(min_length, gram, n_anchor, n_doc)), PACKED)
-    found = runtime.stored(dealt.repartition(n_anchor, "bucket").groupBy("bucket").applyInArrow(of_group(reduce_anchors(min_length, n_doc, hot_blocks)), PACKED), "anchors")
+    dealt = texts.mapInArrow(of_batches(map_anchors(min_length, gram, n_anchor, n_doc, fold if fold_equal else no_fold)), PACKED)
+    found = runtime.stored(dealt.repartition(n_anchor, "bucket").groupBy("bucket").applyInArrow(of_group(reduce_anchors(min_length, n_doc, hot_blocks if fold_equal else 1 << 62, fold if fold_equal else no_fold)), PACKED), "anchors")
     mixed = found.where(F.col("kind").isin(MIXED, HOT))
     n_suffix = max(runtime.partitions(spark), -(-(mixed.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]) // suffix_bytes))
     by_bucket = lambda df: df.withColumn("bucket", F.pmod("doc_id", F.lit(n_doc)).cast("int"))

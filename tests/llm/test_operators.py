@@ -75,9 +75,10 @@ def test_links_are_complete_in_blocks():
     assert got.tolist() == want
 
 
-@pytest.mark.parametrize("hot, shard", [(20_000, 1 << 17), (2, 1 << 10)])
-def test_repeats(docs, rows, hot, shard):
-    cut = suffix_dedup.remove_repeats(docs, 100, hot_blocks=hot, suffix_bytes=1 << 14, shard_bytes=shard)
+@pytest.mark.parametrize("hot, shard, folded", [(20_000, 1 << 17, True), (2, 1 << 10, True), (20_000, 1 << 10, False)])
+def test_repeats(docs, rows, hot, shard, folded):
+    """The last case finds every repeat by the merged transforms alone."""
+    cut = suffix_dedup.remove_repeats(docs, 100, hot_blocks=hot, suffix_bytes=1 << 14, shard_bytes=shard, fold_equal=folded)
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
     got = {r[0]: tuple(r[1:]) for r in cut.select("doc_id", "n_bytes", removed, F.size("spans"), F.sha2("kept", 256)).collect()}
     assert got == brute.repeats(rows)
@@ -105,8 +106,9 @@ def test_merge_needs_no_sorting_of_suffixes():
 
 def test_repeated_rows(spark):
     twice = spark.createDataFrame([(1, BASE), (1, BASE), (2, BASE)], "doc_id long, text string")
-    cut = suffix_dedup.remove_repeats(twice, 100).select("doc_id", F.length("kept").alias("n")).collect()
-    assert sorted(map(tuple, cut)) == [(1, len(BASE)), (1, len(BASE)), (2, 0)]
+    for folded in (True, False):
+        cut = suffix_dedup.remove_repeats(twice, 100, fold_equal=folded).select("doc_id", F.length("kept").alias("n")).collect()
+        assert sorted(map(tuple, cut)) == [(1, len(BASE)), (1, len(BASE)), (2, 0)]
     near = near_dedup.near_duplicates(twice).select("doc_id", "component_id").collect()
     assert sorted(map(tuple, near)) == [(1, 1), (1, 1), (2, 1)]
     assert packing.pack_documents(twice).count() == 3 and secret_scan.find_secrets(twice).count() == 3 and pii_scan.find_pii(twice).count() == 3
