@@ -32,7 +32,7 @@ def cluster_terms(clusters: DataFrame, limit: int = 6, key: str = "cluster_id")
     df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counts.join(df, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    scored = raw.where(informative(F.col("term"))).join(F.broadcast(norms), key).withColumn("score", F.round(F.col("raw") / F.col("norm"), 9))
+    scored = raw.where(informative(F.col("term"))).join(norms, key).withColumn("score", F.round(F.col("raw") / F.col("norm"), 9))
     order = Window.partitionBy(key).orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(key, "rank", "term", F.round("score", 4).alias("score"))
 
@@ -43,7 +43,7 @@ def representatives(docs: DataFrame, label_terms: DataFrame, limit: int = 3) ->
     docs: cluster_id, doc_id, text; label_terms: cluster_id and terms (array), one row a cluster.
     """
     hits = F.aggregate(F.transform("terms", lambda t: F.contains(F.lower("text"), t).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    scored = docs.join(F.broadcast(label_terms), "cluster_id").withColumn("score", F.round(hits + F.least(F.length("text") / F.lit(10000.0), F.lit(0.5)), 4))
+    scored = docs.join(label_terms, "cluster_id").withColumn("score", F.round(hits + F.least(F.length("text") / F.lit(10000.0), F.lit(0.5)), 4))
     order = Window.partitionBy("cluster_id").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("cluster_id", "rank", "doc_id", "score")
 
@@ -56,7 +56,7 @@ def signatures(clusters: DataFrame) -> DataFrame:
 def apply_overrides(labels: DataFrame, overrides: DataFrame) -> DataFrame:
     """labels (signature, label) with display_label and source: a manual label for its signature wins."""
     manual = overrides.select("signature", "manual_label")
-    joined = labels.join(F.broadcast(manual), "signature", "left")
+    joined = labels.join(manual, "signature", "left")
     return joined.select(*labels.columns, F.coalesce("manual_label", "label").alias("display_label"), F.when(F.col("manual_label").isNotNull(), "manual").otherwise("generated").alias("source"))
 
 

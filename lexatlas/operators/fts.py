@@ -26,9 +26,9 @@ def bm25(docs: DataFrame, words: list[str] | DataFrame, text: str = "text", key:
 
     The index statistics cover every row of docs, whatever its status.
     """
-    spark = docs.sparkSession
-    wanted = words if isinstance(words, DataFrame) else spark.createDataFrame([(w,) for w in dict.fromkeys(words)], "term string")
-    terms = sorted({r.term for r in wanted.select("term").distinct().limit(MOST_TERMS + 1).collect() if r.term is not None})
+    if isinstance(words, DataFrame):
+        words = [r.term for r in words.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    terms = sorted({w for w in words if w is not None})
     if len(terms) > MOST_TERMS:
         raise ValueError(f"a query has at most {MOST_TERMS} words")
     held = docs.select(F.col(key), fts_tokens(F.col(text)).alias("tokens")).select(key, F.size("tokens").alias("length"), F.filter("tokens", lambda t: t.isin(*terms) if terms else F.lit(False)).alias("found"))
@@ -154,13 +154,15 @@ def _phrase_at(tokens, words: list[str], prefix: bool):
 
 
 def matches(query: Query, columns: list[str]):
-    """Predicate of a query over array columns of tokens."""
+    """Predicate of a query over array columns of tokens; a phrase without words matches nothing."""
     if query.op == "phrase":
+        if not query.words:
+            return F.lit(False)
         cols = [query.column] if query.column else columns
         found = F.lit(False)
         for c in cols:
             tokens = F.col(c)
-            hit = _phrase_at(tokens, query.words or [""], query.prefix)
+            hit = _phrase_at(tokens, query.words, query.prefix)
             found = found | hit
         return found
     left, right = (matches(p, columns) for p in query.parts)

@@ -34,6 +34,7 @@ def kmeans(docs: DataFrame, weighted: DataFrame, requested: int | None = None, s
     filled = buckets.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("b", "w"))).alias("pairs"))
     rows = ids.join(filled.hint("merge"), key, "left").select(key, sparse("pairs").alias("features")).persist()
     model = KMeans(k=k, seed=seed, maxIter=20).fit(rows)
+    rows.unpersist()
     return model.transform(rows).select(key, F.col("prediction").alias("cluster_id"))
 
 

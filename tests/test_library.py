@@ -254,6 +254,8 @@ def test_ranking_of_words_by_list_and_frame(spark):
     docs = spark.createDataFrame([(1, "a b a"), (2, "b"), (3, "c"), (4, None)], "doc_id long, text string")
     both = [rows(fts.bm25(docs, w).withColumn("score", F.round("score", 9))) for w in (["a", "b", "b"], spark.createDataFrame([("a",), ("b",), (None,)], "term string"))]
     assert both[0] == both[1] and [i for i, _ in both[0]] == [1, 2] and rows(fts.bm25(docs, [])) == []
+    tokens = docs.select("doc_id", T.fts_tokens(F.col("text")).alias("t"))
+    assert tokens.where(fts.matches(fts.Query("phrase", [], prefix=True), ["t"])).isEmpty() and tokens.where(fts.matches(fts.Query("phrase", ["b", "a"]), ["t"])).count() == 1
     with pytest.raises(ValueError):
         fts.bm25(docs, [f"w{k}" for k in range(fts.MOST_TERMS + 1)])
 
