@@ -182,7 +182,7 @@ def snippet_center(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.snippet(F.col("text"), ["tion", "ment", "keit"]).alias("snippet"))
 
 
-@query()
+@query(S.HTML_TEXT)
 def html_to_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", extract.html_to_text("html").alias("text"))
 

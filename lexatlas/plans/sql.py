@@ -152,6 +152,21 @@ hit AS (SELECT doc_id, t, coalesce(list_min(list_filter([instr(lower(t), 'tion')
 beg AS (SELECT doc_id, t, CASE WHEN p > 0 THEN greatest(0, least(p - 1 - 80, length(t) - 240)) ELSE 0 END AS s FROM hit)
 SELECT doc_id, CASE WHEN s > 0 THEN '...' ELSE '' END || trim(substr(t, s + 1, 240), ' ') || CASE WHEN s + 240 < length(t) THEN '...' ELSE '' END AS snippet FROM beg"""
 
+
+
+def _decoded(x: str) -> str:
+    """The entities that the pages hold."""
+    for entity, letter in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"), ("&amp", "&")):
+        x = f"replace({x}, '{entity}', '{letter}')"
+    return x
+
+
+#: Scripts and styles stay as they are written, comments and tags go, texts are decoded, all are joined by spaces and decoded once more.
+HTML_TEXT = rf"""WITH tok AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>|[^<]+') AS t FROM pages),
+frg AS (SELECT page_id, list_transform(t, lambda x: CASE WHEN regexp_matches(x, '^<(script|style)[ >]') THEN regexp_replace(x, '(?s)^<(script|style)[^>]*>(.*)</(script|style)>$', '\2') WHEN starts_with(x, '<') THEN '' ELSE {_decoded('x')} END) AS f FROM tok),
+jnd AS (SELECT page_id, {_decoded("array_to_string(list_filter(f, lambda x: x <> ''), ' ')")} AS j FROM frg)
+SELECT page_id, {_ONE.format('j')} AS text FROM jnd"""
+
 _COS = "list_cosine_similarity(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))"
 VEC_TOPK = f"""WITH s AS (SELECT vec_id, round({_COS.format('embedding', '(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)')}, 9) AS raw FROM embeddings)
 SELECT CAST(row_number() OVER (ORDER BY raw DESC, vec_id) AS INTEGER) AS rank, vec_id, round(raw, 4) AS score FROM s ORDER BY 1 LIMIT 10"""
