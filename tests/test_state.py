@@ -40,7 +40,7 @@ def test_scan_and_snapshot(spark, tmp_path):
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(body)
     got = {r.relative_path: r for r in files.scan(spark, str(root)).collect()}
-    assert sorted(got) == ["a.txt", "c.tex", "sub/b.md", "z.pdf"]
+    assert sorted(got) == ["a.txt", "build/y.txt", "c.tex", "sub/b.md", "z.pdf"]
     assert got["sub/b.md"].title == "Head" and got["c.tex"].title == "T" and got["z.pdf"].skip_reason
     files.publish({"documents": spark.range(3).toDF("id")}, str(tmp_path / "snap"))
     files.publish({"documents": spark.range(5).toDF("id")}, str(tmp_path / "snap"))
@@ -77,8 +77,8 @@ def test_collections(spark):
 
 
 def test_reading_status(spark):
-    rows = spark.createDataFrame([(["Reading"], [], False), (["to-read"], [], True), ([], [], True), (["x"], ["Read Papers"], False), (["read"], [], False)], "t array<string>, p array<string>, n boolean")
-    assert [r.s for r in rows.select(biblio.reading_status(F.col("t"), F.col("p"), F.col("n")).alias("s")).collect()] == ["reading", "to_read", "read", "unknown", "read"]
+    rows = spark.createDataFrame([(["Reading"], [], False), (["To Read"], [], True), ([], [], True), (["x"], ["Read Papers"], False), (["read"], [], False), (["to-read"], [], False), (["in progress", "done"], [], False), ([], ["Queue"], True), (["finished", "current"], [], True)], "t array<string>, p array<string>, n boolean")
+    assert [r.s for r in rows.select(biblio.reading_status(F.col("t"), F.col("p"), F.col("n")).alias("s")).collect()] == ["reading", "to_read", "read", "unknown", "read", "unknown", "unknown", "to_read", "reading"]
     assert biblio.normalise_status("to-read") == "to_read"
     with pytest.raises(ValueError):
         biblio.normalise_status("later")
