@@ -193,9 +193,3 @@ class Words:
         h = np.zeros(m, np.uint64)
         h[: m - n + 1] = mix(acc)
         return h, np.arange(m) + n <= self.first[1:][self.doc]
-
-
-def crc32_u32(ids: np.ndarray) -> int:
-    import zlib
-
-    return zlib.crc32(np.ascontiguousarray(ids, "<u4").tobytes())
