@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexatlas.functions import text as T
-from lexatlas.operators import biblio, explain, library, maps, similarity, state, tfidf, validation
+from lexatlas.operators import biblio, library, maps, similarity, state, tfidf, validation
 from lexatlas.plans import sql as S
 from lexatlas.plans.catalogue import _pairs, corpus, query, read
 from lexatlas.plans.sql import _CTFIDF, _PAIRS, _PLAIN_WORDS, _SIGNED, _STATUS, _TELLING, _chunks, _label_tokens, _weights
