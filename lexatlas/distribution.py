@@ -1,12 +1,13 @@
-"""Ships the package to the executors' Python workers, as a zip file added to the Spark context once."""
+"""Ships the package to the executors' Python workers, as a zip file added to the Spark context once, and keeps tables in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ship(spark: SparkSession) -> None:
@@ -20,3 +21,31 @@ def ship(spark: SparkSession) -> None:
             z.write(path, str(Path(root.name) / path.relative_to(root)))
     context.addPyFile(str(target))
     context._lexatlas_shipped = True
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place for a table in the folder of spark.checkpoint.dir, deleted when the application ends.
+
+    Where that is unset and all runs in one process (tests), in a local temporary folder; an error on a cluster without it.
+    """
+    context = spark.sparkContext
+    run = getattr(context, "_lexatlas_tables", None)
+    if run is None:
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if context.master != "local" and not context.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            found = tempfile.mkdtemp(prefix="lexatlas-")
+        run = context._lexatlas_tables = f"{found.rstrip('/')}/lexatlas-tables/{uuid.uuid4().hex}"
+        place = spark._jvm.org.apache.hadoop.fs.Path(run)
+        store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(place)
+        store.deleteOnExit(place)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage: the rows as a table in the shared folder."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

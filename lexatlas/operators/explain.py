@@ -21,13 +21,18 @@ def simple_labels(weighted: DataFrame, clusters: DataFrame, limit: int = 3) -> D
     return best.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), " / ").alias("label"))
 
 
+def described(docs: DataFrame, between: str):
+    """Title, path and text of a document, as far as docs has them; nulls are empty."""
+    return F.concat_ws(between, *[F.coalesce(c, F.lit("")) for c in ("title", "relative_path", "text") if c in docs.columns])
+
+
 def cluster_terms(clusters: DataFrame, limit: int = 6, key: str = "cluster_id") -> DataFrame:
-    """cluster_id, rank, term, score by TF-IDF with one row of counts for each cluster; clusters: cluster_id, text.
+    """cluster_id, rank, term, score by TF-IDF with one row of counts for each cluster.
 
-    Each document's terms are counted by itself: a bigram over the end of one document and the start of the next, which
+    clusters: cluster_id, text, and title and relative_path, whose words count too, if it has them. Each document's terms are counted by itself: a bigram over the end of one document and the start of the next, which
     joining the texts would add, does not count.
     """
-    counts = clusters.select(key, F.explode(terms(F.col("text"), LABEL_TOKEN, stop_words())).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counts = clusters.select(key, F.explode(terms(described(clusters, "\n"), LABEL_TOKEN, stop_words())).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
     n = clusters.select(key).distinct().agg(F.count("*").alias("n"))
     df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     raw = counts.join(df, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
@@ -40,11 +45,14 @@ def cluster_terms(clusters: DataFrame, limit: int = 6, key: str = "cluster_id")
 def representatives(docs: DataFrame, label_terms: DataFrame, limit: int = 3) -> DataFrame:
     """cluster_id, rank, doc_id, score: how many of the cluster's terms a document holds, and up to 0.5 for its length.
 
-    docs: cluster_id, doc_id, text; label_terms: cluster_id and terms (array), one row a cluster.
+    docs: cluster_id, doc_id, text, and title and relative_path, which are searched too and break ties, if it has them;
+    label_terms: cluster_id and terms (array), one row a cluster.
     """
-    hits = F.aggregate(F.transform("terms", lambda t: F.contains(F.lower("text"), t).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    scored = docs.join(label_terms, "cluster_id").withColumn("score", F.round(hits + F.least(F.length("text") / F.lit(10000.0), F.lit(0.5)), 4))
-    order = Window.partitionBy("cluster_id").orderBy(F.desc("score"), "doc_id")
+    tie = ["relative_path"] if "relative_path" in docs.columns else []
+    lean = docs.select("cluster_id", "doc_id", *tie, F.lower(described(docs, " ")).alias("_all"), F.length(F.coalesce("text", F.lit(""))).alias("_n"))
+    hits = F.aggregate(F.transform("terms", lambda t: F.contains("_all", t).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    scored = lean.join(label_terms, "cluster_id").select("cluster_id", "doc_id", *tie, F.round(hits + F.least(F.col("_n") / F.lit(10000.0), F.lit(0.5)), 4).alias("score"))
+    order = Window.partitionBy("cluster_id").orderBy(F.desc("score"), *tie, "doc_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("cluster_id", "rank", "doc_id", "score")
 
 

@@ -27,7 +27,7 @@ def _gathered(rows: DataFrame, key: str, name: str, *columns: str) -> DataFrame:
 def label_clusters(docs: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Clusters with signature, generated and display label, source, size, top terms and representatives.
 
-    docs: cluster_id, doc_id, text. A cluster without informative terms is called by its id.
+    docs: cluster_id, doc_id, text, and title and relative_path if it has them. A cluster without informative terms is called by its id.
     """
     terms = _gathered(explain.cluster_terms(docs), "cluster_id", "top_terms", "term", "score")
     words = terms.select("cluster_id", F.transform("top_terms", lambda t: t["term"]).alias("terms"))
@@ -59,7 +59,7 @@ def points(docs: DataFrame, weighted: DataFrame, coordinates: DataFrame, assigne
 
 
 def build(docs: DataFrame, overrides: DataFrame | None = None, limit: int = LIMIT, neighbours: int = NEIGHBOURS, seed: int = 42, clusters: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(points, clusters, warnings) of the first documents by path (doc_id, relative_path, text; at most limit: a map's cap)."""
+    """(points, clusters, warnings) of the first documents by path (doc_id, relative_path, text, perhaps title; at most limit: a map's cap)."""
     shown, warnings = capped(docs, "relative_path", limit=limit, what="documents")
     if shown.isEmpty():
         warnings.append("no active indexed documents")

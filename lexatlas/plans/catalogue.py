@@ -100,14 +100,19 @@ def cluster_terms_simple(spark, sf_dir):
     return explain.simple_labels(tfidf.weights(docs), docs.select("doc_id", F.col("lang").alias("cluster_id")))
 
 
+def _clustered(spark, sf_dir):
+    """Documents with title, path and text, clustered by language."""
+    return corpus(spark, sf_dir).select(F.col("lang").alias("cluster_id"), "doc_id", F.coalesce(T.first_line(F.col("text")), F.lit("")).alias("title"), "relative_path", "text")
+
+
 @query(S.CTFIDF)
 def ctfidf_labels(spark, sf_dir):
-    return explain.cluster_terms(read(spark, sf_dir, "documents").select(F.col("lang").alias("cluster_id"), "text"))
+    return explain.cluster_terms(_clustered(spark, sf_dir))
 
 
 @query(S.REPRESENTATIVES)
 def cluster_representatives(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select(F.col("lang").alias("cluster_id"), "doc_id", "text")
+    docs = _clustered(spark, sf_dir)
     found = explain.cluster_terms(docs).groupBy("cluster_id").agg(F.collect_list("term").alias("terms"))
     return explain.representatives(docs, found)
 
@@ -187,14 +192,14 @@ def html_to_text(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", extract.html_to_text("html").alias("text"))
 
 
-@query()
+@query(S.MARKDOWN)
 def markdown_extract(spark, sf_dir):
     """Documents read as Markdown files with their first line as heading."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("---\ntopic: a\n---\n# "), "text").cast("binary").alias("content"))
     return docs.withColumn("x", extract.extracted(F.lit("a.md"), "content")).select("doc_id", "x.title", "x.text", F.size("x.sections").alias("n_sections"))
 
 
-@query()
+@query(S.LATEX)
 def latex_extract(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("\\title{T}\\begin{abstract}"), "text", F.lit("\\end{abstract}\\cite{a,b}")).cast("binary").alias("content"))
     return docs.withColumn("x", extract.extracted(F.lit("a.tex"), "content")).select("doc_id", "x.title", "x.text", F.array_join("x.links", ",").alias("links"))

@@ -12,10 +12,9 @@ from pyspark.sql import functions as F
 from lexatlas.functions import text as T
 from lexatlas.operators import biblio, library, maps, similarity, state, tfidf, validation
 from lexatlas.plans import sql as S
-from lexatlas.plans.catalogue import _pairs, corpus, query, read
-from lexatlas.plans.sql import _CTFIDF, _PAIRS, _PLAIN_WORDS, _SIGNED, _STATUS, _TELLING, _chunks, _label_tokens, _weights
+from lexatlas.plans.catalogue import _clustered, _pairs, corpus, query, read
+from lexatlas.plans.sql import _CHOSEN, _CTFIDF, _PAIRS, _PLAIN_WORDS, _SIGNED, _STATUS, _TELLING, _TITLE, _chunks, _label_tokens, _weights
 
-_TITLE = "(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda x: " + S._ONE.format("x") + "), lambda x: x <> '')[1])"
 _LIBRARY = f"""{_STATUS}, lib AS (SELECT CAST(c.doc_id AS VARCHAR) AS document_id, d.source AS corpus_id, relative_path, coalesce({_TITLE.replace('text', 'c.text')}, '') AS title, status, char_count, c.text FROM corpus c JOIN documents d ON d.doc_id = c.doc_id),
 cut AS (SELECT document_id, {_chunks("text")} AS c FROM lib),
 chk AS (SELECT document_id, document_id || '_chunk_' || lpad(CAST(i AS VARCHAR), 6, '0') AS chunk_id, CAST(i AS INTEGER) AS chunk_index, t AS text FROM (SELECT document_id, unnest(range(0, len(c))) AS i, unnest(c) AS t FROM cut))"""
@@ -494,14 +493,9 @@ def skip_statuses(spark, sf_dir):
 # maps, from given clusters (the language)
 
 
-def _clustered(spark, sf_dir):
-    return read(spark, sf_dir, "documents").select(F.col("lang").alias("cluster_id"), "doc_id", "text")
-
-
-@query(f"""WITH {_CTFIDF}, {_SIGNED}, wrd AS (SELECT cluster_id, string_agg(term, ' / ' ORDER BY rank) FILTER (rank <= 3) AS label, list(term) AS terms FROM lab GROUP BY 1),
-sco AS (SELECT d.lang AS cluster_id, d.doc_id, round(len(list_filter(terms, lambda t: contains(lower(d.text), t))) + least(length(d.text) / 10000.0, 0.5), 4) AS score FROM documents d JOIN wrd ON wrd.cluster_id = d.lang),
-top AS (SELECT cluster_id, string_agg(doc_id, ',' ORDER BY score DESC, doc_id) AS representatives FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, doc_id) AS k FROM sco) WHERE k <= 3 GROUP BY 1)
-SELECT cluster_id, size, signature, coalesce(label, 'Cluster ' || cluster_id) AS generated_label, representatives FROM sig LEFT JOIN wrd USING (cluster_id) LEFT JOIN top USING (cluster_id)""")
+@query(f"""WITH {_CTFIDF}, {_SIGNED}, ter AS (SELECT cluster_id, string_agg(term, ' / ' ORDER BY rank) FILTER (rank <= 3) AS label, list(term) AS terms FROM lab GROUP BY 1), {_CHOSEN},
+top AS (SELECT cluster_id, string_agg(doc_id, ',' ORDER BY rank) AS representatives FROM cho GROUP BY 1)
+SELECT cluster_id, size, signature, coalesce(label, 'Cluster ' || cluster_id) AS generated_label, representatives FROM sig LEFT JOIN ter USING (cluster_id) LEFT JOIN top USING (cluster_id)""")
 def cluster_labels(spark, sf_dir):
     out = maps.label_clusters(_clustered(spark, sf_dir))
     return out.select("cluster_id", "size", "signature", "generated_label", F.array_join(F.transform("representatives", lambda r: r["doc_id"].cast("string")), ",").alias("representatives"))
@@ -573,3 +567,6 @@ SELECT DISTINCT prs.pair_id, coalesce(s, 0.0) AS lexical_score, coalesce(n, 0) A
 def pair_explanations(spark, sf_dir):
     out = maps.explain_pairs(_pairs(spark, sf_dir))
     return out.select("pair_id", "lexical_score", F.coalesce(F.size("shared_terms"), F.lit(0)).cast("long").alias("n_terms")).withColumn("n_terms", F.greatest("n_terms", F.lit(0).cast("long")))
+
+
+from lexatlas.plans import search  # noqa: E402, F401  registers its queries here

@@ -5,6 +5,8 @@ from lexatlas.functions.text import CHUNK_OVERLAP, CHUNK_SIZE, GENERIC_TERMS, MA
 _STOP = ", ".join(f"'{w}'" for w in stop_words())
 _GENERIC = ", ".join(f"'{w}'" for w in GENERIC_TERMS)
 _TOKENS = f"regexp_extract_all(translate(lower(coalesce(text, '')), '{MARKED}', '{PLAIN}'), '[\\p{{L}}\\p{{N}}]+')"
+_ONE = r"trim(regexp_replace(coalesce({}, ''), '[\s\x0b\x1c-\x1f\x85\p{{Z}}]+', ' ', 'g'), ' ')"
+_TITLE = "(list_filter(list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\r]'), lambda x: " + _ONE.format("x") + "), lambda x: x <> '')[1])"
 _BIGRAMS = "list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)"
 
 
@@ -52,6 +54,45 @@ SELECT doc_id FROM tok WHERE (len(list_filter(w, lambda x: starts_with(x, 'erst'
 FTS_FALLBACK = f"""WITH {_STATUS}, {_bm25("'the', 'tion', 'and'")}, hit AS (SELECT doc_id, relative_path, score FROM sco JOIN corpus USING (doc_id) WHERE status = 'active')
 SELECT CAST(row_number() OVER (ORDER BY round(score, 9), relative_path) AS INTEGER) AS rank, doc_id, round(score, 6) AS score FROM hit ORDER BY 1 LIMIT 10"""
 
+_COLS = (("t", "title"), ("p", "relative_path"), ("x", "text"))
+_WHOLE = "list_filter(range(1, len({w}) + 1), lambda i: {test})"
+
+
+def _phrase(words: list[str], begun: bool = False, columns: str = "tpx") -> str:
+    """Hits of a phrase in the token lists of some columns."""
+    test = " AND ".join(f"starts_with(coalesce({{w}}[i + {j}], ''), '{x}')" if begun and j == len(words) - 1 else f"coalesce({{w}}[i + {j}], '') = '{x}'" for j, x in enumerate(words))
+    return " + ".join(f"len({_WHOLE.format(w=c, test=test.format(w=c))})" for c in columns)
+
+
+def _phrases(corpus: str, parts: list[str], match: str, raw: list[str] | None = None, given: list[str] | None = None) -> str:
+    """Scores of rows (key, t, p, x: token lists) by the hits f0, f1, ... of phrases; raw: hits that count for a phrase's rows; given: what else must hold for a phrase to add."""
+    n = range(len(parts))
+    raw, given = raw or parts, given or ["TRUE"] * len(parts)
+    idf = lambda k: f"(CASE WHEN ln((n - d{k} + 0.5) / (d{k} + 0.5)) > 0 THEN ln((n - d{k} + 0.5) / (d{k} + 0.5)) ELSE 1e-6 END)"
+    return f"""{corpus},
+fts_hits AS (SELECT *, len(t) + len(p) + len(x) AS length, {", ".join(f"{x} AS f{k}, ({raw[k]}) > 0 AS r{k}" for k, x in enumerate(parts))} FROM fts_rows),
+fts_stat AS (SELECT count(*) AS n, avg(length) AS mean_length, {", ".join(f"count(*) FILTER (WHERE r{k}) AS d{k}" for k in n)} FROM fts_hits),
+fts_score AS (
+  SELECT key, -({" + ".join(f"(CASE WHEN f{k} > 0 AND {given[k]} THEN {idf(k)} * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * length / mean_length)) ELSE 0 END)" for k in n)}) AS score
+  FROM fts_hits, fts_stat WHERE {match}
+)"""
+
+
+def _tokens_of(column: str) -> str:
+    return _TOKENS.replace("text", column)
+
+
+def _shown(rows: str, statuses: str = "'active'") -> str:
+    return f"""SELECT CAST(row_number() OVER (ORDER BY round(score, 9), relative_path) AS INTEGER) AS rank, key AS {rows}, round(score, 6) AS score
+FROM fts_score JOIN fts_lib ON fts_lib.id = key WHERE status IN ({statuses}) ORDER BY 1 LIMIT 20"""
+
+
+def fts_query(library: str, parts, match, raw=None, given=None, key: str = "document_id", statuses: str = "'active'") -> str:
+    """SQL of a ranked search; library: CTEs up to one named lib (document_id, title, relative_path, text, status)."""
+    rows = "fts_lib AS (SELECT document_id AS id, relative_path, status FROM lib),\nfts_rows AS (SELECT document_id AS key, " + ", ".join(f"{_tokens_of(c)} AS {a}" for a, c in _COLS) + " FROM lib)"
+    return f"WITH {_phrases(f'{library}, {rows}', parts, match, raw, given)}\n{_shown(key, statuses)}"
+
+
 TOP_TERMS = f"""WITH {_weights(_PLAIN_WORDS)},
 rnk AS (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 12) DESC, term) AS INTEGER) AS rank FROM wgt)
 SELECT doc_id, rank, term, round(weight, 4) AS weight FROM rnk WHERE rank <= 8"""
@@ -80,7 +121,10 @@ _WORDS_OF = "regexp_extract_all(lower(term), '[a-z0-9]+')"
 _TELLING = f"len(list_filter({_WORDS_OF}, lambda x: length(x) > 2 AND x NOT IN ({_GENERIC}))) > 0"
 _INFORMATIVE = f"{_TELLING} AND length(trim(term)) >= 3 AND len(list_filter({_WORDS_OF}, lambda x: NOT regexp_full_match(x, '[0-9]+'))) > 0"
 
-_CTFIDF = f"""tok AS (SELECT lang AS k, {_label_tokens("lower(coalesce(text, ''))")} AS w FROM documents),
+_CTFIDF = f"""{_STATUS}, body AS (
+  SELECT d.lang AS cluster_id, c.doc_id, c.relative_path, c.text, coalesce({_TITLE.replace("text", "c.text")}, '') AS title FROM corpus c JOIN documents d USING (doc_id)
+),
+tok AS (SELECT cluster_id AS k, {_label_tokens("lower(title || chr(10) || relative_path || chr(10) || coalesce(text, ''))")} AS w FROM body),
 trm AS (SELECT k, unnest({_BIGRAMS}) AS term FROM tok),
 cnt AS (SELECT k, term, count(*) AS tf FROM trm GROUP BY 1, 2),
 idf AS (SELECT term, ln((1.0 + (SELECT count(DISTINCT k) FROM tok)) / (1 + count(*))) + 1 AS idf FROM cnt GROUP BY 1),
@@ -91,9 +135,11 @@ lab AS (SELECT * FROM (
   FROM raw JOIN nrm USING (k) WHERE {_INFORMATIVE}) WHERE rank <= 6)"""
 
 CTFIDF = f"WITH {_CTFIDF} SELECT cluster_id, rank, term, score FROM lab"
-REPRESENTATIVES = f"""WITH {_CTFIDF}, ter AS (SELECT cluster_id, list(term) AS terms FROM lab GROUP BY 1),
-sco AS (SELECT d.lang AS cluster_id, d.doc_id, round(len(list_filter(terms, lambda t: contains(lower(d.text), t))) + least(length(d.text) / 10000.0, 0.5), 4) AS score FROM documents d JOIN ter ON ter.cluster_id = d.lang)
-SELECT * FROM (SELECT cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM sco) WHERE rank <= 3"""
+_CHOSEN = """sco AS (
+  SELECT cluster_id, doc_id, relative_path, round(len(list_filter(terms, lambda t: contains(lower(title || ' ' || relative_path || ' ' || coalesce(text, '')), t))) + least(length(coalesce(text, '')) / 10000.0, 0.5), 4) AS score
+  FROM body JOIN ter USING (cluster_id)
+), cho AS (SELECT * FROM (SELECT cluster_id, CAST(row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, relative_path) AS INTEGER) AS rank, doc_id, score FROM sco) WHERE rank <= 3)"""
+REPRESENTATIVES = f"WITH {_CTFIDF}, ter AS (SELECT cluster_id, list(term) AS terms FROM lab GROUP BY 1), {_CHOSEN} SELECT cluster_id, rank, doc_id, score FROM cho"
 
 _SIGNED = """sig AS (SELECT lang AS cluster_id, count(*) AS size, 'cluster_' || substr(sha256('[' || string_agg('"' || CAST(doc_id AS VARCHAR) || '"', ',' ORDER BY CAST(doc_id AS VARCHAR)) || ']'), 1, 16) AS signature FROM documents GROUP BY 1)"""
 SIGNATURE = f"WITH {_SIGNED} SELECT cluster_id, size, signature FROM sig"
@@ -144,7 +190,6 @@ CHUNKS = f"""WITH lst AS (SELECT doc_id, {_chunks("text")} AS c FROM documents)
 SELECT doc_id, CAST(i AS INTEGER) AS chunk_index, length(chunk) AS char_count, md5(chunk) AS digest FROM (SELECT doc_id, unnest(range(0, len(c))) AS i, unnest(c) AS chunk FROM lst)"""
 CHUNK_STATS = f"""WITH lst AS (SELECT source, unnest({_chunks("text")}) AS chunk FROM documents)
 SELECT source, count(*) AS chunks, CAST(sum(length(chunk)) AS BIGINT) AS chars, max(length(chunk)) AS longest FROM lst GROUP BY 1"""
-_ONE = r"trim(regexp_replace(coalesce({}, ''), '[\s\x0b\x1c-\x1f\x85\p{{Z}}]+', ' ', 'g'), ' ')"
 NORMALISED = f"SELECT doc_id, md5({_ONE.format('text')}) AS digest, length({_ONE.format('text')}) AS n FROM documents"
 FIRST_LINE = rf"SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r\n|[\n\r]'), lambda x: {_ONE.format('x')}), lambda x: x <> '')[1] AS title FROM documents"
 SNIPPET = f"""WITH one AS (SELECT doc_id, {_ONE.format('text')} AS t FROM documents),
@@ -217,3 +262,28 @@ SELECT key, path FROM up WHERE parent IS NULL"""
 READING_STATUS = """WITH tag AS (SELECT quality = 0 AS noted, lower(list_extract(['To Read', 'Reading', 'current', 'queue', 'unread', 'finished', 'read', 'in progress', 'done'], CAST(doc_id % 10 + 1 AS INTEGER))) AS t FROM labels)
 SELECT CASE WHEN t IN ('reading', 'current') THEN 'reading' WHEN t IN ('to read', 'unread', 'queue') THEN 'to_read' WHEN t IN ('read', 'finished') OR noted THEN 'read' ELSE 'unknown' END AS status, count(*) AS n FROM tag GROUP BY 1"""
 ITEM_DETAIL = "SELECT conv_id AS item_key, string_agg(turn || ':' || role || ':' || length(text), ',' ORDER BY turn, role, length(text)) AS notes FROM conversations GROUP BY 1"
+
+
+# the texts that the registered queries build; RE2 has neither lookbehind nor back-references, which these texts don't need
+_HEADING = r"(?m)^\s{0,3}#{1,6}\s+(.+?)\s*#*\s*$"
+MARKDOWN = rf"""WITH raw AS (SELECT doc_id, '---' || chr(10) || 'topic: a' || chr(10) || '---' || chr(10) || '# ' || text AS raw FROM documents WHERE text IS NOT NULL),
+fenced AS (SELECT doc_id, raw, regexp_replace(raw, '(?s)```.*?```|~~~.*?~~~', ' ', 'g') AS t FROM raw),
+body AS (SELECT doc_id, raw, regexp_replace(substr(t, length('---' || chr(10) || 'topic: a' || chr(10) || '---' || chr(10)) + 1), '\r\n|[\r\x0b\x0c\x1c-\x1e\x85\x{{2028}}\x{{2029}}]', chr(10), 'g') AS t FROM fenced),
+linked AS (SELECT doc_id, raw, regexp_replace(regexp_replace(regexp_replace(t, '\[\[[^\]|]+\|([^\]]+)\]\]', '\1', 'g'), '\[\[([^\]|]+)\]\]', '\1', 'g'), '\[([^\]]+)\]\(([^)\s]+)(?:\s+"[^"]*")?\)', '\1', 'g') AS t FROM body)
+SELECT doc_id, CASE WHEN regexp_matches(raw, '{_HEADING}') THEN trim(regexp_extract(raw, '{_HEADING}', 1)) ELSE {_ONE.format("'a ' || t")} END AS title,
+  {_ONE.format("'a ' || regexp_replace(t, '" + _HEADING + r"', '\1', 'g')")} AS text, CAST(len(regexp_extract_all(t, '{_HEADING}')) AS INTEGER) AS n_sections FROM linked"""
+
+_LATEX_STEPS = (
+    ("%.*", ""), (r"(?is)\\begin\{abstract\}(.*?)\\end\{abstract\}", r"abstract \1"), (r"\\(part|chapter|section|subsection|subsubsection)\*?\{([^{}]+)\}", r"\1 \2"), (r"\\caption\{([^{}]+)\}", r"caption \1"),
+    (r"\\[a-zA-Z]+\*?(?:\[[^\]]*\])?\{([^{}]*)\}", r"\1"), (r"\$\$?|\[|\]", " "), (r"\\[a-zA-Z]+", " "), ("[{}]", " "),
+)
+
+
+def _latex(text: str) -> str:
+    for pattern, put in _LATEX_STEPS:
+        text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+    return text
+
+
+LATEX = rf"""WITH raw AS (SELECT doc_id, '\title{{T}}\begin{{abstract}}' || text || '\end{{abstract}}\cite{{a,b}}' AS t FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, 'T' AS title, {_ONE.format(_latex("t"))} AS text, CASE WHEN contains(regexp_replace(t, '%.*', '', 'g'), '\cite{{a,b}}') THEN 'cite:a,cite:b' ELSE '' END AS links FROM raw"""

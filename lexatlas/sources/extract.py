@@ -67,20 +67,26 @@ def plain(raw: str, warnings: list[str], stem: str) -> dict:
 def frontmatter(text: str) -> tuple[dict, str]:
     """key: value lines between two --- lines at the start, and what follows. Without the second, all of the text follows.
 
-    A key without a value is blank, and list items on the lines below it are lost.
+    A key without a value is blank, and list items right below it are lost; anywhere else `- key: value` is a key like any other.
     """
     lines = text.splitlines()
     if not lines or lines[0].strip() != "---":
         return {}, text
     fields: dict[str, object] = {}
+    under_blank = False
     for n, line in enumerate(lines[1:], 1):
-        if line.strip() == "---":
+        line = line.strip()
+        if line == "---":
             return fields, "\n".join(lines[n + 1 :])
+        if not line or (under_blank and line.startswith("- ")):
+            continue
         key, colon, value = line.partition(":")
-        if colon and key.strip() and not line.lstrip().startswith("- "):
-            value = value.strip()
+        under_blank = False
+        if colon and (key := key.strip()):
+            value = _unquoted(value)
             listed = value.startswith("[") and value.endswith("]")
-            fields[key.strip()] = [v for x in value[1:-1].split(",") if (v := _unquoted(x))] if listed else _unquoted(value)
+            fields[key] = [v for x in value[1:-1].split(",") if (v := _unquoted(x))] if listed else value
+            under_blank = not value
     return fields, text
 
 
@@ -95,13 +101,14 @@ def markdown(raw: str, warnings: list[str], stem: str) -> dict:
 
     def labelled(target_group: int, label_group: int):
         def put(m: re.Match) -> str:
-            links.append(m[target_group].strip())
-            return (m[label_group] or m[target_group]).strip()
+            if target := one_spaced(m[target_group]):
+                links.append(target)
+            return one_spaced(m[label_group] or target)
 
         return put
 
     body = LINK.sub(labelled(2, 1), WIKILINK.sub(labelled(1, 2), body))
-    sections = [s.strip() for s in HEADING.findall(body)]
+    sections = [one_spaced(s) for s in HEADING.findall(body)]
     values = [str(x) for v in fields.values() for x in (v if isinstance(v, list) else [v]) if str(x).strip()]
     text = one_spaced(" ".join([*values, HEADING.sub(r"\1", body)]))
     metadata = {"frontmatter": fields, "frontmatter_keys": sorted(fields), "link_count": len(links)}
@@ -117,15 +124,15 @@ def latex(raw: str, warnings: list[str], stem: str) -> dict:
     body = COMMENT.sub("", raw)
     cited = _listed(*CITE.findall(body))
     books = _listed(*BIBLIOGRAPHY.findall(body), *RESOURCE.findall(body))
-    environments = [f"{name}:{one_spaced(label)}" for name, label, _ in ENVIRONMENT.findall(body) if label.strip()]
+    environments = [f"{name}:{one_spaced(label)}" for name, label, _ in ENVIRONMENT.findall(body) if label]
     abstract = ABSTRACT.search(body)
     metadata = {
         "author": one_spaced(author[1]) if author else "", "abstract": one_spaced(abstract[1]) if abstract else "", "abstract_present": abstract is not None, "captions": [one_spaced(c) for c in CAPTION.findall(body)],
-        "citation_keys": cited, "bibliography_keys": books, "latex_labels": list(dict.fromkeys([*(x.strip() for x in LABEL.findall(body)), *environments])),
+        "citation_keys": cited, "bibliography_keys": books, "latex_labels": [x for x in dict.fromkeys([*map(one_spaced, LABEL.findall(body)), *environments]) if x],
     }
     sections = [one_spaced(s) for _, s in SECTION.findall(body)]
-    body = SECTION.sub(r"section \2", ABSTRACT.sub(r"abstract \1", body))
-    body = ENVIRONMENT.sub(lambda m: " ".join(x for x in (m[1], m[2], m[3]) if x), CAPTION.sub(r"caption \1", body))
+    body = SECTION.sub(r"\1 \2", ABSTRACT.sub(r"abstract \1", body))
+    body = ENVIRONMENT.sub(lambda m: f"{m[1]} {m[2] or ''} {m[3]} ", CAPTION.sub(r"caption \1", body))
     body = COMMAND.sub(" ", MATH.sub(" ", COMMAND_ARGUMENT.sub(r"\1", body)))
     text = one_spaced(body.replace("{", " ").replace("}", " "))
     if len(text) < SHORT_LATEX:
@@ -161,8 +168,28 @@ def html_text(source: str | None) -> str:
     return one_spaced(html.unescape(" ".join(parser.found)))
 
 
+def _page_text(number: int, page, warnings: list[str]) -> str:
+    try:
+        return page.extract_text() or ""
+    except Exception as error:  # a library of many formats: any page may fail in its own way
+        warnings.append(f"page {number} text extraction failed: {error}")
+        return ""
+
+
+def _unlocked(reader, warnings: list[str]) -> bool:
+    """Whether a file is encrypted; it is read as far as an empty password opens it."""
+    if not reader.is_encrypted:
+        return False
+    warnings.append("encrypted PDF; text extraction may be incomplete")
+    try:
+        reader.decrypt("")
+    except Exception as error:
+        warnings.append(f"encrypted PDF could not be decrypted: {error}")
+    return True
+
+
 def pdf(content: bytes, stem: str) -> dict:
-    """The text of a PDF file's pages by the optional library; pages that fail are warnings, a file that fails has a skip reason."""
+    """The text of a PDF file's pages by the optional library; pages that fail and encryption are warnings, a file that fails has a skip reason."""
     import io
 
     from pypdf import PdfReader
@@ -170,16 +197,13 @@ def pdf(content: bytes, stem: str) -> dict:
     warnings: list[str] = []
     try:
         reader = PdfReader(io.BytesIO(content))
-        encrypted = bool(reader.is_encrypted)
-        if encrypted and not reader.decrypt(""):
-            return _value(None, None, [], "pdf-pypdf", skip="PDF is encrypted")
-        texts = []
-        for k, page in enumerate(reader.pages, 1):
-            try:
-                texts.append(page.extract_text() or "")
-            except Exception as error:  # a library of many formats: any page may fail in its own way
-                warnings.append(f"page {k} text extraction failed: {error}")
-                texts.append("")
+        encrypted = _unlocked(reader, warnings)
+        try:
+            pages = list(reader.pages)
+        except Exception as error:
+            warnings.append(f"could not enumerate PDF pages: {error}")
+            pages = []
+        texts = [_page_text(k, page, warnings) for k, page in enumerate(pages, 1)]
         named = str(getattr(reader.metadata, "title", None) or "").strip()
     except Exception as error:
         return _value(None, None, [], "pdf-pypdf", skip=f"PDF extraction failed: {error}")

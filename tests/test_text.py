@@ -57,6 +57,9 @@ def test_markdown():
     assert got["links"] == ["target", "plain", "u"]
     assert "maps a b" in got["text"] and "label" in got["text"] and "python" not in got["text"] and "lost" not in got["text"]
     assert got["sections"] == ["Head"]
+    spaced = extract.markdown("---\n- a: one\nk:\n- b: lost\nm: \"[x, y]\"\n- c: three\n---\n## Two \t words ##\n[[ far   target | the\n label ]] [a  b](u)", [], "stem")
+    assert spaced["metadata"] == '{"frontmatter": {"- a": "one", "- c": "three", "k": "", "m": ["x", "y"]}, "frontmatter_keys": ["- a", "- c", "k", "m"], "link_count": 2}'
+    assert spaced["links"] == ["far target", "u"] and spaced["sections"] == ["Two words"] and spaced["text"] == "one x y three Two words the label a b"
     open_ended = extract.markdown("---\ntopic: maps\nbody", [], "stem")
     assert "topic: maps" in open_ended["text"]
 
@@ -67,6 +70,9 @@ def test_latex():
     )
     assert got["title"] == "A Map" and got["sections"] == ["One"]
     assert got["links"] == ["cite:k1", "cite:k2", "bib:refs"]
+    levels = extract.latex("\\chapter{One}\\subsection*{Two}\\begin{lemma}[A  b]\\label{l:  1}text\\end{lemma}next", [], "stem")
+    assert levels["text"] == "chapter One subsection Two lemma A b l: 1text next" and levels["sections"] == ["One", "Two"]
+    assert '"latex_labels": ["l: 1", "lemma:A b"]' in levels["metadata"]
     assert "abstract Short." in got["text"] and "section One" in got["text"] and "theorem Main All x ." in got["text"] and "gone" not in got["text"]
 
 
