@@ -70,7 +70,7 @@ def test_latex():
     )
     assert got["title"] == "A Map" and got["sections"] == ["One"]
     assert got["links"] == ["cite:k1", "cite:k2", "bib:refs"]
-    levels = extract.latex("\\chapter{One}\\subsection*{Two}\\begin{lemma}[A  b]\\label{l:  1}text\\end{lemma}next", [], "stem")
+    levels = extract.latex("\\chapter{One}\n\\subsection*{Two}\n\\begin{lemma}[A  b]\\label{l:  1}text\\end{lemma}next", [], "stem")
     assert levels["text"] == "chapter One subsection Two lemma A b l: 1text next" and levels["sections"] == ["One", "Two"]
     assert '"latex_labels": ["l: 1", "lemma:A b"]' in levels["metadata"]
     assert "abstract Short." in got["text"] and "section One" in got["text"] and "theorem Main All x ." in got["text"] and "gone" not in got["text"]
