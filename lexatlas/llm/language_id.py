@@ -1,10 +1,11 @@
 """Hierarchical language identification: the family first, then one-versus-one linear support vector machines within it.
 
 Features are the square roots of the shares of hashed byte n-grams (2 to 4 bytes) of the whole lower-cased text, in which
-every run of ASCII characters that are no letters is one space. Languages whose mean features are most alike are
-joined, by the average similarity of their groups, until about as many families remain as the square root of the number of
-languages; given families may be used instead. A softmax model tells families; within a family each pair of languages has
-a machine (squared hinge loss), the language with most votes wins (ties: the larger sum of margins, then the smaller name).
+every run of ASCII characters that are no letters is one space. Languages whose mean features, less those of all languages,
+are most alike are joined, by the average similarity of their groups, until about as many families remain as the square
+root of the number of languages; given families may be used instead. A softmax model tells families; within a family each
+pair of languages has a machine (squared hinge loss), the language with most votes wins (ties: the larger sum of margins,
+then the smaller name).
 
 Training reads, of the documents with a language and a letter, at most MOST_PER_LANGUAGE of each language, those with the
 least hashes of doc_id, and MOST_ROWS / languages where that is less; prediction reads every document whole.
@@ -76,7 +77,8 @@ def batch_features(column: pa.Array):
 def families_of(means: np.ndarray, names: list[str]) -> list[list[str]]:
     """Groups of the most alike languages, about the square root of their number."""
     groups = [[k] for k in range(len(names))]
-    unit = means / np.maximum(np.linalg.norm(means, axis=1, keepdims=True), 1e-12)
+    own = means - means.mean(axis=0)  # what all languages share says nothing of kinship
+    unit = own / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
     alike = unit @ unit.T
     while len(groups) > max(1, round(len(names) ** 0.5)):
         x, y = max(combinations(range(len(groups)), 2), key=lambda p: (alike[np.ix_(groups[p[0]], groups[p[1]])].mean(), -p[0], -p[1]))
