@@ -8,6 +8,8 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def ship(spark: SparkSession) -> None:
@@ -49,3 +51,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with n, their place (from 0) in an order: by a range sort and the counts of its partitions."""
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    # the low 33 bits of the id count the rows of a partition
+    kept = stored(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "sorted")
+    counts = kept.groupBy("_part").agg(F.count("*").alias("_rows"), F.min("_at").alias("_from"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    return kept.join(F.broadcast(counts.select("_part", (before - F.col("_from")).alias("_shift"))), "_part").withColumn("n", F.col("_at") + F.col("_shift")).drop("_part", "_at", "_shift")

@@ -137,16 +137,57 @@ def informative(term: Column, of_label: bool = True) -> Column:
 
 
 def match_excerpt(text: Column, words: list[str], width: int = 16, dots: str = " ... ") -> Column:
-    """Around the first token that is one of the words, width tokens of the text: hits in [], dots where text is left out.
+    """The window of width tokens that holds most different words: hits in [], dots where text is left out.
 
-    Tokens are those of the full-text index; the window opens at the hit, or earlier where the text ends within it. A text
-    without a hit gives its first tokens.
+    Tokens are those of the full-text index. Every hit offers two windows. The first opens at it, and is then drawn so that
+    its hits stand in the middle, within the text; the second opens where the hit's sentence begins, if that is before
+    it (only in texts longer than a window). A window counts 1000 for each different word in it and 1 for each further hit; a sentence
+    adds 100, the text's first one 120. The best window is shown, of equal ones the first. A text without a hit gives its
+    first tokens.
     """
-    tokens = F.regexp_extract_all(text, F.lit(rf"{FTS_TOKEN}[^\p{{L}}\p{{N}}]*"), F.lit(0))
-    folded = F.transform(tokens, lambda t: F.get(fts_tokens(t), F.lit(0)))
-    places = F.transform(folded, lambda t: t.isin(*words)) if words else F.transform(folded, lambda t: F.lit(False))
-    first = F.greatest(F.array_position(places, True) - 1, F.lit(0))
-    start = F.greatest(F.least(first, F.size(tokens) - width), F.lit(0)).cast("int")
-    shown = F.zip_with(F.slice(tokens, start + 1, F.lit(width)), F.slice(places, start + 1, F.lit(width)), lambda t, hit: F.when(hit, F.regexp_replace(t, rf"^({FTS_TOKEN})", "[$1]")).otherwise(t))
-    body = F.rtrim(F.array_join(shown, ""))
-    return F.concat(F.when(start > 0, dots).otherwise(""), body, F.when(start + width < F.size(tokens), dots).otherwise(""))
+    is_word = lambda t: t.isin(*words) if words else F.lit(False)
+
+    def score(found: Column) -> Column:
+        return 999 * F.size(F.array_distinct(F.transform(found, lambda y: y["t"]))) + F.size(found)
+
+    def best(hits: Column, begins: Column, n: Column) -> Column:
+        """The first token of the window that is shown."""
+
+        # a window of width tokens has at most as many hits: only those around a hit are looked at
+        def at_hit(x: Column, k: Column) -> Column:
+            found = F.filter(F.slice(hits, k + 1, F.lit(width)), lambda y: y["i"] < x["i"] + width)
+            middle = x["i"] - F.floor((width - (F.element_at(found, -1)["i"] + 1 - x["i"])) / F.lit(2)).cast("int")
+            return F.struct((-score(found)).alias("less"), (2 * x["i"]).alias("turn"), F.greatest(F.least(middle, n - width), F.lit(0)).alias("start"))
+
+        def at_sentence(x: Column, k: Column) -> Column:
+            begin = F.array_max(F.filter(begins, lambda b: b <= x["i"]))
+            near = F.slice(hits, F.greatest(k + 1 - width, F.lit(1)), F.lit(2 * width))
+            more = score(F.filter(near, lambda y: (y["i"] >= begin) & (y["i"] < begin + width))) + F.when(begin == 0, 120).otherwise(100)
+            # a sentence that begins so far back that the hit is outside counts what it holds near it, and loses to the hit's own window
+            return F.struct(F.when((begin < x["i"]) & (n > width), -more).otherwise(0).alias("less"), (2 * x["i"] + 1).alias("turn"), begin.alias("start"))
+
+        offered = F.concat(F.transform(hits, at_hit), F.transform(hits, at_sentence))
+        return F.coalesce(F.array_min(offered)["start"], F.lit(0))
+
+    def drawn(tokens: Column, placed: Column, start: Column) -> Column:
+        shown = F.transform(F.slice(placed, start + 1, F.lit(width)), lambda x: F.when(is_word(x["t"]), F.regexp_replace(F.get(tokens, x["i"]), rf"^({FTS_TOKEN})", "[$1]")).otherwise(F.get(tokens, x["i"])))
+        body = F.array_join(shown, "")
+        cut = start + width < F.size(tokens)
+        return F.concat(F.when(start > 0, F.lit(dots)).otherwise(F.regexp_extract(text, r"^[^\p{L}\p{N}]*", 0)), F.when(cut, F.concat(F.regexp_replace(body, r"[^\p{L}\p{N}\]]+$", ""), F.lit(dots))).otherwise(body))
+
+    def of_tokens(tokens: Column) -> Column:
+        placed = F.transform(tokens, lambda t, i: F.struct(i.alias("i"), F.get(fts_tokens(t), F.lit(0)).alias("t")))
+        return _let(placed, lambda p: of_places(tokens, p))
+
+    def of_places(tokens: Column, placed: Column) -> Column:
+        # a sentence begins at the first token, and where . or : and white space stand before one
+        ends = F.transform(tokens, lambda t, i: F.when(t.rlike(r"[.:][ \t\n\r]+$"), i + 1).otherwise(0))
+        parts = F.struct(F.filter(placed, lambda x: is_word(x["t"])).alias("hits"), F.array_distinct(F.concat(F.array(F.lit(0)), ends)).alias("begins"))
+        return _let(parts, lambda x: _let(best(x["hits"], x["begins"], F.size(tokens)), lambda start: drawn(tokens, placed, start)))
+
+    return _let(F.regexp_extract_all(text, F.lit(rf"{FTS_TOKEN}[^\p{{L}}\p{{N}}]*"), F.lit(0)), of_tokens)
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), where the value is evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

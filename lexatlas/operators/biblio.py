@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexatlas.distribution import stored
 from lexatlas.functions.text import literal
 
 STATUSES = ("read", "reading", "to_read", "unknown")
@@ -60,24 +61,62 @@ def matching(items: DataFrame, status: str | None = None, q: str | None = None)
     return items
 
 
-def collection_paths(collections: DataFrame, most_depth: int = 32) -> DataFrame:
-    """key and path ('a / b / c') of a tree of key, name, parent; a member of a cycle has its key as path.
+def _doubled(rows: DataFrame, path: bool) -> DataFrame:
+    """Every row joined with the one that it points to: its pointer goes twice as far, its path is that one's and its own."""
+    own = rows.where("up is null")
+    ahead = rows.select(F.col("key").alias("up"), F.col("up").alias("next"), *[F.col("path").alias("above")] * path)
+    moved = rows.where("up is not null").join(ahead, "up")
+    return own.unionByName(moved.select("key", F.col("next").alias("up"), *[F.concat("above", F.lit(" / "), "path").alias("path")] * path))
 
-    Every round moves all rows one level up, so it takes as many joins as the tree is deep; a tree of more than most_depth
-    levels is an error.
+
+def collection_paths(collections: DataFrame) -> DataFrame:
+    """key and path ('a / b / c') of trees of key (one row each), name, parent; a parent that is not there counts as none.
+
+    Where the way up comes to a collection for the second time it ends there, with that one's key: 'a / B / A' for a cycle of
+    two. Pointers double with every join, so a tree takes as many rounds as its depth has binary digits.
     """
-    by_key = collections.select(F.col("key").alias("up"), F.col("name").alias("up_name"), F.col("parent").alias("next"))
-    rows = collections.select("key", F.col("name").alias("path"), F.col("parent").alias("up"), F.array("key").alias("seen"), F.lit(False).alias("cycle"))
-    for _ in range(most_depth):
-        if rows.where("up is not null and not cycle").isEmpty():
-            return rows.select("key", F.when(F.col("cycle"), F.col("key")).otherwise(F.col("path")).alias("path"))
-        moved = rows.join(by_key, "up", "left")
-        loop = F.col("up").isNotNull() & F.array_contains("seen", F.col("up"))
-        rows = moved.select(
-            "key", F.when(F.col("up_name").isNotNull() & ~loop, F.concat("up_name", F.lit(" / "), "path")).otherwise(F.col("path")).alias("path"),
-            F.when(loop, F.lit(None)).otherwise(F.col("next")).alias("up"), F.when(F.col("up").isNotNull(), F.array_append("seen", F.col("up"))).otherwise(F.col("seen")).alias("seen"), (F.col("cycle") | F.coalesce(loop, F.lit(False))).alias("cycle"),
-        )
-    raise ValueError(f"collections nest deeper than {most_depth} levels")
+    keys = collections.select(F.col("key").alias("parent"))
+    start = collections.select("key", "name", "parent").join(keys.withColumn("there", F.lit(True)), "parent", "left")
+    rows = stored(start.select("key", "name", F.when(F.col("there"), F.col("parent")).alias("up")), "collections")
+    pointers, left = rows.select("key", "up"), rows.count()
+    while left:
+        if pointers.where("up is not null").isEmpty():
+            return _paths(rows.select("key", "up", F.col("name").alias("path")))
+        pointers, left = stored(_doubled(pointers, False), "pointers"), left // 2
+    # pointers longer than any way without a repeat: they still point at the members of cycles, and at all of these
+    members = pointers.where("up is not null").select(F.col("up").alias("key")).distinct()
+    if members.isEmpty():
+        return _paths(rows.select("key", "up", F.col("name").alias("path")))
+    inside = stored(rows.join(members, "key", "left_semi"), "cycles")
+    turned = _around(inside).withColumn("up", F.lit(None).cast(dict(rows.dtypes)["up"]))
+    return _paths(rows.join(members, "key", "left_anti").select("key", "up", F.col("name").alias("path")).unionByName(turned))
+
+
+def _paths(rows: DataFrame) -> DataFrame:
+    """key and path of rows (key, up, path) whose pointers come to an end."""
+    while not rows.where("up is not null").isEmpty():
+        rows = stored(_doubled(rows, True), "paths")
+    return rows.select("key", "path")
+
+
+def _around(inside: DataFrame) -> DataFrame:
+    """key and path of the members (key, name, up) of cycles: each goes around its own once, down from its key."""
+    least = inside.select("key", "up", F.col("key").alias("first"))
+    for _ in range(inside.count().bit_length()):
+        ahead = least.select(F.col("key").alias("up"), F.col("up").alias("next"), F.col("first").alias("other"))
+        least = stored(least.join(ahead, "up").select("key", F.col("next").alias("up"), F.least("first", "other").alias("first")), "first")
+    led = inside.join(least.select("key", "first"), "key")
+    # cut each cycle above its first key: places count from there down
+    steps = stored(led.select("key", F.when(F.col("key") != F.col("first"), F.col("up")).alias("up"), F.when(F.col("key") != F.col("first"), 1).otherwise(0).alias("place")), "steps")
+    while not steps.where("up is not null").isEmpty():
+        ahead = steps.select(F.col("key").alias("up"), F.col("up").alias("next"), F.col("place").alias("more"))
+        moved = steps.where("up is not null").join(ahead, "up").select("key", F.col("next").alias("up"), (F.col("place") + F.col("more")).alias("place"))
+        steps = stored(steps.where("up is null").unionByName(moved), "steps")
+    placed = led.select("key", "name", "first").join(steps.select("key", "place"), "key")
+    names = placed.groupBy("first").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("ring"))
+    ring = F.transform("ring", lambda x: x["name"])
+    down = F.concat(F.slice(ring, F.col("place") + 2, F.size("ring")), F.slice(ring, F.lit(1), F.col("place") + 1))
+    return placed.join(names, "first").select("key", F.concat_ws(" / ", F.col("key").cast("string"), F.array_join(down, " / ")).alias("path"))
 
 
 def resolve_collection(collections: DataFrame, ref: str) -> str:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexatlas.functions.ids import cluster_signature
+from lexatlas.distribution import ship
 from lexatlas.functions.text import GENERIC_TERMS, LABEL_TOKEN, WORD, informative, literal, stop_words, terms, window_chunks
 from lexatlas.operators import tfidf
 
@@ -57,8 +60,39 @@ def representatives(docs: DataFrame, label_terms: DataFrame, limit: int = 3) ->
 
 
 def signatures(clusters: DataFrame) -> DataFrame:
-    """cluster_id, size and signature of doc_id members."""
-    return clusters.groupBy("cluster_id").agg(F.count("*").alias("size"), cluster_signature(F.collect_list(F.col("doc_id").cast("string"))).alias("signature"))
+    """cluster_id, size and signature of doc_id members, the digest of their sorted list as JSON.
+
+    The ids of a cluster come sorted to one task, which digests them batch by batch: no list of all is ever held.
+    """
+    ship(clusters.sparkSession)
+    kind = dict(clusters.dtypes)["cluster_id"]
+    item = F.to_json(F.array(F.col("doc_id").cast("string")))
+    rows = clusters.select("cluster_id", F.col("doc_id").cast("string").alias("i"), F.substring(item, 2, F.length(item) - 2).alias("item"))
+
+    def run(batches):
+        now, size, digest = None, 0, None
+
+        def done():
+            digest.update(b"]")
+            return pa.RecordBatch.from_arrays([pa.array([now], schema[0].type), pa.array([size], pa.int64()), pa.array(["cluster_" + digest.hexdigest()[:16]])], ["cluster_id", "size", "signature"])
+
+        schema = None
+        for batch in batches:
+            schema, ids, items = batch.schema, batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            at = 0
+            while at < len(ids):
+                if digest is None or ids[at] != now:
+                    if digest is not None:
+                        yield done()
+                    now, size, digest = ids[at], 0, hashlib.sha256(b"[")
+                upto = next((k for k in range(at + 1, len(ids)) if ids[k] != now), len(ids))
+                digest.update((("," if size else "") + ",".join(items[at:upto])).encode())
+                size, at = size + upto - at, upto
+        if digest is not None:
+            yield done()
+
+    dealt = rows.repartition("cluster_id").sortWithinPartitions("cluster_id", "i").select("cluster_id", "item")
+    return dealt.mapInArrow(run, f"cluster_id {kind}, size long, signature string")
 
 
 def apply_overrides(labels: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -1,19 +1,24 @@
-"""TF-IDF in long form, top terms, exact nearest neighbours, their edges."""
+"""TF-IDF in long form, top terms, exact nearest neighbours, their edges.
+
+Where only equality of terms counts they travel as 64-bit codes (of a bigram: of its words' codes), counted within their
+document's row; strings are looked up again for the few that are shown.
+"""
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexatlas.distribution import ship
+from lexatlas.distribution import numbered, ship, stored
 from lexatlas.functions.text import TFIDF_TOKEN, stop_words, terms
 
 #: Terms where a corpus has no others.
 ANY_TOKEN = r"[\p{L}\p{N}_]+"
-BLOCK = 1024
+BLOCK, SIDE = 1024, 4
 #: Terms whose postings in two blocks make more products than this are multiplied as dense columns.
 DENSE_PRODUCTS, DENSE_COLUMNS = 4096, 1024
 
@@ -34,11 +39,129 @@ def weights(docs: DataFrame, text: str = "text", key: str = "doc_id", token: str
     return raw.select(key, "term", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))).alias("weight"))
 
 
+def _settled(docs: DataFrame, text: str, token: str, stop: list[str] | None) -> tuple[str, list[str]]:
+    """Token and stop words, or those of a corpus that has no terms by these."""
+    stop = stop_words() if stop is None else stop
+    return (ANY_TOKEN, []) if docs.where(F.size(terms(F.col(text), token, stop, False)) > 0).isEmpty() else (token, stop)
+
+
+def _words(text: str, token: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(token), F.lit(0))
+
+
+def _stop_codes(spark, stop: list[str]) -> np.ndarray:
+    found = spark.createDataFrame([(w,) for w in stop], "w string").select(F.xxhash64("w").alias("c")).collect() if stop else []  # the stop words
+    return np.sort(np.array([r.c for r in found], np.int64))
+
+
+def _list(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """(offsets from 0, values) of a list column without nulls."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = column.offsets.to_numpy()
+    return offsets - offsets[0], column.values.slice(offsets[0], offsets[-1] - offsets[0])
+
+
+def _coded(codes: np.ndarray, offsets: np.ndarray, stop: np.ndarray, bigrams: bool) -> tuple[np.ndarray, ...]:
+    """(row, code, place, second) of the terms of rows of coded words: those that are no stop words, then the bigrams of what is left; the places of a term's words, second -1 for one."""
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    place = np.arange(len(codes))
+    if len(stop):
+        keep = stop[np.minimum(np.searchsorted(stop, codes), len(stop) - 1)] != codes
+        row, codes, place = row[keep], codes[keep], place[keep]
+    if not bigrams:
+        return row, codes, place, np.full(len(row), -1)
+    joined = np.flatnonzero(row[1:] == row[:-1])
+    one, two = codes[joined].view(np.uint64), codes[joined + 1].view(np.uint64)
+    x = (one ^ (one >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + two
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    pair = (x ^ (x >> np.uint64(31))).view(np.int64)
+    return np.concatenate([row, row[joined]]), np.concatenate([codes, pair]), np.concatenate([place, place[joined]]), np.concatenate([np.full(len(row), -1), place[joined + 1]])
+
+
+def coded_counts(docs: DataFrame, text: str = "text", key: str = "doc_id", token: str = TFIDF_TOKEN, stop: list[str] | None = None, bigrams: bool = True) -> DataFrame:
+    """key, code, tf of the terms of each row; nothing is shuffled."""
+    ship(docs.sparkSession)
+    token, stop = _settled(docs, text, token, stop)
+    gone = _stop_codes(docs.sparkSession, stop)
+
+    def run(batches):
+        for batch in batches:
+            offsets, codes = _list(batch.column(1))
+            row, code, *_ = _coded(codes.to_numpy(zero_copy_only=False), offsets, gone, bigrams)
+            order = np.lexsort((code, row))
+            row, code = row[order], code[order]
+            head = np.ones(len(row), bool)
+            head[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+            first = np.flatnonzero(head)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[first])), pa.array(code[first]), pa.array(np.diff(np.append(first, len(row))))], [key, "code", "tf"])
+
+    words = docs.select(key, F.transform(_words(text, token), lambda w: F.xxhash64(w)).alias("codes"))
+    return words.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, code long, tf long")
+
+
+def coded_raw(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """counts with raw, tf * (ln((1 + n) / (1 + df)) + 1)."""
+    n = docs.agg(F.count("*").alias("n"))
+    df = counts.groupBy("code").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("code", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return counts.join(df, "code").withColumn("raw", F.col("tf") * F.col("idf")).drop("tf", "idf")
+
+
+def coded_weights(docs: DataFrame, text: str = "text", key: str = "doc_id", **how) -> DataFrame:
+    """key, code, weight: weights() with codes instead of terms."""
+    raw = coded_raw(docs, coded_counts(docs, text, key, **how))
+    return raw.select(key, "code", (F.col("raw") / F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))).alias("weight"))
+
+
+def spelled(rows: DataFrame, docs: DataFrame, text: str = "text", key: str = "doc_id", token: str = TFIDF_TOKEN, stop: list[str] | None = None, bigrams: bool = True) -> DataFrame:
+    """rows (key, code, ...) with term, looked up in the texts of their documents."""
+    ship(docs.sparkSession)
+    token, stop = _settled(docs, text, token, stop)
+    gone = _stop_codes(docs.sparkSession, stop)
+
+    def run(batches):
+        for batch in batches:
+            offsets, codes = _list(batch.column(2))
+            words = _list(batch.column(1))[1].to_pylist()
+            row, code, place, second = _coded(codes.to_numpy(zero_copy_only=False), offsets, gone, bigrams)
+            asked, wanted = _list(batch.column(3))
+            ask_row, ask_code = np.repeat(np.arange(len(asked) - 1), np.diff(asked)), wanted.to_numpy(zero_copy_only=False)
+            held = pd.MultiIndex.from_arrays([row, code])
+            at = np.flatnonzero(~held.duplicated())
+            at = at[held[at].get_indexer(pd.MultiIndex.from_arrays([ask_row, ask_code]))]
+            out = [words[place[k]] if second[k] < 0 else f"{words[place[k]]} {words[second[k]]}" for k in at.tolist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ask_row)), pa.array(ask_code), pa.array(out, pa.string())], [key, "code", "term"])
+
+    wanted = rows.groupBy(key).agg(F.collect_set("code").alias("wanted"))
+    words = docs.select(key, _words(text, token).alias("words"))
+    both = words.join(wanted, key).select(key, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("codes"), "wanted")
+    return rows.join(both.mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, code long, term string").dropDuplicates([key, "code"]), [key, "code"])
+
+
 def top_terms(weighted: DataFrame, limit: int = 8, key: str = "doc_id") -> DataFrame:
     order = Window.partitionBy(key).orderBy(F.round("weight", 12).desc(), "term")
     return weighted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def best_terms(docs: DataFrame, limit: int = 8, key: str = "doc_id", **how) -> DataFrame:
+    """top_terms() of weights(), by codes: only terms that may be among the first are spelled out."""
+    weighted = coded_weights(docs, key=key, **how).withColumn("w", F.round("weight", 12))
+    near = weighted.withColumn("r", F.rank().over(Window.partitionBy(key).orderBy(F.desc("w")))).where(F.col("r") <= limit).drop("r", "w")
+    return top_terms(spelled(near, docs, key=key, **how).select(key, "term", "weight"), limit, key)
+
+
+def similar_to(docs: DataFrame, own: Column, key: str = "doc_id", **how) -> DataFrame:
+    """key and score of the documents that share a term with the one that `own` tells: cosine.
+
+    Of the other documents only norms and that document's terms leave the rows.
+    """
+    raw = coded_raw(docs, coded_counts(docs, key=key, **how))
+    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    mine = raw.where(own).select("code", F.col("raw").alias("own"))
+    shared = raw.where(~own).join(mine, "code").groupBy(key).agg(F.sum(F.col("raw") * F.col("own")).alias("dot"))
+    length = mine.agg(F.sqrt(F.sum(F.col("own") * F.col("own"))).alias("length"))
+    return shared.join(norms, key).crossJoin(F.broadcast(length)).select(key, (F.col("dot") / F.col("norm") / F.col("length")).alias("score"))  # one row
+
+
 def _products(rows_a, cols_a, w_a, rows_b, cols_b, w_b, shape) -> np.ndarray:
     """Dense shape[0] x shape[1] product of two sparse matrices given as (row, column, weight) over common columns."""
     out = np.zeros(shape)
@@ -66,46 +189,102 @@ def _products(rows_a, cols_a, w_a, rows_b, cols_b, w_b, shape) -> np.ndarray:
     return out + flat.reshape(shape)
 
 
-def neighbours(docs: DataFrame, weighted: DataFrame, k: int = 5, key: str = "doc_id", block: int = BLOCK) -> DataFrame:
+def _tiles(postings: DataFrame, rows: int) -> DataFrame:
+    """id and tile of every row with terms: rows that share their commonest term stand together, `rows` of them a tile."""
+    common = postings.groupBy("code").agg(F.count("*").alias("df"))
+    marks = postings.join(common, "code").groupBy("id").agg(F.max(F.struct("df", "code"))["code"].alias("mark"))
+    return numbered(marks, "mark", "id").select("id", F.expr(f"n div {rows}").cast("int").alias("tile"))
+
+
+def _sent(tiled: DataFrame, floors: DataFrame) -> DataFrame:
+    """id and other: the tiles that a row has to meet besides its own.
+
+    No row of a tile scores more with a row than the sum of its weights times the tile's greatest weights. A pair matters only
+    if it reaches the floor of one of the two, so a row goes only where its bound reaches its own floor or the tile's least.
+    """
+    peaks = tiled.groupBy(F.col("tile").alias("other"), "code").agg(F.max("w").alias("peak"))
+    least = floors.join(tiled.select("id", "tile").distinct(), "id").groupBy(F.col("tile").alias("other")).agg(F.min("floor").alias("least"))
+    bound = tiled.join(peaks, "code").where("tile <> other").groupBy("id", "other").agg(F.sum(F.col("w") * F.col("peak")).alias("bound"))
+    return bound.join(floors, "id").join(least, "other").where(F.col("bound") >= F.least("floor", "least") - 1e-9).select("id", "other")
+
+
+def neighbours(docs: DataFrame, weighted: DataFrame, k: int = 5, key: str = "doc_id", block: int = BLOCK, side: int = SIDE) -> DataFrame:
     """key, rank, neighbour, score: the k most similar documents by cosine, ties and zero scores by key.
 
-    Sparse vectors are dealt in blocks; each pair of blocks is one group, which gives k candidates a document.
+    Sparse vectors are dealt in tiles of side * block rows, alike ones together. Each tile first meets itself, which gives
+    every row a floor that its k-th neighbour reaches; then a row goes only to the tiles whose greatest weights let it reach
+    a floor, its own or one of theirs. Each pair of tiles is one group, compared block by block.
     """
     ship(docs.sparkSession)
     k = max(0, k)
-    n_blocks = max(1, -(-docs.count() // block))
-    vectors = weighted.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("term").alias("t"), F.col("weight").alias("w")))).alias("v"))
-    vectors = docs.select(F.col(key).alias("id")).join(vectors.withColumnRenamed(key, "id"), "id", "left")
-    vectors = vectors.select("id", F.coalesce(F.transform("v", lambda x: x["t"]), F.array().cast("array<long>")).alias("t"), F.coalesce(F.transform("v", lambda x: x["w"]), F.array().cast("array<double>")).alias("w"), F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int").alias("block"))
-    dealt = vectors.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    code = F.col("code") if "code" in weighted.columns else F.xxhash64("term")
+    postings = stored(weighted.select(F.col(key).alias("id"), code.alias("code"), F.col("weight").alias("w")), "postings")
+    tiled = stored(postings.join(_tiles(postings, side * block), "id"), "tiled")
+    gathered = tiled.groupBy("tile", "id").agg(F.array_sort(F.collect_list(F.struct(F.col("code").alias("t"), "w"))).alias("v"))
+    vectors = stored(gathered.select("tile", "id", F.transform("v", lambda x: x["t"]).alias("t"), F.transform("v", lambda x: x["w"]).alias("w")), "vectors")
 
     def best(ids_a, ids_b, scores):
         rounded = np.round(scores, 12)
         order_b = np.argsort(ids_b, kind="stable")
-        rounded = np.where(ids_a[:, None] == ids_b[None, :], -np.inf, rounded)[:, order_b]
+        rounded = np.where((ids_a[:, None] == ids_b[None, :]) | (rounded <= 0), -np.inf, rounded)[:, order_b]
         take = np.argsort(-rounded, axis=1, kind="stable")[:, :k]
         score = np.take_along_axis(rounded, take, axis=1)
         ok = score > -np.inf
         return np.repeat(ids_a, ok.sum(axis=1)), ids_b[order_b][take][ok], score[ok]
 
-    def run(table: pa.Table) -> pa.Table:
-        x, y, blocks = table.column("x")[0].as_py(), table.column("y")[0].as_py(), table.column("block").to_numpy()
-        parts = []
-        for b in (x, y):
-            own = table.filter(pa.array(blocks == b)).combine_chunks()
+    def parts(table: pa.Table):
+        """Blocks of ids, and their terms as (row, code, weight)."""
+        for at in range(0, table.num_rows, block):
+            own = table.slice(at, block).combine_chunks()
             t, w = own.column("t").combine_chunks(), own.column("w").combine_chunks()
             lengths = np.diff(t.offsets.to_numpy())
-            parts.append((own.column("id").to_numpy(), np.repeat(np.arange(len(lengths)), lengths), t.flatten().to_numpy(), w.flatten().to_numpy()))
-        (ia, ra, ta, wa), (ib, rb, tb, wb) = parts
-        scores = _products(ra, ta, wa, rb, tb, wb, (len(ia), len(ib)))
-        found = [best(ia, ib, scores)] + ([best(ib, ia, scores.T)] if x != y else [])
+            yield own.column("id").to_numpy(), np.repeat(np.arange(len(lengths)), lengths), t.flatten().to_numpy(), w.flatten().to_numpy()
+
+    def run(table: pa.Table) -> pa.Table:
+        tiles = table.column("tile").to_numpy()
+        low, high = tiles.min(), tiles.max()
+        left, right = list(parts(table.filter(pa.array(tiles == low)))), list(parts(table.filter(pa.array(tiles == high))))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for x, (ia, ra, ta, wa) in enumerate(left):
+            for ib, rb, tb, wb in right[x:] if low == high else right:
+                scores = _products(ra, ta, wa, rb, tb, wb, (len(ia), len(ib)))
+                found.append(best(ia, ib, scores))
+                if ia is not ib and not (low == high and ia[0] == ib[0]):
+                    found.append(best(ib, ia, scores.T))
         cols = [np.concatenate(c) for c in zip(*found)]
         return pa.table({"id": cols[0], "neighbour": cols[1], "score": cols[2]})
 
-    candidates = dealt.select("x", "y", "block", "id", "t", "w").groupBy("x", "y").applyInArrow(run, "id long, neighbour long, score double")
+    schema = "id long, neighbour long, score double"
     order = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
-    ranked = candidates.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select(F.col("id").alias(key), "rank", "neighbour", F.round("score", 4).alias("score"))
+    first = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    inner = stored(first(vectors.groupBy("tile").applyInArrow(run, schema)).drop("rank"), "inner")
+    reached = inner.groupBy("id").agg(F.count("*").alias("n"), F.min("score").alias("s"))
+    floors = vectors.select("id").join(reached, "id", "left").select("id", F.when(F.col("n") >= k, F.col("s")).otherwise(0.0).alias("floor"))
+    sent = vectors.join(_sent(tiled, floors), "id").withColumn("x", F.least("tile", "other")).withColumn("y", F.greatest("tile", "other"))
+    outer = sent.groupBy("x", "y").applyInArrow(run_pair(run), schema)
+    ranked = first(inner.unionByName(outer.distinct()))
+    return _padded(docs.select(F.col(key).alias("id")), ranked, k).select(F.col("id").alias(key), "rank", "neighbour", F.round("score", 4).alias("score"))
+
+
+def run_pair(run):
+    """run() of a group where both tiles have come; what one sent alone meets nothing."""
+
+    def both(table: pa.Table) -> pa.Table:
+        if len(table.column("tile").unique()) == 2:
+            return run(table)
+        return pa.table({"id": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+
+    return both
+
+
+def _padded(ids: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
+    """Lists of fewer than k neighbours filled up with the least other ids, at score 0."""
+    fillers = ids.orderBy("id").limit(2 * k + 1).agg(F.sort_array(F.collect_list("id")).alias("least"))  # 2k + 1 ids
+    listed = ids.join(ranked.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour", "score"))).alias("l")), "id", "left").crossJoin(F.broadcast(fillers))
+    own = F.coalesce("l", F.array().cast("array<struct<rank:int,neighbour:long,score:double>>"))
+    free = F.array_except(F.array_except("least", F.transform(own, lambda x: x["neighbour"])), F.array("id"))
+    more = F.transform(F.slice(free, F.lit(1), F.lit(k) - F.size(own)), lambda f, i: F.struct((F.size(own) + i + 1).alias("rank"), f.alias("neighbour"), F.lit(0.0).alias("score")))
+    return listed.select("id", F.explode(F.concat(own, more)).alias("x")).select("id", "x.rank", "x.neighbour", "x.score")
 
 
 def edges(neighbour_rows: DataFrame, key: str = "doc_id") -> DataFrame:

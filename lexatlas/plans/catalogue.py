@@ -78,20 +78,19 @@ def fts_or_fallback(spark, sf_dir):
 
 @query(S.TOP_TERMS)
 def tfidf_top_terms(spark, sf_dir):
-    weighted = tfidf.weights(read(spark, sf_dir, "documents"))
-    return tfidf.top_terms(weighted).select("doc_id", "rank", "term", F.round("weight", 4).alias("weight"))
+    return tfidf.best_terms(read(spark, sf_dir, "documents")).select("doc_id", "rank", "term", F.round("weight", 4).alias("weight"))
 
 
 @query(S.KNN)
 def tfidf_knn(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return tfidf.neighbours(docs, tfidf.weights(docs), 5)
+    return tfidf.neighbours(docs, tfidf.coded_weights(docs), 5)
 
 
 @query(S.KNN_EDGES)
 def knn_edges(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return tfidf.edges(tfidf.neighbours(docs, tfidf.weights(docs), 5))
+    return tfidf.edges(tfidf.neighbours(docs, tfidf.coded_weights(docs), 5))
 
 
 @query(S.CLUSTER_TERMS_SIMPLE)
@@ -238,9 +237,7 @@ def vector_stats(spark, sf_dir):
 def hybrid_neighbors(spark, sf_dir):
     """The first document's neighbours by text and by the vector of the same number."""
     docs = read(spark, sf_dir, "documents")
-    weighted = tfidf.weights(docs)
-    own = weighted.where("doc_id = 0").select("term", F.col("weight").alias("own"))
-    lexical = weighted.where("doc_id <> 0").join(own, "term").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("own")).alias("score"))
+    lexical = tfidf.similar_to(docs, F.col("doc_id") == 0)
     vectors = read(spark, sf_dir, "embeddings")
     probe = vectors.where("vec_id = 0").first().embedding
     dense = vectors.where("vec_id <> 0").select(F.col("vec_id").alias("doc_id"), similarity.cosine(F.col("embedding"), F.array(*map(F.lit, probe))).alias("score"))
@@ -386,13 +383,13 @@ def item_detail_nested(spark, sf_dir):
 @query()
 def kmeans_clusters(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return layout.kmeans(docs, tfidf.weights(docs))
+    return layout.kmeans(docs, tfidf.coded_weights(docs))
 
 
 @query()
 def svd_layout(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return layout.layout(tfidf.weights(docs), docs)
+    return layout.layout(tfidf.coded_weights(docs), docs)
 
 
 from lexatlas.plans import records  # noqa: E402, F401  registers its queries here

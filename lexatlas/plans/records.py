@@ -195,11 +195,26 @@ def excerpts(spark, sf_dir):
 _TOKEN_RUNS = r"regexp_extract_all(coalesce(text, ''), '[\p{L}\p{N}]+[^\p{L}\p{N}]*')"
 
 
-@query(rf"""WITH tok AS (SELECT doc_id, {_TOKEN_RUNS} AS w FROM documents WHERE text IS NOT NULL),
-hit AS (SELECT doc_id, w, list_transform(w, lambda x: regexp_extract(translate(lower(x), '{T.MARKED}', '{T.PLAIN}'), '^[\p{{L}}\p{{N}}]+') IN ('the', 'der', 'que')) AS h FROM tok),
-beg AS (SELECT doc_id, w, h, greatest(least(coalesce(list_position(h, true), 1) - 1, len(w) - 16), 0) AS s FROM hit),
-shw AS (SELECT doc_id, s, len(w) AS n, list_transform(range(1, least(16, len(w) - s) + 1), lambda i: CASE WHEN h[s + i] THEN regexp_replace(w[s + i], '^([\p{{L}}\p{{N}}]+)', '[\1]') ELSE w[s + i] END) AS x FROM beg)
-SELECT doc_id, md5(CASE WHEN s > 0 THEN ' ... ' ELSE '' END || rtrim(array_to_string(x, ''), ' ') || CASE WHEN s + 16 < n THEN ' ... ' ELSE '' END) AS digest FROM shw""")
+@query(rf"""WITH tok AS (SELECT doc_id, text, {_TOKEN_RUNS} AS w FROM documents WHERE text IS NOT NULL),
+fld AS (SELECT doc_id, text, w, len(w) AS n, list_transform(w, lambda x: regexp_extract(translate(lower(x), '{T.MARKED}', '{T.PLAIN}'), '^[\p{{L}}\p{{N}}]+')) AS f FROM tok),
+hit AS (SELECT *, list_filter(range(0, n), lambda i: f[i + 1] IN ('the', 'der', 'que')) AS h, list_filter(range(0, n), lambda i: i = 0 OR regexp_matches(w[i], '[.:][ \t\n\r]+$')) AS b FROM fld),
+one AS (SELECT doc_id, unnest(h) AS x FROM hit),
+offers AS (
+  SELECT doc_id, x, x AS s, 0 AS bonus, 0 AS turn FROM one
+  UNION ALL
+  SELECT doc_id, x, bg AS s, CASE WHEN bg = 0 THEN 120 ELSE 100 END, 1 FROM (SELECT one.doc_id, x, list_max(list_filter(b, lambda i: i <= x)) AS bg FROM one JOIN hit USING (doc_id) WHERE n > 16) WHERE bg < x
+), rated AS (
+  SELECT offers.doc_id, x, s, turn, n, list_filter(h, lambda i: i >= s AND i < s + 16) AS inside, f, bonus FROM offers JOIN hit USING (doc_id)
+), scored AS (
+  SELECT doc_id, x, turn, 999 * len(list_distinct(list_transform(inside, lambda i: f[i + 1]))) + len(inside) + bonus AS score,
+    CASE WHEN turn = 1 THEN s ELSE greatest(least(x - (16 - (list_max(inside) + 1 - x)) // 2, n - 16), 0) END AS s
+  FROM rated
+), best AS (SELECT doc_id, arg_min(s, {{'a': -score, 'x': x, 't': turn}}) AS s FROM scored GROUP BY 1),
+shw AS (
+  SELECT doc_id, text, n, coalesce(s, 0) AS s, array_to_string(list_transform(range(coalesce(s, 0), least(n, coalesce(s, 0) + 16)), lambda i: CASE WHEN list_contains(h, i) THEN regexp_replace(w[i + 1], '^([\p{{L}}\p{{N}}]+)', '[\1]') ELSE w[i + 1] END), '') AS body
+  FROM hit LEFT JOIN best USING (doc_id)
+)
+SELECT doc_id, md5(CASE WHEN s > 0 THEN ' ... ' ELSE regexp_extract(text, '^[^\p{{L}}\p{{N}}]*') END || CASE WHEN s + 16 < n THEN regexp_replace(body, '[^\p{{L}}\p{{N}}\]]+$', '') || ' ... ' ELSE body END) AS digest FROM shw""")
 def match_excerpts(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").where("text is not null")
     return docs.select("doc_id", F.md5(T.match_excerpt(F.col("text"), ["the", "der", "que"])).alias("digest"))

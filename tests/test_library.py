@@ -29,7 +29,7 @@ def test_preview_and_match_excerpt(spark):
     assert got == ["a b", "word word wo...", ""]
     one = spark.createDataFrame([("One two, Thrée four five six",)], "t string")
     shown = lambda *w, n=3: one.select(T.match_excerpt(F.col("t"), list(w), n)).first()[0]
-    assert shown("three") == " ... [Thrée] four five ... " and shown("six") == " ... four five [six]" and shown("none") == "One two, Thrée ... " and shown("one", n=9) == "[One] two, Thrée four five six"
+    assert shown("three") == "One two, [Thrée] ... " and shown("six") == " ... four five [six]" and shown("none") == "One two, Thrée ... " and shown("one", n=9) == "[One] two, Thrée four five six"
 
 
 def test_state_of_a_whole_run(spark):
@@ -63,11 +63,22 @@ def test_validations():
             wrong()
 
 
-def test_collections_that_nest_too_deep(spark):
-    chain = spark.createDataFrame([(str(k), f"n{k}", str(k + 1) if k < 5 else None) for k in range(6)], "key string, name string, parent string")
-    assert dict(rows(biblio.collection_paths(chain)))["0"] == "n5 / n4 / n3 / n2 / n1 / n0"
-    with pytest.raises(ValueError):
-        biblio.collection_paths(chain, most_depth=3)
+def test_collections_that_nest_deep_or_in_cycles(spark):
+    deep = [(str(k), f"n{k}", str(k + 1) if k < 1500 else None) for k in range(1501)]
+    wheel = [(f"w{k}", f"W{k}", f"w{(k + 1) % 5}") for k in range(5)] + [("self", "S", "self"), ("t1", "T1", "w3"), ("t2", "T2", "t1"), ("u", "U", "self")]
+
+    def path(of, key):
+        names, seen = [], set()
+        while key in of and key not in seen:
+            seen.add(key)
+            names.append(of[key][0])
+            key = of[key][1]
+        return " / ".join([*[key] * (key in seen), *names[::-1]])
+
+    for data in (deep, wheel, deep[-3:] + wheel, deep[:1], []):
+        of = {k: (n, p) for k, n, p in data}
+        got = dict(rows(biblio.collection_paths(spark.createDataFrame(data, "key string, name string, parent string"))))
+        assert got == {k: path(of, k) for k in of}
 
 
 def test_validation_status(spark):

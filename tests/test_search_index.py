@@ -6,6 +6,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from lexatlas.functions.text import match_excerpt
 from lexatlas.operators import fts, index
 
 COLUMNS = ("document_id", "title", "relative_path", "text")
@@ -155,3 +156,16 @@ def test_shown_documents(spark, docs, tmp_path):
             assert [(r[0], r[1], round(r[4], 9)) for r in stored] == [(r.rank, r.doc_id, round(r.score, 9)) for r in fts.search(direct, text, 5, missing).orderBy("rank").collect()]
             assert all(missing or i >= "d08" for _, i, *_ in stored)
     assert fts.search(direct, "alpha", 0).count() == 0
+
+
+def test_excerpts_of_fts5(spark):
+    random.seed(21)
+    texts = [" ".join(random.choice(["alpha", "béta", "gamma"] + ["w", "x", "yes", "no", "z."] * 6) + random.choice(["", "", "", ",", ".", ":", "!", " -"]) for _ in range(random.randint(1, 70))) for _ in range(150)]
+    texts += ["  (alpha) beta.", "alpha", "w " * 40 + "alpha  ", "one. two: " * 20 + "gamma. alpha beta"]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(text)")
+    con.executemany("INSERT INTO t(rowid, text) VALUES (?, ?)", enumerate(texts))
+    want = dict(con.execute("SELECT rowid, snippet(t, 0, '[', ']', ' ... ', 16) FROM t WHERE t MATCH 'alpha OR beta OR gamma'"))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = {r.id: r.s for r in docs.select("id", match_excerpt(F.col("text"), ["alpha", "beta", "gamma"]).alias("s")).collect()}
+    assert {k: got[k] for k in want} == want and len(want) > 100

@@ -69,7 +69,7 @@ def test_collections(spark):
     tree = spark.createDataFrame([("a", "A", None), ("b", "B", "a"), ("c", "C", "b"), ("x", "X", "y"), ("y", "Y", "x"), ("o", "O", "nowhere")], "key string, name string, parent string")
     paths = biblio.collection_paths(tree)
     got = {r.key: r.path for r in paths.collect()}
-    assert got["c"] == "A / B / C" and got["a"] == "A" and got["x"] == "x" and got["o"] == "O"
+    assert got["c"] == "A / B / C" and got["a"] == "A" and got["x"] == "x / Y / X" and got["o"] == "O"
     named = tree.join(paths, "key")
     assert biblio.resolve_collection(named, "a / b") == "b" and biblio.resolve_collection(named, "c") == "c"
     with pytest.raises(LookupError):
@@ -105,11 +105,6 @@ def test_cluster_count(n, requested, want):
     assert layout.cluster_count(n, requested) == want
 
 
-def test_layout_helpers():
-    assert np.allclose(layout.spread(np.array([[0.0, 5.0], [1.0, 5.0]])), [[-1, -1], [1, -1]])
-    assert layout.circle(1).tolist() == [[0, 0]]
-
-
 def test_labels_and_ids(spark):
     assert explain.manual_label("  a   b ") == "a b"
     for bad in (" ", "x" * 121):
@@ -124,7 +119,7 @@ def test_labels_and_ids(spark):
 def test_neighbours_pad_with_zero_scores_and_match_dense(spark):
     texts = ["alpha beta gamma", "alpha beta", "delta epsilon", "", "alpha beta gamma"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = tfidf.neighbours(docs, tfidf.weights(docs), 3, block=2).collect()
+    got = tfidf.neighbours(docs, tfidf.weights(docs), 3, block=2, side=1).collect()
     assert len(got) == 15 and all(r.doc_id != r.neighbour for r in got)
     best = {r.doc_id: (r.neighbour, r.score) for r in got if r.rank == 1}
     assert best[0] == (4, 1.0) and best[4] == (0, 1.0) and best[3] == (0, 0.0)
