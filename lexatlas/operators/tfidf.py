@@ -6,6 +6,8 @@ document's row; strings are looked up again for the few that are shown.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -208,18 +210,25 @@ def _sent(tiled: DataFrame, floors: DataFrame) -> DataFrame:
     return bound.join(floors, "id").join(least, "other").where(F.col("bound") >= F.least("floor", "least") - 1e-9).select("id", "other")
 
 
-def neighbours(docs: DataFrame, weighted: DataFrame, k: int = 5, key: str = "doc_id", block: int = BLOCK, side: int = SIDE) -> DataFrame:
+def neighbours(docs: DataFrame, weighted: DataFrame, k: int = 5, key: str = "doc_id", block: int = BLOCK, side: int = SIDE, bounds: bool = False) -> DataFrame:
     """key, rank, neighbour, score: the k most similar documents by cosine, ties and zero scores by key.
 
-    Sparse vectors are dealt in tiles of side * block rows, alike ones together. Each tile first meets itself, which gives
-    every row a floor that its k-th neighbour reaches; then a row goes only to the tiles whose greatest weights let it reach
-    a floor, its own or one of theirs. Each pair of tiles is one group, compared block by block.
+    Sparse vectors are dealt in tiles of at most about side * block rows; each pair of tiles is one group, compared block by
+    block, so a vector is copied once a tile. With bounds, alike rows share a tile, each tile first meets itself, which gives
+    every row a floor that its k-th neighbour reaches, and a row goes only to the tiles whose greatest weights let it reach a
+    floor, its own or one of theirs. Both ways give the same rows; bounds pay where most rows have close neighbours.
     """
     ship(docs.sparkSession)
     k = max(0, k)
     code = F.col("code") if "code" in weighted.columns else F.xxhash64("term")
-    postings = stored(weighted.select(F.col(key).alias("id"), code.alias("code"), F.col("weight").alias("w")), "postings")
-    tiled = stored(postings.join(_tiles(postings, side * block), "id"), "tiled")
+    postings = weighted.select(F.col(key).alias("id"), code.alias("code"), F.col("weight").alias("w"))
+    if bounds:
+        postings = stored(postings, "postings")
+    else:
+        rows = docs.count()
+        # not fewer tiles than give every core some pairs
+        n_tiles = max(1, -(-rows // (side * block)), min(-(-rows // block), math.ceil(math.sqrt(16 * docs.sparkSession.sparkContext.defaultParallelism))))
+    tiled = stored(postings.join(_tiles(postings, side * block), "id"), "tiled") if bounds else postings.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(n_tiles)).cast("int"))
     gathered = tiled.groupBy("tile", "id").agg(F.array_sort(F.collect_list(F.struct(F.col("code").alias("t"), "w"))).alias("v"))
     vectors = stored(gathered.select("tile", "id", F.transform("v", lambda x: x["t"]).alias("t"), F.transform("v", lambda x: x["w"]).alias("w")), "vectors")
 
@@ -257,20 +266,23 @@ def neighbours(docs: DataFrame, weighted: DataFrame, k: int = 5, key: str = "doc
     schema = "id long, neighbour long, score double"
     order = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
     first = lambda rows: rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    inner = stored(first(vectors.groupBy("tile").applyInArrow(run, schema)).drop("rank"), "inner")
-    reached = inner.groupBy("id").agg(F.count("*").alias("n"), F.min("score").alias("s"))
-    floors = vectors.select("id").join(reached, "id", "left").select("id", F.when(F.col("n") >= k, F.col("s")).otherwise(0.0).alias("floor"))
-    sent = vectors.join(_sent(tiled, floors), "id").withColumn("x", F.least("tile", "other")).withColumn("y", F.greatest("tile", "other"))
-    outer = sent.groupBy("x", "y").applyInArrow(run_pair(run), schema)
-    ranked = first(inner.unionByName(outer.distinct()))
-    return _padded(docs.select(F.col(key).alias("id")), ranked, k).select(F.col("id").alias(key), "rank", "neighbour", F.round("score", 4).alias("score"))
+    if bounds:
+        inner = stored(first(vectors.groupBy("tile").applyInArrow(run, schema)).drop("rank"), "inner")
+        reached = inner.groupBy("id").agg(F.count("*").alias("n"), F.min("score").alias("s"))
+        floors = vectors.select("id").join(reached, "id", "left").select("id", F.when(F.col("n") >= k, F.col("s")).otherwise(0.0).alias("floor"))
+        sent = vectors.join(_sent(tiled, floors), "id").withColumn("x", F.least("tile", "other")).withColumn("y", F.greatest("tile", "other"))
+        found = inner.unionByName(sent.groupBy("x", "y").applyInArrow(run_pair(run), schema))
+    else:
+        dealt = vectors.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1)))).withColumn("x", F.least("tile", "other")).withColumn("y", F.greatest("tile", "other"))
+        found = dealt.groupBy("x", "y").applyInArrow(run_pair(run), schema)
+    return _padded(docs.select(F.col(key).alias("id")), first(found), k).select(F.col("id").alias(key), "rank", "neighbour", F.round("score", 4).alias("score"))
 
 
 def run_pair(run):
-    """run() of a group where both tiles have come; what one sent alone meets nothing."""
+    """run() of a group of a pair of tiles; what one of two sent alone meets nothing."""
 
     def both(table: pa.Table) -> pa.Table:
-        if len(table.column("tile").unique()) == 2:
+        if table.column("x")[0] == table.column("y")[0] or len(table.column("tile").unique()) == 2:
             return run(table)
         return pa.table({"id": pa.array([], pa.int64()), "neighbour": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
 

@@ -17,6 +17,7 @@ from typing import Protocol
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, GreaterThan, InputPartition
 
 from lexatlas.distribution import ship
 
@@ -31,11 +32,12 @@ class RecordError(RuntimeError):
 
 @dataclass
 class Page:
-    """Records, the number that there are in all (null if not told) and the next page's address (null at the end)."""
+    """Records, the number that there are in all (null if not told), the next page's address (null at the end) and the library's version (null if not told)."""
 
     records: list[dict]
     total: int | None = None
     next: str | None = None
+    version: int | None = None
 
 
 class RecordClient(Protocol):
@@ -64,8 +66,8 @@ class HttpClient:
             raise RecordError(f"{address}: {error}") from error
         if not isinstance(found, list):
             raise RecordError(f"{address}: no list of records")
-        total = headers.get("Total-Results", "")
-        return Page([r for r in found if isinstance(r, dict)], int(total) if total.isdigit() else None, next_link(headers.get("Link", "")))
+        number = lambda name: int(x) if (x := headers.get(name, "")).isdigit() else None
+        return Page([r for r in found if isinstance(r, dict)], number("Total-Results"), next_link(headers.get("Link", "")), number("Last-Modified-Version"))
 
 
 def next_link(header: str) -> str | None:
@@ -111,3 +113,83 @@ def _followed(client: RecordClient, page: Page, limit: int | None) -> Iterator[d
         if page.next is None or left == 0:
             return
         page = client.follow(page.next)
+
+
+class RecordSource(DataSource):
+    """The data source "records": rows (version, json) of a kind of records of a service, batch and stream.
+
+    Options: base, library, kind, key, since (only records of later versions), page_size. A partition is a page, so records go
+    straight to the executors. A filter on version is asked of the service. As a stream its offset is a version: a batch holds
+    the records of later versions up to the next one, and is the same when it is read again.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "records"
+
+    def schema(self) -> str:
+        return "version long, json string"
+
+    def reader(self, schema):
+        return _Reader(self.options)
+
+    def streamReader(self, schema):
+        return _StreamReader(self.options)
+
+
+@dataclass
+class _Pages(InputPartition):
+    start: int
+    since: int | None
+    upto: int | None = None
+
+
+class _Reads:
+    def __init__(self, options):
+        self.client = HttpClient(options["base"], options.get("library", "/users/0"), float(options.get("timeout", TIMEOUT)))
+        self.path = PATHS[options.get("kind", "items")].format(options.get("key", ""))
+        self.size, self.since = int(options.get("page_size", PAGE)), int(options["since"]) if "since" in options else None
+
+    def pages(self, since: int | None, upto: int | None = None) -> list[_Pages]:
+        total = self.client.page(self.path, 0, 1, since).total
+        if total is None:
+            raise RecordError("the service tells no total")
+        return [_Pages(start, since, upto) for start in range(0, total, self.size)]
+
+    def read(self, partition: _Pages):
+        for r in self.client.page(self.path, partition.start, self.size, partition.since).records:
+            version = int(r.get("version") or 0)
+            if (partition.since is None or version > partition.since) and (partition.upto is None or version <= partition.upto):
+                yield version, json.dumps(r, sort_keys=True)
+
+
+class _Reader(_Reads, DataSourceReader):
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, GreaterThan) and f.attribute == ("version",) and isinstance(f.value, int):
+                self.since = f.value if self.since is None else max(self.since, f.value)
+            else:
+                yield f
+
+    def partitions(self):
+        return self.pages(self.since)
+
+
+class _StreamReader(_Reads, DataSourceStreamReader):
+    def initialOffset(self) -> dict:
+        return {"version": self.since or 0}
+
+    def latestOffset(self) -> dict:
+        version = self.client.page(self.path, 0, 1).version
+        if version is None:
+            raise RecordError("the service tells no version")
+        return {"version": version}
+
+    def partitions(self, start: dict, end: dict):
+        return self.pages(start["version"], end["version"]) if end["version"] > start["version"] else []
+
+
+def register(spark: SparkSession) -> None:
+    """Make spark.read.format("records") and spark.readStream.format("records") known."""
+    ship(spark)
+    spark.dataSource.register(RecordSource)

@@ -4,18 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexatlas.operators.state import upsert
-from lexatlas.sources.files import current, publish
+from lexatlas.sources.files import merge
 
 
 def stream_documents(spark: SparkSession, source: str, schema: str, folder: str, checkpoint: str, keys: tuple[str, ...] = ("document_id",)):
-    """Upsert each micro-batch of a parquet file stream into the snapshot table documents of a folder."""
+    """Upsert each micro-batch of a parquet file stream into the table documents of a folder, which is kept in buckets.
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        try:
-            old = current(batch.sparkSession, folder)["documents"]
-        except FileNotFoundError:
-            old = batch.limit(0)
-        publish({"documents": upsert(old, batch.dropDuplicates(list(keys)), list(keys))}, folder)
+    A batch writes only the buckets that it changes; one that is played again, after a failure, changes nothing.
+    """
 
-    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def put(batch: DataFrame, epoch: int) -> None:
+        merge(batch.sparkSession, folder, "documents", batch.dropDuplicates(list(keys)), list(keys), epoch=epoch)
+
+    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

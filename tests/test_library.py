@@ -340,3 +340,50 @@ def test_pdf_files_by_the_optional_library(spark, monkeypatch):
     assert got["skip_reason"] is None and got["text"] and got["warnings"] == ["encrypted PDF; text extraction may be incomplete"] and '"encrypted": true' in got["metadata"]
     module.PdfReader = lambda content: 1 / 0
     assert extract.extract("a/b.pdf", b"x")["skip_reason"].startswith("PDF extraction failed")
+
+
+def test_records_as_a_data_source(spark, tmp_path):
+    import json
+    import threading
+    import urllib.parse
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    from lexatlas.sources import records
+
+    held = {f"K{k}": {"key": f"K{k}", "version": k + 1} for k in range(25)}
+    asked = []
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: int(v[0]) for k, v in urllib.parse.parse_qs(urllib.parse.urlparse(self.path).query).items()}
+            asked.append(q)
+            chosen = sorted((r for r in held.values() if r["version"] > q.get("since", -1)), key=lambda r: r["version"])
+            self.send_response(200)
+            self.send_header("Total-Results", str(len(chosen)))
+            self.send_header("Last-Modified-Version", str(max(r["version"] for r in held.values())))
+            self.end_headers()
+            self.wfile.write(json.dumps(chosen[q["start"] : q["start"] + q["limit"]]).encode())
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    records.register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"base": f"http://127.0.0.1:{server.server_port}", "page_size": "10"}
+    rows = spark.read.format("records").options(**options).load()
+    assert rows.rdd.getNumPartitions() == 3 and sorted(json.loads(r.json)["key"] for r in rows.collect()) == sorted(held)
+    asked.clear()
+    assert sorted(r.version for r in rows.where("version > 20").collect()) == [21, 22, 23, 24, 25] and all(q["since"] == 20 for q in asked)
+
+    def run():
+        stream = spark.readStream.format("records").options(**options).load()
+        stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return sorted(r.version for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    assert run() == list(range(1, 26))
+    held["K3"] = {"key": "K3", "version": 26}
+    held["new"] = {"key": "new", "version": 27}
+    assert run() == list(range(1, 28)) and run() == list(range(1, 28))
+    server.shutdown()

@@ -123,3 +123,23 @@ def test_neighbours_pad_with_zero_scores_and_match_dense(spark):
     assert len(got) == 15 and all(r.doc_id != r.neighbour for r in got)
     best = {r.doc_id: (r.neighbour, r.score) for r in got if r.rank == 1}
     assert best[0] == (4, 1.0) and best[4] == (0, 1.0) and best[3] == (0, 0.0)
+
+
+def test_tables_in_buckets(spark, tmp_path):
+    folder = str(tmp_path / "b")
+    frame = lambda rows: spark.createDataFrame(rows, "document_id string, text string, first string")
+    got = lambda: sorted(tuple(r) for r in files.current(spark, folder)["documents"].collect())
+    assert files.merge(spark, folder, "documents", frame([(f"d{k}", "old", "t0") for k in range(40)]), ["document_id"], ("first",), buckets=8, epoch=0)
+    before = files._pointer(spark, folder).parts["documents"]
+    assert files.merge(spark, folder, "documents", frame([("d7", "new", "t1")]), ["document_id"], ("first",), epoch=1)
+    after = files._pointer(spark, folder).parts["documents"]
+    assert len(after) == 8 and sum(after[b] != before[b] for b in after) == 1
+    assert got() == sorted((f"d{k}", "new" if k == 7 else "old", "t0") for k in range(40))
+    assert not files.merge(spark, folder, "documents", frame([("d8", "again", "t1")]), ["document_id"], epoch=1)
+    assert files._pointer(spark, folder).parts["documents"] == after
+    files.merge(spark, folder, "documents", frame([("x", "y", "z")]), ["document_id"], removes=frame([("d7", None, None), ("no", None, None)]))
+    assert [r for r in got() if r[1] != "old"] == [("x", "y", "z")] and len(got()) == 40 and files._pointer(spark, folder).epoch == 1
+    files.discard_old(spark, folder)
+    assert len(got()) == 40 and len(list((tmp_path / "b" / "pointers").iterdir())) == 1
+    files.merge(spark, folder, "documents", frame([]), ["document_id"], removes=files.current(spark, folder)["documents"])
+    assert got() == []
