@@ -229,6 +229,25 @@ def attachment_counts(resolved: DataFrame) -> DataFrame:
     return resolved.agg(F.count("*").alias("seen"), F.count_if(F.col("path_status").isin(*RESOLVED)).alias("resolved"), F.count_if(path.startswith("storage:")).alias("stored"), F.count_if((path != "") & ~path.startswith("storage:")).alias("linked"))
 
 
+def sample_counters(parents: DataFrame, children: DataFrame, limit: int) -> DataFrame:
+    """One row of counts over the children of a sample of parents: the `limit` with the least hashes of item_key.
+
+    children: item_key, kind (attachment or another), content_type, filename, path, path_status, and error, not null where a
+    parent's children could not be read: such rows count as failed and as nothing else.
+    """
+    sample = parents.select("item_key").distinct().orderBy(F.md5(F.col("item_key").cast("string")), "item_key").limit(max(0, limit))
+    own = children.join(F.broadcast(sample), "item_key", "left_semi")  # at most `limit` keys
+    read, path = F.col("error").isNull(), F.coalesce("path", F.lit(""))
+    attached = read & (F.col("kind") == "attachment")
+    pdf, good = is_pdf(F.col("content_type"), F.col("filename"), F.col("path")), F.coalesce(F.col("path_status").isin(*RESOLVED), F.lit(False))
+    counts = {
+        "children": read, "attachments": attached, "stored": attached & path.startswith("storage:"), "linked": attached & (path != "") & ~path.startswith("storage:"),
+        "missing": attached & F.col("path_status").isin("missing", "no_local_file", "unsupported"), "linked_outside": attached & (F.col("path_status") == "linked_outside_data_dir"),
+        "resolved_pdf": attached & pdf & good, "missing_pdf": attached & pdf & ~good,
+    }
+    return own.agg(*[F.count_if(c).alias(n) for n, c in counts.items()], F.countDistinct(F.when(~read, F.col("item_key"))).alias("failed"))
+
+
 def item_statistics(items: DataFrame, links: DataFrame, attachments: DataFrame) -> DataFrame:
     """One row: items, distinct linked documents, attachments, and those without a readable file."""
     unread = F.count_if(F.col("path_status").isin("missing", "no_local_file", "unsupported"))
@@ -258,10 +277,15 @@ def reading_documents(items: DataFrame, links: DataFrame, documents: DataFrame,
     return both.join(texts.select("document_id"), "document_id", "left_semi").orderBy("title", "item_key", "document_id").limit(max(0, limit)).join(texts.select("document_id", "text"), "document_id")
 
 
+def ascii_lower(text: Column) -> Column:
+    """With A to Z in lower case and all other letters as they are: the order without regard to case."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def collections_of(memberships: DataFrame, collections: DataFrame) -> DataFrame:
     """item_key and the paths (or names) of its collections, in order without regard to case."""
     shown = memberships.join(collections.select(F.col("key").alias("collection_key"), F.coalesce("path", "name").alias("shown")), "collection_key")
-    return shown.groupBy("item_key").agg(F.array_sort(F.collect_list(F.struct(F.lower("shown").alias("l"), "shown"))).alias("s")).select("item_key", F.transform("s", lambda x: x["shown"]).alias("paths"))
+    return shown.groupBy("item_key").agg(F.array_sort(F.collect_list(F.struct(ascii_lower(F.col("shown")).alias("l"), "shown"))).alias("s")).select("item_key", F.transform("s", lambda x: x["shown"]).alias("paths"))
 
 
 def links_of(links: DataFrame, documents: DataFrame) -> DataFrame:
@@ -271,7 +295,7 @@ def links_of(links: DataFrame, documents: DataFrame) -> DataFrame:
 
 def reading_meta(items: DataFrame, tags: DataFrame, memberships: DataFrame, collections: DataFrame, attachments: DataFrame) -> DataFrame:
     """item_key with tags, collections and attachment statuses as strings joined by '; ', and the first attachment's status."""
-    folded = lambda rows, column: rows.groupBy("item_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.lower(column).alias("l"), F.col(column).alias("x")))), lambda s: s["x"]), "; ").alias(column))
+    folded = lambda rows, column: rows.groupBy("item_key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ascii_lower(F.col(column)).alias("l"), F.col(column).alias("x")))), lambda s: s["x"]), "; ").alias(column))
     paths = collections_of(memberships, collections).select("item_key", F.array_join("paths", "; ").alias("collections"))
     files = attachments.groupBy("item_key").agg(F.array_sort(F.collect_list(F.struct("attachment_key", "path_status"))).alias("s")).select("item_key", F.array_join(F.transform("s", lambda x: x["path_status"]), "; ").alias("attachment_status"), F.get("s", F.lit(0))["path_status"].alias("primary_attachment_status"))
     out = items.select("item_key").join(folded(tags, "tag").withColumnRenamed("tag", "tags"), "item_key", "left").join(paths, "item_key", "left").join(files, "item_key", "left")

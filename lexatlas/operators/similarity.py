@@ -97,6 +97,45 @@ class HashingEncoder:
         return out
 
 
+class ModelError(RuntimeError):
+    """A model that is not there, or would have to be fetched."""
+
+
+class LocalEncoder:
+    """A sentence encoder in a folder, read by the optional library. It travels as its path; each worker reads the model once."""
+
+    def __init__(self, name: str, dimension: int | None = None):
+        self.name, self._model = name, None
+        self.dimension = dimension if dimension is not None else int(self._loaded().get_sentence_embedding_dimension() or 0)
+
+    def _loaded(self):
+        if self._model is None:
+            try:
+                from sentence_transformers import SentenceTransformer
+            except ImportError as error:
+                raise ModelError("the library of sentence encoders is not installed") from error
+            self._model = SentenceTransformer(self.name)
+        return self._model
+
+    def __getstate__(self) -> dict:
+        return {"name": self.name, "dimension": self.dimension, "_model": None}
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        return np.asarray(self._loaded().encode(list(texts), show_progress_bar=False), np.float32)
+
+
+def load_encoder(model: str, allow_download: bool = False) -> Encoder:
+    """The encoder of a folder; a name that is no folder would be fetched from afar, and is refused unless that is allowed."""
+    from pathlib import Path
+
+    place = Path(model).expanduser()
+    if place.exists():
+        return LocalEncoder(str(place.resolve()))
+    if not allow_download:
+        raise ModelError(f"{model!r} is no local model, and fetching models is not allowed")
+    return LocalEncoder(model)
+
+
 def pending(texts: DataFrame, stored: DataFrame, force: bool = False) -> DataFrame:
     """texts (object_id, text) whose hash differs from the stored one, or all of them."""
     hashed = texts.withColumn("text_hash", F.sha2(F.col("text"), 256))

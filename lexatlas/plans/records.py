@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexatlas.functions import text as T
-from lexatlas.operators import biblio, library, maps, similarity, state, tfidf, validation
+from lexatlas.operators import biblio, layout, library, maps, similarity, state, tfidf, validation
 from lexatlas.plans import sql as S
 from lexatlas.plans.catalogue import _clustered, _pairs, corpus, query, read
 from lexatlas.plans.sql import _CHOSEN, _CTFIDF, _PAIRS, _PLAIN_WORDS, _SIGNED, _STATUS, _TELLING, _TITLE, _chunks, _label_tokens, _weights
@@ -584,4 +584,40 @@ def pair_explanations(spark, sf_dir):
     return out.select("pair_id", "lexical_score", F.coalesce(F.size("shared_terms"), F.lit(0)).cast("long").alias("n_terms")).withColumn("n_terms", F.greatest("n_terms", F.lit(0).cast("long")))
 
 
+# samples, references, child rows
+
+
+@query(f"""WITH {_RESOLVED}, smp AS (SELECT item_key FROM itm ORDER BY md5(CAST(item_key AS VARCHAR)), item_key LIMIT 400),
+own AS (SELECT *, path IS NOT NULL AND path LIKE 'storage:%' AS st, coalesce(filename, path, '') LIKE '%.pdf' AS pdf, attachment_key % 7 = 0 AS bad, attachment_key % 3 <> 0 AS att FROM res WHERE item_key IN (SELECT item_key FROM smp))
+SELECT count(*) FILTER (NOT bad) AS children, count(*) FILTER (NOT bad AND att) AS attachments, count(*) FILTER (NOT bad AND att AND st) AS stored, count(*) FILTER (NOT bad AND att AND path IS NOT NULL AND NOT st) AS linked,
+  count(*) FILTER (NOT bad AND att AND path_status IN ('missing', 'no_local_file', 'unsupported')) AS missing, count(*) FILTER (NOT bad AND att AND path_status = 'linked_outside_data_dir') AS linked_outside,
+  count(*) FILTER (NOT bad AND att AND pdf AND path_status IN ('resolved', 'linked_outside_data_dir')) AS resolved_pdf, count(*) FILTER (NOT bad AND att AND pdf AND path_status NOT IN ('resolved', 'linked_outside_data_dir')) AS missing_pdf,
+  count(DISTINCT item_key) FILTER (bad) AS failed FROM own""")
+def child_sample_counters(spark, sf_dir):
+    """Children of a sample of items; every seventh could not be read, every third is a note."""
+    k = F.col("attachment_key")
+    children = resolved(spark, sf_dir).withColumn("kind", F.when(k % 3 == 0, "note").otherwise("attachment")).withColumn("error", F.when(k % 7 == 0, "time out")).withColumn("content_type", F.lit(None).cast("string"))
+    return biblio.sample_counters(bibliography(spark, sf_dir)[0], children, 400)
+
+
+@query("""WITH kid AS (SELECT conv_id, turn, text, conv_id % 3 AS third FROM conversations), old AS (SELECT conv_id, turn, text FROM kid WHERE third <> 1),
+new AS (SELECT conv_id, turn, 'new ' || text AS text FROM kid WHERE third <> 0 AND turn < 2)
+SELECT conv_id, count(*) AS n, md5(string_agg(turn || ':' || text, ',' ORDER BY turn)) AS digest FROM (SELECT * FROM old WHERE conv_id NOT IN (SELECT conv_id FROM kid WHERE third <> 0) UNION ALL SELECT * FROM new) GROUP BY 1""")
+def child_sets_replaced(spark, sf_dir):
+    """Turns as child rows: those of the conversations that come again are replaced as sets, down to none."""
+    kids = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    third = F.col("conv_id") % 3
+    came = kids.where(third != 0)
+    rows = state.replace_children(kids.where(third != 1), came.where("turn < 2").withColumn("text", F.concat(F.lit("new "), "text")), "conv_id", ["conv_id", "turn"], came)
+    return rows.groupBy("conv_id").agg(F.count("*").alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(F.col("turn").cast("string"), F.lit(":"), "text").alias("x")))), lambda r: r["x"]), ",")).alias("digest"))
+
+
+@query("SELECT least(8, greatest(2, CAST(round(sqrt(count(*))) AS INTEGER))) AS clusters, count(*) AS documents, count(*) AS placed FROM documents")
+def cluster_invariants(spark, sf_dir):
+    """k-means gives each document one of as many clusters as their number asks for."""
+    docs = read(spark, sf_dir, "documents")
+    found = layout.kmeans(docs, tfidf.coded_weights(docs))
+    return found.agg(F.countDistinct("cluster_id").cast("int").alias("clusters"), F.countDistinct("doc_id").alias("documents"), F.count("*").alias("placed"))
+
+
 from lexatlas.plans import search  # noqa: E402, F401  registers its queries here

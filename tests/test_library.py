@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lexatlas.functions import ids
 from lexatlas.functions import text as T
-from lexatlas.operators import biblio, explain, fts, library, maps, state, tfidf, validation
+from lexatlas.operators import biblio, explain, fts, library, maps, similarity, state, tfidf, validation
 from lexatlas.sources import export, files, records
 
 
@@ -387,3 +387,26 @@ def test_records_as_a_data_source(spark, tmp_path):
     held["new"] = {"key": "new", "version": 27}
     assert run() == list(range(1, 28)) and run() == list(range(1, 28))
     server.shutdown()
+
+
+def test_encoders_from_afar_are_refused(spark, monkeypatch, tmp_path):
+    import pickle
+    import types
+
+    with pytest.raises(similarity.ModelError):
+        similarity.load_encoder("someone/model")
+    with pytest.raises(similarity.ModelError):
+        similarity.load_encoder(str(tmp_path))  # the library is not there
+    made = []
+    module = types.ModuleType("sentence_transformers")
+    module.SentenceTransformer = lambda name: made.append(name) or types.SimpleNamespace(get_sentence_embedding_dimension=lambda: 2, encode=lambda texts, show_progress_bar: [[len(t), 1.0] for t in texts])
+    monkeypatch.setitem(sys.modules, "sentence_transformers", module)
+    encoder = similarity.load_encoder(str(tmp_path))
+    assert encoder.dimension == 2 and made == [str(tmp_path.resolve())] and encoder.encode(["abc"]).tolist() == [[3.0, 1.0]]
+    assert pickle.loads(pickle.dumps(encoder)).name == encoder.name and similarity.load_encoder("someone/model", allow_download=True).name == "someone/model"
+
+
+def test_order_without_regard_to_case_folds_ascii(spark):
+    paths = spark.createDataFrame([("i", k) for k in "abcd"], "item_key string, collection_key string")
+    named = spark.createDataFrame([("a", "Éb", None), ("b", "ec", None), ("c", "ED", None), ("d", "éa", None)], "key string, name string, path string")
+    assert biblio.collections_of(paths, named).first().paths == ["ec", "ED", "Éb", "éa"]
