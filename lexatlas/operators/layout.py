@@ -226,9 +226,9 @@ def leading(matrix: DataFrame, rank: int = 2, seed: int = 42) -> tuple[DataFrame
     own = [f"y{k}" for k in range(BLOCK)]
     # every code has its random numbers by hash: no table of them is joined
     block = stored(matrix.withColumns({c: F.col("w") * normal(k) for k, c in enumerate(own)}).groupBy("key").agg(*[F.sum(c).alias(c) for c in own]), "block")
-    values = np.zeros(0)
+    gram = _sums(block, own)
     for _ in range(MOST_TURNS):
-        basis, names = _mixed(block, own, _orthonormal(_sums(block, own)), "q")
+        basis, names = _mixed(block, own, _orthonormal(gram), "q")
         basis = stored(basis, "basis")
         image = _product(matrix, _product(matrix, basis, "key", "code", names), "code", "key", names).select("key", *[F.col(n).alias(f"i{n}") for n in names])
         both = stored(basis.join(image, "key"), "image")
@@ -238,7 +238,7 @@ def leading(matrix: DataFrame, rank: int = 2, seed: int = 42) -> tuple[DataFrame
         turn, values = turn[:, np.argsort(ritz)[::-1]], np.sort(ritz)[::-1]
         # |image - value * vector| of each, from the products alone
         squares = np.diag(turn.T @ inner[m:, m:] @ turn) - 2 * values * np.diag(turn.T @ inner[:m, m:] @ turn) + values**2
-        block, own = both.select("key", *[F.col(f"i{n}").alias(n) for n in names]), names
+        block, own, gram = both.select("key", *[F.col(f"i{n}").alias(n) for n in names]), names, inner[m:, m:]
         if (np.sqrt(np.maximum(squares[:rank], 0)) <= RESIDUAL * max(values[0], EPSILON)).all():
             break
     shown = turn[:, :rank] * np.sqrt(np.maximum(values[:rank], 0))

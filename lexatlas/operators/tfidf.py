@@ -230,7 +230,9 @@ def neighbours(docs: DataFrame, weighted: DataFrame, k: int = 5, key: str = "doc
         n_tiles = max(1, -(-rows // (side * block)), min(-(-rows // block), math.ceil(math.sqrt(16 * docs.sparkSession.sparkContext.defaultParallelism))))
     tiled = stored(postings.join(_tiles(postings, side * block), "id"), "tiled") if bounds else postings.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(n_tiles)).cast("int"))
     gathered = tiled.groupBy("tile", "id").agg(F.array_sort(F.collect_list(F.struct(F.col("code").alias("t"), "w"))).alias("v"))
-    vectors = stored(gathered.select("tile", "id", F.transform("v", lambda x: x["t"]).alias("t"), F.transform("v", lambda x: x["w"]).alias("w")), "vectors")
+    vectors = gathered.select("tile", "id", F.transform("v", lambda x: x["t"]).alias("t"), F.transform("v", lambda x: x["w"]).alias("w"))
+    if bounds:
+        vectors = stored(vectors, "vectors")
 
     def best(ids_a, ids_b, scores):
         rounded = np.round(scores, 12)
