@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Deletes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
@@ -46,11 +49,27 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{run}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: the rows as a table in the shared folder."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Cut lineage: the rows as a table in the shared folder, with a folder for each value of `by`. What was shuffled for it is deleted once it is written."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._lexatlas_path = path
+    return out
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for path in (getattr(df, "_lexatlas_path", None) for df in frames):
+        if path is not None:
+            spark = next(df for df in frames if df is not None).sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:

@@ -237,7 +237,7 @@ def vector_stats(spark, sf_dir):
 def hybrid_neighbors(spark, sf_dir):
     """The first document's neighbours by text and by the vector of the same number."""
     docs = read(spark, sf_dir, "documents")
-    lexical = tfidf.similar_to(docs, F.col("doc_id") == 0)
+    lexical = tfidf.similar_to(docs, 0)
     vectors = read(spark, sf_dir, "embeddings")
     probe = vectors.where("vec_id = 0").first().embedding
     dense = vectors.where("vec_id <> 0").select(F.col("vec_id").alias("doc_id"), similarity.cosine(F.col("embedding"), F.array(*map(F.lit, probe))).alias("score"))
