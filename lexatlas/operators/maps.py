@@ -129,6 +129,16 @@ def nearest_pairs(neighbour_rows: DataFrame, limit: int) -> DataFrame:
     return first.orderBy("m.doc_id", "m.rank").limit(max(0, limit)).select(F.col("m.doc_id").alias("source"), F.col("m.neighbour").alias("target"))
 
 
+def first_pairs(docs: DataFrame, limit: int, neighbours: int = NEIGHBOURS) -> DataFrame:
+    """nearest_pairs() of all neighbour lists, from those that it reads: the first documents' by doc_id.
+
+    A pair is in two lists at most, so the lists of m documents hold m * neighbours / 2 pairs; where lists are shorter, all documents are among the first.
+    """
+    own = max(-(-2 * max(0, limit) // neighbours), neighbours + 1)
+    first = [r.doc_id for r in docs.select("doc_id").where("doc_id is not null").orderBy("doc_id").limit(own).collect()]
+    return nearest_pairs(tfidf.lists_of(docs, first, neighbours), limit)
+
+
 def reading_run_id(name: Column, signature: Column, **parameters) -> Column:
     """Of a reading map: the same for the same name, documents and parameters, so that building it again replaces it."""
     return stable("map_run_", name, signature, F.lit(repr(sorted(parameters.items()))))

@@ -545,7 +545,7 @@ def legend_counts(spark, sf_dir):
 SELECT m.s AS source, m.t AS target FROM (SELECT * FROM p ORDER BY o LIMIT 15)""")
 def nearest_pairs(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return maps.nearest_pairs(tfidf.neighbours(docs, tfidf.weights(docs), 5), 15)
+    return maps.first_pairs(docs, 15)
 
 
 @query("""WITH p AS (SELECT doc_id, length(text) AS n, doc_id % 4 AS pages FROM documents WHERE text IS NOT NULL)

@@ -49,3 +49,15 @@ def test_similar_documents_of_one(odd):
     got = {r.doc_id: r.score for r in tfidf.similar_to(odd, 2).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert tfidf.similar_to(odd, -1).count() == 0
+
+
+def test_first_pairs_read_the_first_lists_only(odd, monkeypatch):
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    every = tfidf.neighbours(odd, tfidf.weights(odd), 5)
+    wanted = rows(maps.nearest_pairs(every, 15))
+    lists = rows(every.where(F.col("doc_id").isin(-4, -1, 3, 1003)))
+    monkeypatch.setattr(tfidf, "neighbours", None)
+    assert rows(maps.first_pairs(odd, 15)) == wanted
+    assert rows(tfidf.lists_of(odd, [-4, -1, 3, 1003], 5)) == lists
+    few = odd.where("doc_id < 2 and doc_id > -3")
+    assert maps.first_pairs(few, 15).count() == 6 and maps.first_pairs(few, 1).count() == 1
