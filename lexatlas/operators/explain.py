@@ -3,44 +3,100 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexatlas.distribution import ship
+from lexatlas.distribution import ship, stored
 from lexatlas.functions.text import GENERIC_TERMS, LABEL_TOKEN, WORD, informative, literal, stop_words, terms, window_chunks
 from lexatlas.operators import tfidf
 
 MOST_LABEL_LENGTH = 120
+#: Words whose terms a worker counts together.
+WORDS = 1 << 20
 
 
 def simple_labels(weighted: DataFrame, clusters: DataFrame, limit: int = 3) -> DataFrame:
     """cluster_id and label, its heaviest terms by summed weight. clusters: doc_id, cluster_id."""
-    sums = weighted.join(clusters, "doc_id").groupBy("cluster_id", "term").agg(F.sum("weight").alias("total"))
+    return _labelled(weighted.join(clusters, "doc_id").groupBy("cluster_id", "term").agg(F.sum("weight").alias("total")), limit)
+
+
+def _labelled(sums: DataFrame, limit: int) -> DataFrame:
     order = Window.partitionBy("cluster_id").orderBy(F.round("total", 9).desc(), "term")
     best = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return best.groupBy("cluster_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]), " / ").alias("label"))
 
 
+def simple_labels_of(docs: DataFrame, clusters: DataFrame, limit: int = 3) -> DataFrame:
+    """simple_labels() of the TF-IDF weights of texts, by codes: only terms that may be among the heaviest are spelled out, each from a document that holds it."""
+    sums = tfidf.coded_weights(docs).join(clusters, "doc_id").groupBy("cluster_id", "code").agg(F.sum("weight").alias("total"), F.min("doc_id").alias("doc_id"))
+    order = Window.partitionBy("cluster_id").orderBy(F.round("total", 9).desc())
+    near = stored(sums.withColumn("r", F.rank().over(order)).where(F.col("r") <= limit).drop("r"), "heaviest")
+    return _labelled(tfidf.spelled(near, docs), limit)
+
+
 def described(docs: DataFrame, between: str):
     """Title, path and text of a document, as far as docs has them; nulls are empty."""
     return F.concat_ws(between, *[F.coalesce(c, F.lit("")) for c in ("title", "relative_path", "text") if c in docs.columns])
 
 
+def _telling(word: str) -> tuple[bool, bool]:
+    """Of a label's word: whether it has three letters or more that are not generic, and whether it has more than digits; informative() asks for both."""
+    parts = re.findall(WORD, word)
+    return any(len(p) > 2 and p not in GENERIC_TERMS for p in parts), any(not p.isdigit() for p in parts)
+
+
+def _term_counts(clusters: DataFrame, key: str) -> DataFrame:
+    """key, term, telling (as informative() says) and tf. Workers count the terms of a batch before any are shuffled."""
+    ship(clusters.sparkSession)
+    kind, gone = dict(clusters.dtypes)[key], set(stop_words())
+    words = clusters.select(key, F.regexp_extract_all(F.lower(described(clusters, "\n")), F.lit(LABEL_TOKEN), F.lit(0)).alias("words"))
+
+    def run(batches):
+        for batch in (part for whole in batches for part in tfidf.slices(whole, 1, WORDS)):
+            offsets, values = tfidf.listed(batch.column(1))
+            owner = batch.column(0).dictionary_encode(null_encoding="encode")
+            coded = values.dictionary_encode()
+            known = coded.dictionary.to_pylist()
+            keep = np.array([w not in gone for w in known], bool)
+            flags = np.array([_telling(w) for w in known], bool).reshape(-1, 2)
+            word = coded.indices.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+            row, word = row[keep[word]], word[keep[word]]
+            joined = np.flatnonzero(row[1:] == row[:-1])
+            first, second = np.concatenate([word, word[joined]]), np.concatenate([np.full(len(word), -1), word[joined + 1]])
+            cluster = owner.indices.to_numpy().astype(np.int64)[np.concatenate([row, row[joined]])]
+            wide = len(known) + 1
+            found, tf = np.unique((cluster * wide + first) * wide + second + 1, return_counts=True)
+            second, first, cluster = found % wide - 1, found // wide % wide, found // wide // wide
+            two = second >= 0
+            text = coded.dictionary.take(pa.array(first))
+            pairs = pc.binary_join_element_wise(text.filter(pa.array(two)), coded.dictionary.take(pa.array(second[two])), " ")
+            telling = (flags[first] | (flags[second] & two[:, None])).all(axis=1) & (two | (pc.utf8_length(text).to_numpy() >= 3))
+            for some, spelt in ((~two, text.filter(pa.array(~two))), (two, pairs)):
+                yield pa.RecordBatch.from_arrays([owner.dictionary.take(pa.array(cluster[some])), spelt, pa.array(telling[some]), pa.array(tf[some])], [key, "term", "telling", "tf"])
+
+    counted = words.mapInArrow(run, f"`{key}` {kind}, term string, telling boolean, tf long")
+    return counted.groupBy(key, "term").agg(F.any_value("telling").alias("telling"), F.sum("tf").alias("tf"))
+
+
 def cluster_terms(clusters: DataFrame, limit: int = 6, key: str = "cluster_id") -> DataFrame:
     """cluster_id, rank, term, score by TF-IDF with one row of counts for each cluster.
 
     clusters: cluster_id, text, and title and relative_path, whose words count too, if it has them. Each document's terms are counted by itself: a bigram over the end of one document and the start of the next, which
     joining the texts would add, does not count.
     """
-    counts = clusters.select(key, F.explode(terms(described(clusters, "\n"), LABEL_TOKEN, stop_words())).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    counts = _term_counts(clusters, key)
     n = clusters.select(key).distinct().agg(F.count("*").alias("n"))
     df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(df, "term").select(key, "term", (F.col("tf") * F.col("idf")).alias("raw"))
+    raw = counts.join(df, "term").select(key, "term", "telling", (F.col("tf") * F.col("idf")).alias("raw"))
     norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    scored = raw.where(informative(F.col("term"))).join(norms, key).withColumn("score", F.round(F.col("raw") / F.col("norm"), 9))
+    scored = raw.where("telling").join(norms, key).withColumn("score", F.round(F.col("raw") / F.col("norm"), 9))
     order = Window.partitionBy(key).orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(key, "rank", "term", F.round("score", 4).alias("score"))
 

@@ -96,7 +96,7 @@ def knn_edges(spark, sf_dir):
 @query(S.CLUSTER_TERMS_SIMPLE)
 def cluster_terms_simple(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return explain.simple_labels(tfidf.weights(docs), docs.select("doc_id", F.col("lang").alias("cluster_id")))
+    return explain.simple_labels_of(docs, docs.select("doc_id", F.col("lang").alias("cluster_id")))
 
 
 def _clustered(spark, sf_dir):

@@ -61,3 +61,8 @@ def test_first_pairs_read_the_first_lists_only(odd, monkeypatch):
     assert rows(tfidf.lists_of(odd, [-4, -1, 3, 1003], 5)) == lists
     few = odd.where("doc_id < 2 and doc_id > -3")
     assert maps.first_pairs(few, 15).count() == 6 and maps.first_pairs(few, 1).count() == 1
+
+
+def test_simple_labels_by_codes(odd):
+    clusters = odd.select("doc_id", F.col("lang").alias("cluster_id"))
+    assert sorted(map(repr, explain.simple_labels_of(odd, clusters).collect())) == sorted(map(repr, explain.simple_labels(tfidf.weights(odd), clusters).collect()))
