@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexatlas.distribution import stored
 from lexatlas.functions.ids import stable
 from lexatlas.operators import biblio, explain, layout, similarity, tfidf
 from lexatlas.operators.library import capped
@@ -29,7 +30,7 @@ def label_clusters(docs: DataFrame, overrides: DataFrame | None = None) -> DataF
 
     docs: cluster_id, doc_id, text, and title and relative_path if it has them. A cluster without informative terms is called by its id.
     """
-    terms = _gathered(explain.cluster_terms(docs), "cluster_id", "top_terms", "term", "score")
+    terms = _gathered(stored(explain.cluster_terms(docs), "terms"), "cluster_id", "top_terms", "term", "score")
     words = terms.select("cluster_id", F.transform("top_terms", lambda t: t["term"]).alias("terms"))
     shown = _gathered(explain.representatives(docs, words), "cluster_id", "representatives", "doc_id", "score")
     label = F.array_join(F.slice(F.transform("top_terms", lambda t: t["term"]), 1, 3), " / ")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexatlas.distribution import ship
+from lexatlas.distribution import ship, stored
 from lexatlas.functions import text as T
 from lexatlas.operators import biblio, explain, fts, layout, similarity, state, tfidf
 from lexatlas.plans import sql as S
@@ -112,7 +112,8 @@ def ctfidf_labels(spark, sf_dir):
 @query(S.REPRESENTATIVES)
 def cluster_representatives(spark, sf_dir):
     docs = _clustered(spark, sf_dir)
-    found = explain.cluster_terms(docs).groupBy("cluster_id").agg(F.collect_list("term").alias("terms"))
+    # a small table by its size, which the planner can send whole
+    found = stored(explain.cluster_terms(docs).groupBy("cluster_id").agg(F.collect_list("term").alias("terms")), "terms")
     return explain.representatives(docs, found)
 
 

@@ -66,3 +66,11 @@ def test_first_pairs_read_the_first_lists_only(odd, monkeypatch):
 def test_simple_labels_by_codes(odd):
     clusters = odd.select("doc_id", F.col("lang").alias("cluster_id"))
     assert sorted(map(repr, explain.simple_labels_of(odd, clusters).collect())) == sorted(map(repr, explain.simple_labels(tfidf.weights(odd), clusters).collect()))
+
+
+def test_terms_are_counted_before_they_are_shuffled(spark, odd):
+    texts = ["data model 12a3 a1", "results results zz", "x-ray a_1 ab-c9 the-end", "figure table figure table alpha", None, ""]
+    docs = spark.createDataFrame([(k % 3 or None, t) for k, t in enumerate(texts)], "cluster_id int, text string").union(odd.select(F.lit(7), "text"))
+    words = T.terms(F.col("text"), T.LABEL_TOKEN, T.stop_words())
+    want = docs.select("cluster_id", F.explode(words).alias("term")).groupBy("cluster_id", "term").agg(T.informative(F.first("term")).alias("telling"), F.count("*").alias("tf"))
+    assert sorted(map(repr, explain._term_counts(docs, "cluster_id").select("cluster_id", "term", "telling", "tf").collect())) == sorted(map(repr, want.collect()))
