@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -16,7 +17,8 @@ from lexatlas.distribution import ship
 from lexatlas.functions.vectors import cosine
 
 DENSE_WEIGHT, LEXICAL_WEIGHT = 0.65, 0.35
-BLOCK = 4096
+#: Rows of a block that is multiplied at once, blocks of a tile.
+BLOCK, SIDE = 2048, 16
 
 
 def semantic_search(vectors: DataFrame, query: list[float], limit: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -26,41 +28,92 @@ def semantic_search(vectors: DataFrame, query: list[float], limit: int = 10, key
     return scored.select(F.row_number().over(Window.orderBy(F.desc("raw"), key)).alias("rank"), key, F.round("raw", 4).alias("score"))
 
 
-def nearest(vectors: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+class _Best:
+    """The k best (rounded score, id) of each row so far, ties by id."""
+
+    def __init__(self, ids: np.ndarray, k: int):
+        self.ids, self.k = ids, k
+        self.score, self.other = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
+
+    def floor(self, part: slice) -> np.ndarray:
+        """What a score must reach to be among the best."""
+        return self.score[part, -1]
+
+    def add(self, row: np.ndarray, score: np.ndarray, other: np.ndarray) -> None:
+        at = np.unique(row)
+        own = np.repeat(at, self.k)
+        row, score, other = np.concatenate([own, row]), np.concatenate([self.score[at].ravel(), score]), np.concatenate([self.other[at].ravel(), other])
+        order = np.lexsort((other, -score, row))
+        row, score, other = row[order], score[order], other[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = place < self.k
+        self.score[row[keep], place[keep]], self.other[row[keep], place[keep]] = score[keep], other[keep]
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        ok = self.score > -np.inf
+        return np.repeat(self.ids, ok.sum(axis=1)), self.other[ok], self.score[ok]
+
+
+def _meet(x: _Best, a: np.ndarray, part_a: slice, y: _Best, b: np.ndarray, part_b: slice, same: bool) -> None:
+    """Offers the rows of two blocks (unit vectors) to each other; same: to themselves.
+
+    Single-precision products tell which pairs can be among the best at all; those are multiplied again in double precision.
+    """
+    a, b, k = a[part_a], b[part_b], x.k
+    rough = a.astype(np.float32) @ b.astype(np.float32).T
+    slack = np.float32(1e-9 + (a.shape[1] + 8) * 1.2e-7)  # more than the two roundings can differ by
+    rough[~np.isfinite(rough)] = -np.inf
+    if x is y:
+        rough[x.ids[part_a][:, None] == y.ids[part_b][None, :]] = -np.inf
+    for best, part, own, others, ids, side in ((x, part_a, a, b, y.ids[part_b], rough), (y, part_b, b, a, x.ids[part_a], rough.T))[: 1 if same else 2]:
+        floor = best.floor(part).astype(np.float32)
+        if side.shape[1] > k:
+            fresh = np.flatnonzero(floor == -np.inf)
+            floor[fresh] = np.partition(side[fresh], side.shape[1] - k, axis=1)[:, side.shape[1] - k]
+        hit = (side >= (floor - slack)[:, None]) & (side > -np.inf)
+        many = hit.sum(axis=1)
+        # rows in equal steps, so that very many ties are never listed at once
+        for rows in np.split(np.arange(len(many)), np.flatnonzero(np.diff(np.cumsum(many) // 1_000_000)) + 1):
+            r, c = np.nonzero(hit[rows])
+            if len(r):
+                r = r + rows[0]
+                best.add(r + part.start, np.round(np.einsum("ij,ij->i", own[r], others[c]), 9), ids[c])
+
+
+def nearest(vectors: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", block: int = BLOCK, side: int = SIDE) -> DataFrame:
     """key, rank, neighbour, score: the k nearest by cosine of every vector, others only; ties by key.
 
-    Vectors are dealt in blocks and each pair of blocks is one group.
+    Vectors are dealt in tiles of side blocks; each pair of tiles is one group, compared block by block, so a vector is copied once a tile.
     """
-    ship(vectors.sparkSession)
-    n_blocks = max(1, -(-vectors.count() // block))
-    dealt = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("block"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+    spark = vectors.sparkSession
+    ship(spark)
+    k = max(0, k)
+    n = vectors.count()
+    # not fewer tiles than give every core some pairs
+    n_tiles = max(1, -(-n // (side * block)), min(-(-n // block), math.ceil(math.sqrt(4 * spark.sparkContext.defaultParallelism))))
+    dealt = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n_tiles)).cast("int").alias("tile"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_tiles - 1)))).withColumn("x", F.least("tile", "other")).withColumn("y", F.greatest("tile", "other"))
 
     def matrix(table: pa.Table):
         values = table.column("v").combine_chunks()
         m = values.flatten().to_numpy().astype(np.float64).reshape(len(values), -1)
         length = np.linalg.norm(m, axis=1, keepdims=True)
-        return table.column("id").to_numpy(), m / np.where(length > 0, length, 1)
-
-    def best(ids_a, ids_b, scores):
-        order = np.argsort(ids_b, kind="stable")
-        rounded = np.where(ids_a[:, None] == ids_b[None, :], -np.inf, np.round(scores, 9))[:, order]
-        take = np.argsort(-rounded, axis=1, kind="stable")[:, :k]
-        score = np.take_along_axis(rounded, take, axis=1)
-        ok = score > -np.inf
-        return np.repeat(ids_a, ok.sum(axis=1)), ids_b[order][take][ok], score[ok]
+        return _Best(table.column("id").to_numpy(), k), m / np.where(length > 0, length, 1)
 
     def run(table: pa.Table) -> pa.Table:
-        x, y, blocks = table.column("x")[0].as_py(), table.column("y")[0].as_py(), table.column("block").to_numpy()
-        ia, a = matrix(table.filter(pa.array(blocks == x)))
-        ib, b = matrix(table.filter(pa.array(blocks == y))) if y != x else (ia, a)
-        scores = a @ b.T
-        found = [best(ia, ib, scores)] + ([best(ib, ia, scores.T)] if x != y else [])
-        cols = [np.concatenate(c) for c in zip(*found)]
+        x, y, tiles = table.column("x")[0].as_py(), table.column("y")[0].as_py(), table.column("tile").to_numpy()
+        best_x, a = matrix(table.filter(pa.array(tiles == x)))
+        best_y, b = matrix(table.filter(pa.array(tiles == y))) if y != x else (best_x, a)
+        parts = lambda m: [slice(at, min(at + block, len(m))) for at in range(0, len(m), block)]
+        for i, p in enumerate(parts(a) if len(b) else []):
+            for q in parts(b)[i if x == y else 0 :]:
+                _meet(best_x, a, p, best_y, b, q, x == y and p == q)
+        cols = [np.concatenate(c) for c in zip(*[best.rows() for best in ([best_x, best_y] if y != x else [best_x])])]
         return pa.table({"id": cols[0], "neighbour": cols[1], "score": cols[2]})
 
     order = Window.partitionBy("id").orderBy(F.desc("score"), "neighbour")
-    ranked = dealt.select("x", "y", "block", "id", "v").groupBy("x", "y").applyInArrow(run, "id long, neighbour long, score double").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = dealt.select("x", "y", "tile", "id", "v").groupBy("x", "y").applyInArrow(run, "id long, neighbour long, score double") if k else vectors.where("false").select(F.col(key).alias("id"), F.col(key).alias("neighbour"), F.lit(0.0).alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select(F.col("id").alias(key), "rank", "neighbour", F.round("score", 4).alias("score"))
 
 

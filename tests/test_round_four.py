@@ -74,3 +74,26 @@ def test_terms_are_counted_before_they_are_shuffled(spark, odd):
     words = T.terms(F.col("text"), T.LABEL_TOKEN, T.stop_words())
     want = docs.select("cluster_id", F.explode(words).alias("term")).groupBy("cluster_id", "term").agg(T.informative(F.first("term")).alias("telling"), F.count("*").alias("tf"))
     assert sorted(map(repr, explain._term_counts(docs, "cluster_id").select("cluster_id", "term", "telling", "tf").collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("block, side", [(16, 2), (2048, 16), (7, 1)])
+def test_nearest_with_ties_and_odd_vectors(spark, block, side):
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(120, 8)).astype(np.float32)
+    m[10:40], m[50], m[60:63] = m[0], 0, m[61] * (1 + 1e-7)
+    m[70, 3] = np.nan
+    ids = rng.permutation(1000)[:120]
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, m)], "vec_id long, embedding array<float>")
+    unit = m.astype(np.float64)
+    unit /= np.where((n := np.linalg.norm(unit, axis=1, keepdims=True)) > 0, n, 1)
+    scores = np.round(unit @ unit.T, 9)
+    want = {}
+    for a in range(120):
+        near = sorted((-scores[a, b], ids[b]) for b in range(120) if b != a and np.isfinite(scores[a, b]))[:5]
+        want |= {(int(ids[a]), n + 1): int(i) for n, (_, i) in enumerate(near)}
+    got = {(r.vec_id, r["rank"]): r.neighbour for r in similarity.nearest(rows, 5, block=block, side=side).collect()}
+    assert got == want
+    many = similarity._Best(np.arange(3000), 2)
+    same = np.ones((3000, 2)) / np.sqrt(2)
+    similarity._meet(many, same, slice(0, 3000), many, same, slice(0, 3000), True)
+    assert many.other[:4].tolist() == [[1, 2], [0, 2], [0, 1], [0, 1]]
