@@ -84,7 +84,7 @@ def tfidf_top_terms(spark, sf_dir):
 @query(S.KNN)
 def tfidf_knn(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return tfidf.neighbours(docs, tfidf.coded_weights(docs), 5)
+    return tfidf.neighbours(docs, tfidf.coded_weights(docs, shared=True), 5)
 
 
 @query(S.KNN_EDGES)

@@ -97,3 +97,14 @@ def test_nearest_with_ties_and_odd_vectors(spark, block, side):
     same = np.ones((3000, 2)) / np.sqrt(2)
     similarity._meet(many, same, slice(0, 3000), many, same, slice(0, 3000), True)
     assert many.other[:4].tolist() == [[1, 2], [0, 2], [0, 1], [0, 1]]
+
+
+def test_neighbours_in_waves(odd, monkeypatch):
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    at_once = rows(tfidf.neighbours(odd, tfidf.weights(odd), 5))
+    monkeypatch.setattr(tfidf, "STRIPE", 2)
+    met = []
+    waves = tfidf._waves
+    monkeypatch.setattr(tfidf, "_waves", lambda vectors, n, *rest: met.append(n) or waves(vectors, n, *rest))
+    assert rows(tfidf.neighbours(odd, tfidf.coded_weights(odd, shared=True), 5, block=6, side=2)) == at_once
+    assert met and met[0] > 2
