@@ -90,7 +90,7 @@ def tfidf_knn(spark, sf_dir):
 @query(S.KNN_EDGES)
 def knn_edges(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return tfidf.edges(tfidf.neighbours(docs, tfidf.coded_weights(docs), 5))
+    return tfidf.edges(tfidf.neighbours(docs, tfidf.coded_weights(docs, shared=True), 5))
 
 
 @query(S.CLUSTER_TERMS_SIMPLE)
