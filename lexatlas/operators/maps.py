@@ -50,9 +50,13 @@ def fallback_labels(docs: DataFrame, simple: DataFrame) -> DataFrame:
 
 
 def points(docs: DataFrame, weighted: DataFrame, coordinates: DataFrame, assigned: DataFrame, clusters: DataFrame, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """A row for each document (doc_id): its place, cluster, neighbours and top terms; documents without terms have empty lists."""
+    """A row for each document (doc_id): its place, cluster, neighbours and top terms; documents without terms have empty lists.
+
+    weighted has terms, or codes (those of terms that documents share are enough), and then top terms are looked up in the texts.
+    """
     near = _gathered(tfidf.neighbours(docs, weighted, neighbours), "doc_id", "neighbours", "neighbour", "score")
-    terms = tfidf.top_terms(weighted).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t")).select("doc_id", F.transform("t", lambda x: x["term"]).alias("top_terms"))
+    ranked = tfidf.best_terms(docs) if "code" in weighted.columns else tfidf.top_terms(weighted)
+    terms = ranked.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t")).select("doc_id", F.transform("t", lambda x: x["term"]).alias("top_terms"))
     names = clusters.select("cluster_id", F.col("display_label").alias("cluster_label"), F.col("signature").alias("cluster_signature"))
     out = docs.select("doc_id").join(coordinates, "doc_id", "left").join(assigned, "doc_id", "left").join(names, "cluster_id", "left").join(near, "doc_id", "left").join(terms, "doc_id", "left")
     finite = lambda c: F.when(F.isnan(c) | (F.abs(c) == float("inf")) | F.col(c).isNull(), 0.0).otherwise(F.col(c)).alias(c)

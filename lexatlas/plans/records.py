@@ -530,7 +530,7 @@ def map_points(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     names = docs.select(F.col("lang").alias("cluster_id"), F.col("lang").alias("display_label"), F.col("lang").alias("signature")).distinct()
     none = docs.where("false").select("doc_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    out = maps.points(docs, tfidf.weights(docs), none, docs.select("doc_id", F.col("lang").alias("cluster_id")), names)
+    out = maps.points(docs, tfidf.coded_weights(docs, shared=True), none, docs.select("doc_id", F.col("lang").alias("cluster_id")), names)
     return out.select("doc_id", "cluster_label", F.array_join("top_terms", ",").alias("top_terms"), F.array_join(F.transform("neighbours", lambda n: F.concat_ws(":", n["neighbour"], F.round(n["score"] * 10000).cast("long"))), ",").alias("neighbours"))
 
 

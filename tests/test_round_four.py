@@ -108,3 +108,10 @@ def test_neighbours_in_waves(odd, monkeypatch):
     monkeypatch.setattr(tfidf, "_waves", lambda vectors, n, *rest: met.append(n) or waves(vectors, n, *rest))
     assert rows(tfidf.neighbours(odd, tfidf.coded_weights(odd, shared=True), 5, block=6, side=2)) == at_once
     assert met and met[0] > 2
+
+
+def test_points_of_coded_weights(odd):
+    none = odd.where("false").select("doc_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    names = odd.select(F.col("lang").alias("cluster_id"), F.col("lang").alias("display_label"), F.col("lang").alias("signature")).distinct()
+    put = lambda weighted: sorted(map(repr, maps.points(odd, weighted, none, odd.select("doc_id", F.col("lang").alias("cluster_id")), names).collect()))
+    assert put(tfidf.coded_weights(odd, shared=True)) == put(tfidf.weights(odd))
