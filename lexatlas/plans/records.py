@@ -560,7 +560,7 @@ def pdf_quality(spark, sf_dir):
 @query(f"WITH e AS ({S.KNN_EDGES}) SELECT CASE WHEN source = 0 THEN target ELSE source END AS id FROM e WHERE source = 0 OR target = 0 UNION SELECT 0")
 def focus_set(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return tfidf.focus(tfidf.edges(tfidf.neighbours(docs, tfidf.weights(docs), 5)), 0)
+    return tfidf.focus(tfidf.edges(tfidf.neighbours(docs, tfidf.coded_weights(docs, shared=True), 5)), 0)
 
 
 @query("SELECT doc_id FROM documents WHERE contains(lower(lang || ' ' || source), 'en')")
