@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexatlas.distribution import numbered, ship, stored
+from lexatlas.distribution import discard, numbered, ship, stored
 
 EPSILON = 1e-12
 #: Columns of the block whose span turns to the leading vectors, turns at most, and the residual (as a share of the first value) that ends them.
@@ -148,11 +148,13 @@ def kmeans(docs: DataFrame, weighted: DataFrame, requested: int | None = None, s
     vectors = [v for start in starts for v in start]
     centres, names = _as_columns(matrix, vectors)
     squares = [sum(x * x for x in v.values()) for v in vectors]
-    before = best = None
+    before = best = placed = None
     for _ in range(MOST_ROUNDS):
+        last, moved_from = placed, centres
         far = _distances(ids, matrix, centres, names, squares)
         held = [F.array(*[F.col(names[c]) for c in g]) for g in groups]
         placed = stored(far.select("key", *[(F.array_position(h, F.array_min(h)) - 1).cast("int").alias(f"a{s}") for s, h in enumerate(held)], *[F.array_min(h).alias(f"m{s}") for s, h in enumerate(held)]), "placed")
+        discard(last)
         totals = placed.agg(*[F.sum(f"m{s}").alias(f"m{s}") for s in range(len(groups))], *[F.count_if(F.col(f"a{s}") == j).alias(f"n{s}_{j}") for s, g in enumerate(groups) for j in range(len(g))]).first()
         best = min(range(len(groups)), key=lambda s: (totals[f"m{s}"], s))
         # moving rows lessen the sum: the same sum again means that none has moved
@@ -165,6 +167,7 @@ def kmeans(docs: DataFrame, weighted: DataFrame, requested: int | None = None, s
         # a centre without rows stays at the origin, and may win rows again
         share = {names[c]: max(1, totals[f"n{s}_{j}"]) for s, g in enumerate(groups) for j, c in enumerate(g)}
         centres = stored(moved.select("code", *[(F.col(n) / share[n]).alias(n) for n in names]), "centres")
+        discard(moved_from)
         squares = list(centres.agg(*[F.coalesce(F.sum(F.col(n) * F.col(n)), F.lit(0.0)) for n in names]).first())
     named = placed.select("key", F.col(f"a{best}").alias("a"))
     order = {r.a: n for n, r in enumerate(named.groupBy("a").agg(F.min("key").alias("least")).orderBy("least").collect())}  # k rows
@@ -226,12 +229,14 @@ def leading(matrix: DataFrame, rank: int = 2, seed: int = 42) -> tuple[DataFrame
     own = [f"y{k}" for k in range(BLOCK)]
     # every code has its random numbers by hash: no table of them is joined
     block = stored(matrix.withColumns({c: F.col("w") * normal(k) for k, c in enumerate(own)}).groupBy("key").agg(*[F.sum(c).alias(c) for c in own]), "block")
-    gram = _sums(block, own)
+    gram, last = _sums(block, own), block
     for _ in range(MOST_TURNS):
         basis, names = _mixed(block, own, _orthonormal(gram), "q")
         basis = stored(basis, "basis")
+        discard(last)
         image = _product(matrix, _product(matrix, basis, "key", "code", names), "code", "key", names).select("key", *[F.col(n).alias(f"i{n}") for n in names])
-        both = stored(basis.join(image, "key"), "image")
+        both = last = stored(basis.join(image, "key"), "image")
+        discard(basis)
         m = len(names)
         inner = _sums(both, [*names, *[f"i{n}" for n in names]])
         ritz, turn = np.linalg.eigh((inner[:m, m:] + inner[m:, :m]) / 2)
@@ -258,6 +263,7 @@ def layout(weighted: DataFrame, docs: DataFrame, key: str = "doc_id", seed: int
         return numbered(ids, "key").select(F.col("key").alias(key), x.alias("x"), y.alias("y"))
     found, names = leading(matrix, 2, seed)
     found = stored(found, "components")
+    discard(matrix)
     rows = ids.join(found, "key", "left").select("key", *[F.coalesce(names[k], F.lit(0.0)).alias(c) if k < len(names) else F.lit(0.0).alias(c) for k, c in enumerate("xy")])
     ends = rows.agg(*[f(c).alias(f"{g}{c}") for c in "xy" for g, f in (("a", F.min), ("b", F.max))]).first()
 

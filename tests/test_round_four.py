@@ -115,3 +115,19 @@ def test_points_of_coded_weights(odd):
     names = odd.select(F.col("lang").alias("cluster_id"), F.col("lang").alias("display_label"), F.col("lang").alias("signature")).distinct()
     put = lambda weighted: sorted(map(repr, maps.points(odd, weighted, none, odd.select("doc_id", F.col("lang").alias("cluster_id")), names).collect()))
     assert put(tfidf.coded_weights(odd, shared=True)) == put(tfidf.weights(odd))
+
+
+def test_turns_of_the_layout_leave_one_table(spark, odd, monkeypatch):
+    from lexatlas.operators import layout
+
+    made, gone = [], []
+    put, drop = layout.stored, layout.discard
+    monkeypatch.setattr(layout, "stored", lambda df, name, *by: made.append(name) or put(df, name, *by))
+    monkeypatch.setattr(layout, "discard", lambda *frames: gone.extend(f for f in frames if f is not None) or drop(*frames))
+    docs = odd.where("doc_id < 20")
+    assert layout.layout(tfidf.coded_weights(docs), docs).count() == docs.count()
+    assert len(made) - len(gone) == 2  # the last image and the components
+    held = len(made)
+    gone.clear()
+    assert layout.kmeans(docs, tfidf.coded_weights(docs)).count() == docs.count()
+    assert len(gone) >= made[held:].count("placed") - 1 > 0
