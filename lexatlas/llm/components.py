@@ -25,9 +25,18 @@ def _toward_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, root) of every node that the links (a, b) name, but roots themselves; root is the least id that it reaches."""
+def components(edges: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+    """(id, root) of every node that the links (a, b) name, but roots themselves; root is the least id that it reaches.
+
+    settled: what this gave for earlier links, which then count too. It is deleted, unless no link is new and it stays.
+    """
+    if settled is not None:
+        if edges.isEmpty():
+            return settled
+        edges = edges.select("a", "b").union(settled.select(F.col("id").alias("a"), F.col("root").alias("b")))
     stars = runtime.stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
+    if settled is not None:
+        runtime.discard(settled)
     before = _digest(stars)
     for _ in range(MOST_ROUNDS):
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -37,6 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
         runtime.discard(stars)
         stars, now = new, _digest(new)
         if now == before:
-            return stars.select(F.col("a").alias("id"), F.col("b").alias("root"))
+            out = stars.select(F.col("a").alias("id"), F.col("b").alias("root"))
+            out._lexatlas_path = stars._lexatlas_path
+            return out
         before = now
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

@@ -208,6 +208,14 @@ def block_links(placed: DataFrame, texts: DataFrame, shingle: int, similar: int)
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMILAR, size: int = SKETCH) -> DataFrame:
     """Returns doc_id, n_shingles, component_id (least doc_id reachable by links of at least `similar` hundredths) and kept."""
     docs = runtime.id_text(docs)
+    with runtime.merge_joins(docs.sparkSession):
+        members, roots = _members_and_roots(docs, shingle, similar, size)
+    out = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def _members_and_roots(docs: DataFrame, shingle: int, similar: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n_shingles, rep) of all documents, and (id, root) of the classes that links join to a smaller one."""
     drawn = runtime.stored(sketches(docs, shingle, size), "sketches")
     key = ["sig1", "sig2", "n_shingles"]
     classes = drawn.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"))
@@ -240,8 +248,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMI
 
     tables: list[DataFrame] = []
     star = listed.where("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    links = tested(star)
-    roots = components(links)
+    roots = components(tested(star))
 
     label = lambda lists, roots: lists.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     mixed_lists = lambda labelled: labelled.groupBy("v").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("v")
@@ -250,20 +257,19 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similar: int = SIMI
     labelled = label(listed, roots)
     of_last = labelled.where("rep = most").select("v", F.col("root").alias("last_root"))
     turned = labelled.join(of_last, "v").where("root <> last_root and most <> rep").select(F.least("most", "rep").alias("a"), F.greatest("most", "rep").alias("b")).distinct()
-    links = links.union(tested(turned.join(star, ["a", "b"], "left_anti")))
-    roots = components(links)
+    roots = components(tested(turned.join(star, ["a", "b"], "left_anti")), roots)
 
     # families: what lists of several components hold together; all pairs of their members' full sets, in blocks
     mixed = runtime.stored(label(listed.select("v", "rep"), roots).join(mixed_lists(label(listed.select("v", "rep"), roots)), "v", "left_semi"), "mixed")
-    meets = mixed.join(mixed.groupBy("v").agg(F.min("rep").alias("b")), "v").select(F.col("rep").alias("a"), "b")
-    families = components(meets)
-    placed = mixed.select("rep", "root").distinct().join(families.select(F.col("id").alias("rep"), F.col("root").alias("family")), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
-    tables.append(runtime.stored(block_links(placed.join(reps.select("rep", "n_shingles"), "rep"), texts, shingle, similar), "verified"))
-    links = links.union(tables[-1])
-    roots = components(links)
-    runtime.discard(reps, postings, listed, texts, mixed, families, *tables)
-    out = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("root", "rep"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    if not mixed.isEmpty():
+        meets = mixed.join(mixed.groupBy("v").agg(F.min("rep").alias("b")), "v").select(F.col("rep").alias("a"), "b")
+        families = components(meets)
+        placed = mixed.select("rep", "root").distinct().join(families.select(F.col("id").alias("rep"), F.col("root").alias("family")), "rep", "left").withColumn("family", F.coalesce("family", "rep"))
+        tables.append(runtime.stored(block_links(placed.join(reps.select("rep", "n_shingles"), "rep"), texts, shingle, similar), "verified"))
+        roots = components(tables[-1], roots)
+        runtime.discard(families)
+    runtime.discard(reps, postings, listed, texts, mixed, *tables)
+    return members, roots
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

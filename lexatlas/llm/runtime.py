@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -77,6 +78,21 @@ def discard(*frames: DataFrame) -> None:
         store.delete(target, True)
 
 
+@contextlib.contextmanager
+def merge_joins(spark: SparkSession):
+    """What is written within joins by sort and merge. A broadcast that Spark adds by itself passes through the driver; where a
+    method writes dozens of tables, its threads and buffers add up there."""
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {key: spark.conf.get(key, None) for key in keys}
+    for key in keys:
+        spark.conf.set(key, "-1")
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
