@@ -155,14 +155,17 @@ def match_excerpt(text: Column, words: list[str], width: int = 16, dots: str = "
 
         # a window of width tokens has at most as many hits: only those around a hit are looked at
         def at_hit(x: Column, k: Column) -> Column:
-            found = F.filter(F.slice(hits, k + 1, F.lit(width)), lambda y: y["i"] < x["i"] + width)
-            middle = x["i"] - F.floor((width - (F.element_at(found, -1)["i"] + 1 - x["i"])) / F.lit(2)).cast("int")
-            return F.struct((-score(found)).alias("less"), (2 * x["i"]).alias("turn"), F.greatest(F.least(middle, n - width), F.lit(0)).alias("start"))
+            middle = lambda found: x["i"] - F.floor((width - (F.element_at(found, -1)["i"] + 1 - x["i"])) / F.lit(2)).cast("int")
+            offer = lambda found: F.struct((-score(found)).alias("less"), (2 * x["i"]).alias("turn"), F.greatest(F.least(middle(found), n - width), F.lit(0)).alias("start"))
+            return _let(F.filter(F.slice(hits, k + 1, F.lit(width)), lambda y: y["i"] < x["i"] + width), offer)
 
         def at_sentence(x: Column, k: Column) -> Column:
-            begin = F.array_max(F.filter(begins, lambda b: b <= x["i"]))
+            # the beginning is looked up once a hit, not for each hit near it
+            return _let(F.array_max(F.filter(begins, lambda b: b <= x["i"])), lambda begin: of_sentence(x, k, begin))
+
+        def of_sentence(x: Column, k: Column, begin: Column) -> Column:
             near = F.slice(hits, F.greatest(k + 1 - width, F.lit(1)), F.lit(2 * width))
-            more = score(F.filter(near, lambda y: (y["i"] >= begin) & (y["i"] < begin + width))) + F.when(begin == 0, 120).otherwise(100)
+            more = _let(F.filter(near, lambda y: (y["i"] >= begin) & (y["i"] < begin + width)), score) + F.when(begin == 0, 120).otherwise(100)
             # a sentence that begins so far back that the hit is outside counts what it holds near it, and loses to the hit's own window
             return F.struct(F.when((begin < x["i"]) & (n > width), -more).otherwise(0).alias("less"), (2 * x["i"] + 1).alias("turn"), begin.alias("start"))
 

@@ -169,3 +169,9 @@ def test_excerpts_of_fts5(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
     got = {r.id: r.s for r in docs.select("id", match_excerpt(F.col("text"), ["alpha", "beta", "gamma"]).alias("s")).collect()}
     assert {k: got[k] for k in want} == want and len(want) > 100
+
+
+def test_excerpts_look_sentences_up_once(spark):
+    """The beginning of a hit's sentence is looked up once a hit, not in every comparison with the hits near it."""
+    shown = spark.createDataFrame([("a",)], "text string").select(match_excerpt(F.col("text"), ["alpha"]).alias("s"))
+    assert shown._jdf.queryExecution().analyzed().expressions().mkString().count("array_max(") == 1
