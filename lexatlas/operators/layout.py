@@ -6,6 +6,7 @@ columns: a join on codes and a sum by key one way, a join on keys and a sum by c
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexatlas.distribution import discard, numbered, ship, stored
+from lexatlas.operators import layout_blocks
 
 EPSILON = 1e-12
 #: Columns of the block whose span turns to the leading vectors, turns at most, and the residual (as a share of the first value) that ends them.
@@ -264,6 +266,27 @@ def layout(weighted: DataFrame, docs: DataFrame, key: str = "doc_id", seed: int
     found, names = leading(matrix, 2, seed)
     found = stored(found, "components")
     discard(matrix)
+    return _placed(ids, found, names, key)
+
+
+def layout_of(docs: DataFrame, key: str = "doc_id", seed: int = 42, **how) -> DataFrame:
+    """layout() of the TF-IDF weights of texts, by packed blocks."""
+    ids = _ids(docs, key)
+    n = ids.count()
+    few = n <= 2
+    if not few:
+        waves, groups, rows = layout_blocks.blocks_of(docs, key=key, **how)
+        blocks = functools.reduce(DataFrame.unionByName, waves)
+        few = blocks.agg(F.coalesce(F.sum("terms"), F.lit(0))).first()[0] < 2
+    if few:
+        x, y = circle(F.col("n"), n)
+        return numbered(ids, "key").select(F.col("key").alias(key), x.alias("x"), y.alias("y"))
+    found = stored(layout_blocks.leading(blocks, groups, rows, 2, seed), "components")
+    discard(*waves)
+    return _placed(ids, found, ["u0", "u1"], key)
+
+
+def _placed(ids: DataFrame, found: DataFrame, names: list[str], key: str) -> DataFrame:
     rows = ids.join(found, "key", "left").select("key", *[F.coalesce(names[k], F.lit(0.0)).alias(c) if k < len(names) else F.lit(0.0).alias(c) for k, c in enumerate("xy")])
     ends = rows.agg(*[f(c).alias(f"{g}{c}") for c in "xy" for g, f in (("a", F.min), ("b", F.max))]).first()
 

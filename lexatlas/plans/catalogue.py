@@ -390,7 +390,7 @@ def kmeans_clusters(spark, sf_dir):
 @query()
 def svd_layout(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    return layout.layout(tfidf.coded_weights(docs), docs)
+    return layout.layout_of(docs)
 
 
 from lexatlas.plans import records  # noqa: E402, F401  registers its queries here
