@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -12,13 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexatlas.distribution import ship, stored
+from lexatlas.distribution import discard, ship, stored
 from lexatlas.functions.text import GENERIC_TERMS, LABEL_TOKEN, WORD, informative, literal, stop_words, terms, window_chunks
 from lexatlas.operators import tfidf
 
 MOST_LABEL_LENGTH = 120
 #: Words whose terms a worker counts together.
 WORDS = 1 << 20
+#: Letters of the texts whose terms are in one range of hashes.
+RANGE = 1 << 23
 
 
 def simple_labels(weighted: DataFrame, clusters: DataFrame, limit: int = 3) -> DataFrame:
@@ -51,10 +54,10 @@ def _telling(word: str) -> tuple[bool, bool]:
     return any(len(p) > 2 and p not in GENERIC_TERMS for p in parts), any(not p.isdigit() for p in parts)
 
 
-def _term_counts(clusters: DataFrame, key: str) -> DataFrame:
-    """key, term, telling (as informative() says) and tf. Workers count the terms of a batch before any are shuffled."""
+def _batch_counts(clusters: DataFrame, key: str, emit, schema: str) -> DataFrame:
+    """emit() of the counted terms of each batch's words: (clusters, words as an array, whether a word is telling (two flags), cluster, first, second (-1: none), tf)."""
     ship(clusters.sparkSession)
-    kind, gone = dict(clusters.dtypes)[key], set(stop_words())
+    gone = set(stop_words())
     words = clusters.select(key, F.regexp_extract_all(F.lower(described(clusters, "\n")), F.lit(LABEL_TOKEN), F.lit(0)).alias("words"))
 
     def run(batches):
@@ -74,29 +77,104 @@ def _term_counts(clusters: DataFrame, key: str) -> DataFrame:
             wide = len(known) + 1
             found, tf = np.unique((cluster * wide + first) * wide + second + 1, return_counts=True)
             second, first, cluster = found % wide - 1, found // wide % wide, found // wide // wide
-            two = second >= 0
-            text = coded.dictionary.take(pa.array(first))
-            pairs = pc.binary_join_element_wise(text.filter(pa.array(two)), coded.dictionary.take(pa.array(second[two])), " ")
-            telling = (flags[first] | (flags[second] & two[:, None])).all(axis=1) & (two | (pc.utf8_length(text).to_numpy() >= 3))
-            for some, spelt in ((~two, text.filter(pa.array(~two))), (two, pairs)):
-                yield pa.RecordBatch.from_arrays([owner.dictionary.take(pa.array(cluster[some])), spelt, pa.array(telling[some]), pa.array(tf[some])], [key, "term", "telling", "tf"])
-
-    counted = words.mapInArrow(run, f"`{key}` {kind}, term string, telling boolean, tf long")
+            yield from emit(owner.dictionary, coded.dictionary, flags, cluster, first, second, tf)
+
+    return words.mapInArrow(run, schema)
+
+
+def _term_counts(clusters: DataFrame, key: str) -> DataFrame:
+    """key, term, telling (as informative() says) and tf. Workers count the terms of a batch before any are shuffled."""
+    kind = dict(clusters.dtypes)[key]
+
+    def emit(owners, known, flags, cluster, first, second, tf):
+        two = second >= 0
+        text = known.take(pa.array(first))
+        pairs = pc.binary_join_element_wise(text.filter(pa.array(two)), known.take(pa.array(second[two])), " ")
+        telling = (flags[first] | (flags[second] & two[:, None])).all(axis=1) & (two | (pc.utf8_length(text).to_numpy() >= 3))
+        for some, spelt in ((~two, text.filter(pa.array(~two))), (two, pairs)):
+            yield pa.RecordBatch.from_arrays([owners.take(pa.array(cluster[some])), spelt, pa.array(telling[some]), pa.array(tf[some])], [key, "term", "telling", "tf"])
+
+    counted = _batch_counts(clusters, key, emit, f"`{key}` {kind}, term string, telling boolean, tf long")
     return counted.groupBy(key, "term").agg(F.any_value("telling").alias("telling"), F.sum("tf").alias("tf"))
 
 
+def _words_hashed(words: pa.Array) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest()) for w in words.to_pylist()], np.uint64)
+
+
+def _scored_terms(clusters: DataFrame, limit: int, key: str) -> DataFrame:
+    """Stored key, term, raw (tf * idf) of telling terms, of each cluster all that may be among the first; and key and square, whose sum is that of all its terms.
+
+    The terms that a batch has of a cluster are sent as one text for each range of hashes, in which all counts of a term meet once.
+    """
+    kind = dict(clusters.dtypes)[key]
+    # stored, so that what a join in clusters shuffles for it does not stay on disk
+    sizes = stored(clusters.agg((F.count_distinct(key) + F.coalesce(F.max(F.col(key).isNull().cast("int")), F.lit(0))).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("letters")), "sizes")
+    n, letters = sizes.first()
+    discard(sizes)
+    ranges = max(clusters.sparkSession.sparkContext.defaultParallelism, -(-letters // RANGE))
+
+    def emit(owners, known, flags, cluster, first, second, tf):
+        hashes, two = _words_hashed(known), second >= 0
+        x = hashes[first] + np.where(two, hashes[second] * np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        at = tfidf.block_of((x ^ (x >> np.uint64(32))).view(np.int64), ranges)
+        long = pc.utf8_length(known).to_numpy() >= 3 if len(known) else np.zeros(0, bool)
+        telling = (flags[first] | (flags[second] & two[:, None])).all(axis=1) & (two | long[first])
+        order = np.lexsort((~telling, at, cluster))
+        cluster, at, telling, first, second, tf = (a[order] for a in (cluster, at, telling, first, second, tf))
+        heads = np.flatnonzero(np.concatenate([[True], (cluster[1:] != cluster[:-1]) | (at[1:] != at[:-1])])) if len(at) else np.zeros(0, np.int64)
+        ends = np.append(heads, len(at))
+        words = pa.concat_arrays([known, pa.array([""])])
+        mixed = pc.binary_join_element_wise(words.take(pa.array(first)), pc.if_else(pa.array(second >= 0), pc.binary_join_element_wise(pa.scalar(" "), words.take(pa.array(np.where(second >= 0, second, len(known)))), ""), ""), "")
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), mixed), "\n")
+        told = np.add.reduceat(telling.astype(np.int32), heads).astype(np.int32) if len(heads) else np.zeros(0, np.int32)
+        yield pa.RecordBatch.from_arrays([owners.take(pa.array(cluster[heads])), pa.array(at[heads]), texts, pa.array(told), tfidf.lists(tf.astype(np.int64), ends)], [key, "at", "terms", "told", "tf"])
+
+    # scores are rounded to nine digits, and no cluster's norm is above its sum of weights
+    slack = 1e-9 * letters * (math.log((1 + max(1, n)) / 2) + 1)
+
+    def meet(table: pa.Table) -> pa.Table:
+        owner = table.column(key).combine_chunks().dictionary_encode(null_encoding="encode")
+        ends, tf = tfidf.listed(table.column("tf"))
+        tf, sizes = tf.to_numpy(zero_copy_only=False), np.diff(ends)
+        terms = pc.split_pattern(table.column("terms").combine_chunks(), "\n").flatten().dictionary_encode()
+        term = terms.indices.to_numpy().astype(np.int64)
+        told = np.arange(len(term)) - np.repeat(ends[:-1], sizes) < np.repeat(table.column("told").to_numpy(), sizes)
+        wide = max(1, len(terms.dictionary))
+        telling = np.zeros(wide, bool)
+        telling[term[told]] = True
+        found, back = np.unique(np.repeat(owner.indices.to_numpy().astype(np.int64), sizes) * wide + term, return_inverse=True)
+        who, term = found // wide, found % wide
+        raw = np.bincount(back, tf, len(found)) * (np.log((1 + n) / (1 + np.bincount(term, minlength=wide))) + 1)[term]
+        squares = np.bincount(who, raw * raw, len(owner.dictionary)).astype(float)
+        good = np.flatnonzero(telling[term])
+        good = good[np.lexsort((-raw[good], who[good]))]
+        begins = np.searchsorted(who[good], np.arange(len(owner.dictionary)))
+        stops = np.append(begins[1:], len(good))
+        # the least weight that counts: that of the last of the first ones
+        least = np.where(stops - begins >= limit, np.append(raw[good], 0.0)[np.minimum(begins + limit - 1, len(good))], 0.0) - slack
+        good = good[raw[good] >= least[who[good]]]
+        none = lambda rows, of: pa.nulls(rows, of)
+        kept, all_of = len(good), len(owner.dictionary)
+        return pa.table({
+            key: pa.concat_arrays([owner.dictionary.take(pa.array(who[good])), owner.dictionary]), "term": pa.concat_arrays([terms.dictionary.take(pa.array(term[good])), none(all_of, pa.string())]),
+            "raw": pa.concat_arrays([pa.array(raw[good]), none(all_of, pa.float64())]), "square": pa.concat_arrays([none(kept, pa.float64()), pa.array(squares)]),
+        })
+
+    sent = _batch_counts(clusters, key, emit, f"`{key}` {kind}, at int, terms string, told int, tf array<long>")
+    return stored(sent.groupBy("at").applyInArrow(meet, f"`{key}` {kind}, term string, raw double, square double"), "scored")
+
+
 def cluster_terms(clusters: DataFrame, limit: int = 6, key: str = "cluster_id") -> DataFrame:
     """cluster_id, rank, term, score by TF-IDF with one row of counts for each cluster.
 
     clusters: cluster_id, text, and title and relative_path, whose words count too, if it has them. Each document's terms are counted by itself: a bigram over the end of one document and the start of the next, which
     joining the texts would add, does not count.
     """
-    counts = _term_counts(clusters, key)
-    n = clusters.select(key).distinct().agg(F.count("*").alias("n"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(df, "term").select(key, "term", "telling", (F.col("tf") * F.col("idf")).alias("raw"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    scored = raw.where("telling").join(norms, key).withColumn("score", F.round(F.col("raw") / F.col("norm"), 9))
+    found = _scored_terms(clusters, limit, key)
+    norms = found.groupBy(key).agg(F.sqrt(F.sum("square")).alias("norm"))
+    scored = found.where("term is not null").join(norms, key).withColumn("score", F.round(F.col("raw") / F.col("norm"), 9))
     order = Window.partitionBy(key).orderBy(F.desc("score"), "term")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select(key, "rank", "term", F.round("score", 4).alias("score"))
 

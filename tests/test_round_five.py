@@ -2,8 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from lexatlas.operators import layout, layout_blocks, tfidf
+from lexatlas.operators import explain, layout, layout_blocks, tfidf
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +46,20 @@ def test_layout_of_few_texts(spark, texts):
         assert sorted(place(layout.layout_of(docs))) == [0, 1, 2]
     else:
         assert place(layout.layout_of(docs)) == place(layout.layout(tfidf.coded_weights(docs), docs))
+
+
+def test_labels_meet_their_counts_once(spark, odd, monkeypatch):
+    docs = odd.select("lang", "text").union(spark.createDataFrame([("zz", "bb cat-1 aa dog 12 a1b"), ("zz", "dog dog data"), ("one", "zebra")], "lang string, text string")).withColumnRenamed("lang", "cluster_id")
+    counts = explain._term_counts(docs, "cluster_id")
+    n = docs.select("cluster_id").distinct().count()
+    raw = counts.withColumn("raw", F.col("tf") * (F.log((1 + F.lit(n)) / (1 + F.count("*").over(Window.partitionBy("term")))) + 1))
+    norms = raw.groupBy("cluster_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
+    scored = raw.where("telling").join(norms, "cluster_id").withColumn("score", F.round(F.col("raw") / F.col("norm"), 9))
+    order = Window.partitionBy("cluster_id").orderBy(F.desc("score"), "term")
+    want = scored.withColumn("rank", F.row_number().over(order)).where("rank <= 6").select("cluster_id", "rank", "term", F.round("score", 4))
+    want = sorted(map(tuple, want.collect()))
+    monkeypatch.setattr(explain, "_term_counts", None)  # no row for each term of a batch
+    monkeypatch.setattr(explain, "WORDS", 500)
+    monkeypatch.setattr(explain, "RANGE", 2048)
+    assert sorted(map(tuple, explain.cluster_terms(docs).collect())) == want
+    assert explain.cluster_terms(docs.where("false")).count() == 0
